@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
+from .packing import pack
 from .quality_rules import robust_outliers
 from .sharding import interleave
 
@@ -25,5 +27,20 @@ def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_proportional_interleave, op10_robust_outliers)}
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer()).drop("ids")
+
+
+def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_proportional_interleave, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
 ORACLE_SQL: dict[str, str] = {}
