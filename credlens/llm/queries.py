@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
+from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import robust_outliers
 from .sharding import interleave
@@ -33,6 +34,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer()).drop("ids")
 
@@ -42,5 +48,17 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_proportional_interleave, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_proportional_interleave, op4_perfect_hash_lines, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
+
+_STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
+ORACLE_SQL: dict[str, str] = {
+    "op4_perfect_hash_lines": rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+k AS (SELECT doc_id, i, l, translate({_STRIP}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+m AS (SELECT key, min(doc_id) AS low FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT k.doc_id, i, l, coalesce(low < k.doc_id, false) AS dropped FROM k LEFT JOIN m ON k.key = m.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
+}
