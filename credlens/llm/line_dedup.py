@@ -209,10 +209,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if shard != k:
                     continue  # no key of this shard is in two documents
                 drop = np.minimum.reduce([i.lowest_id(hashes[:n], hashes[n:]) for i in index]) < who[local, 1]
+            if not drop.any():
+                continue
             local, line = local[drop], line[drop]
             order = np.argsort(local, kind="stable")
             local, line = local[order], line[order]
-            new = np.flatnonzero(np.r_[True, local[1:] != local[:-1]]) if len(local) else np.zeros(0, np.int64)
+            new = np.flatnonzero(np.r_[True, local[1:] != local[:-1]])
             for s, e in zip(new.tolist(), [*new[1:].tolist(), len(local)], strict=True):
                 uids.append(int(who[local[s], 0]))
                 lines.append(line[s:e].tobytes())
