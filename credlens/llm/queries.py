@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import crf
 from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
 from .line_dedup import dedup_lines
@@ -17,6 +18,14 @@ from .sharding import interleave
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = crf.fit(docs, table(spark, sf_dir, "labels"))
+    # Only the id travels beside the text.
+    named = docs.select("doc_id", "text", crf.held_out(F.col("doc_id")).alias("held_out"))
+    return crf.classify(named, field, keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_proportional_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     t = text_or_empty()
@@ -48,7 +57,7 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_proportional_interleave, op4_perfect_hash_lines, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
