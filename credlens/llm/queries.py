@@ -12,6 +12,7 @@ from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
 from .line_dedup import dedup_lines
 from .packing import pack
+from .pii import find_personal_data, spans_text
 from .quality_rules import robust_outliers
 from .sharding import interleave
 
@@ -48,6 +49,15 @@ def op4_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_email"), of(1).alias("n_ip"), of(2).alias("n_card"), of(3).alias("n_phone"),
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer()).drop("ids")
 
@@ -57,7 +67,7 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
