@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import crf
 from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
+from .embedding_dedup import near_vectors
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import find_personal_data, spans_text
@@ -34,6 +35,10 @@ def op3_proportional_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(sized, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -67,10 +72,20 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op10_robust_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op10_robust_outliers)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
+    "op8_hyperplane_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op4_perfect_hash_lines": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
