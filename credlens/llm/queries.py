@@ -12,6 +12,7 @@ from .chunked_bpe import encode_decode
 from .common import table, text_or_empty
 from .embedding_dedup import near_vectors
 from .line_dedup import dedup_lines
+from .minhash import near_texts
 from .packing import pack
 from .pii import find_personal_data, spans_text
 from .quality_rules import robust_outliers
@@ -39,6 +40,10 @@ def op8_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_oph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=80)
+
+
 def op10_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -72,7 +77,7 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op10_robust_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
