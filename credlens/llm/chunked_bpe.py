@@ -103,6 +103,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: s
         bpe = word_bpe(tokenizer_path)
         coder = ChunkEncoder(bpe)
         for part, raw, off in utf8_slices(batches):
+            raw, off = bpe.plain(raw, off)
             ends, _ = _cuts(raw, off)
             data, cols = raw.tobytes(), {n: [] for n in outputs}
             first = np.searchsorted(ends, off[:-1], side="right")

@@ -78,8 +78,11 @@ def tokenised(df: DataFrame, tokenizer_path: str, text: str, key: str, end_id: i
         bpe = word_bpe(tokenizer_path)
         end = np.array([end_id], dtype=bpe.dtype).tobytes()
         for part, raw, off in utf8_slices(batches):
+            raw, off = bpe.plain(raw, off)
             data = raw.tobytes()
-            out = [bpe.encode(data[a:b]) + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            texts = [data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            bpe.learn(texts)
+            out = [bpe.encode(x) + end for x in texts]
             n = np.array([len(x) for x in out]) // bpe.dtype.itemsize
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(bpe.ids(b"".join(out)), n)), pa.array(n), pa.array(out, type=pa.binary())], names=["key", "curve", "n", "ids"])
 

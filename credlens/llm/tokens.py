@@ -12,7 +12,10 @@ import os
 
 import numpy as np
 
-WORD_LIMIT = 300_000
+WORD_LIMIT = 500_000
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_STOP[[44, 46]] = True
 _loaded: dict[str, WordBPE] = {}
 
 
@@ -47,34 +50,64 @@ class WordBPE:
         self.dtype = np.dtype("<u2") if most < 1 << 16 else np.dtype("<u4")
         self.tokens = [self.library.id_to_token(i) or "" for i in range(max(size, most + 1))]
         self.numbers = [str(i) for i in range(len(self.tokens))]
+        same = lambda a, b: self.library.encode(a, add_special_tokens=False).ids == self.library.encode(b, add_special_tokens=False).ids
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        #: Whether the tokenizer folds A-Z, and whether it always parts a letter from a full stop or comma behind it.
+        self.folds = all(same(c.upper() + c, c + c) for c in letters)
+        self.parts = all(same(f"{c}{p}x", f"{c} {p}x") and same(f"{c}{p}", f"{c} {p}") for c in letters for p in ".,")
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and a stop; and their offsets."""
+        if self.folds:
+            data, low = raw.tobytes(), raw.tobytes().lower()
+            if all(data.count(t) == low.count(t) for t in self.added):
+                raw = np.frombuffer(low, np.uint8)
+        if self.parts and len(raw) > 1:
+            at = np.flatnonzero(_LETTER[raw[:-1]] & _STOP[raw[1:]]) + 1
+            out = np.full(len(raw) + len(at), 32, np.uint8)
+            hole = np.zeros(len(out), bool)
+            hole[at + np.arange(len(at))] = True
+            out[~hole] = raw
+            raw, off = out, off + np.searchsorted(at, off)
+        return raw, off
+
     def _learn(self, words: set[bytes]) -> None:
-        """Encodes words that aren't in the cache."""
+        """Encodes words that aren't in the cache, many in one call, and deals the ids out by their offsets."""
+        if len(self.words) > WORD_LIMIT:
+            self.old, self.words = self.words, {}
         new = []
         for w in words:
             if (v := self.old.get(w)) is not None:
                 self.words[w] = v
             else:
                 new.append(w)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            found = self.library.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            starts = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            at = (np.r_[0, np.searchsorted(starts, ends)] * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(part, [data[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Puts the words of texts into the cache."""
+        if new := set(b"\n".join(texts).split()).difference(self.words):
+            self._learn(new)
 
     def encode_words(self, words: list[bytes]) -> bytes:
         """The ids of words end to end, as bytes of self.dtype."""
-        get = self.words.get
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            pass
-        if len(self.words) > WORD_LIMIT:
-            self.old, self.words = self.words, {}
-            get = self.words.get
-        self._learn({w for w in words if get(w) is None})
-        return b"".join(map(self.words.__getitem__, words))
+            self._learn({w for w in words if w not in self.words})
+        # A rotation of the cache may have put away words that were there.
+        return b"".join([self.words.get(w) or self.old.get(w, b"") for w in words])
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_words(text.split())
