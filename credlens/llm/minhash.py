@@ -72,7 +72,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     s, owner = mix(s[whole]), doc[:m][whole]
     few = np.flatnonzero((count > 0) & (count < k))
     if len(few):
-        extra = np.array([mix(np.array([(h[first[d] : first[d] + count[d]] * _ODD[: count[d]]).sum(dtype=np.uint64) + _ODD[32 + count[d]]], np.uint64))[0] for d in few.tolist()], np.uint64)
+        extra = mix(np.array([(h[first[d] : first[d] + count[d]] * _ODD[: count[d]]).sum(dtype=np.uint64) for d in few.tolist()], np.uint64) + _ODD[32 + count[few]])
         s, owner = np.r_[s, extra], np.r_[owner, few]
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
