@@ -17,6 +17,7 @@ from .packing import pack
 from .pii import find_personal_data, spans_text
 from .quality_rules import robust_outliers
 from .sharding import interleave
+from .suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,11 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(named, field, keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_proportional_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     t = text_or_empty()
@@ -77,7 +83,7 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
