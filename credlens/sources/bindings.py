@@ -33,6 +33,12 @@ SELECT DISTINCT value FROM (
 ) AS every"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores or shuffle partitions: few bytes of strings can be much work, which adaptive coalescing doesn't see."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +51,7 @@ def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value and weight 1 of SYNTH."""
     names = ("part", "lineitem", "customer", "supplier")
-    return spark.sql(SYNTH, **{n: table(spark, sf_dir, n) for n in names}).withColumn("weight", F.lit(1).cast("long"))
+    return spread(spark.sql(SYNTH, **{n: table(spark, sf_dir, n) for n in names})).withColumn("weight", F.lit(1).cast("long"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = words.groupBy(F.concat(F.lit("palabras_"), "lang").alias("dict_name"), "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
     named = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where(is_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(F.lit("nombres_es").alias("dict_name"), "word", "n")
     order = Window.partitionBy("dict_name").orderBy(F.desc("n"), "word")
-    return said.unionByName(named).select("dict_name", "word", (F.row_number().over(order) - 1).alias("rank"))
+    # Read by several joins of a plan; far smaller than the documents.
+    return said.unionByName(named).select("dict_name", "word", (F.row_number().over(order) - 1).alias("rank")).persist()
 
 
 def breach(spark: SparkSession, sf_dir: str) -> DataFrame:
