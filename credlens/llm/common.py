@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -66,6 +68,14 @@ class Stored:
             pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of plans that nothing refers to any more, so that two stages' files needn't stand on disk at once."""
+    for _ in range(1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns whose names the operator puts out itself; the operator's columns replace them."""
     lower = {n.lower() for n in names}

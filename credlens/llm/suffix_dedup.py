@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, map_arrow, utf8_slices
+from .common import Stored, map_arrow, release, utf8_slices
 from .rolling import RangeHash, mix
 
-WINDOW, SEED = 50, 16
+WINDOW, SEED = 50, 12
 SPAN = WINDOW - SEED + 1
 LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text for each bucket, and for each part of the last stage; they keep a task's memory level.
 BUCKET_TEXT, PART_TEXT = 6 << 20, 2 << 20
+#: Bytes that are hashed at once.
+HASH_BYTES = 1 << 20
 _POSITION = np.uint64(30)
 Arrays = tuple[np.ndarray, ...]
 
@@ -90,7 +92,7 @@ def _cut(n_buckets: int):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for part, raw, off in utf8_slices(batches, most=3 << 20):
+        for part, raw, off in utf8_slices(batches):
             ids = part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
             start, length, h = segments(raw, off)
             if not len(start):
@@ -132,6 +134,15 @@ def _unpack(metas: list[bytes], texts: list[bytes]) -> Arrays:
     return np.concatenate(raws), np.r_[0, np.cumsum(length)], np.concatenate(ids), np.concatenate(pos)
 
 
+def _chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of segments with at most HASH_BYTES bytes."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + HASH_BYTES, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def lcp_intervals(root: np.ndarray, lcp: np.ndarray, low: np.ndarray, varied: np.ndarray) -> Arrays:
     """Stack scan of sorted suffixes: depth, first, last and least document of each interval of the common-prefix tree that is deep enough and whose left neighbours differ. lcp[i]: with the suffix before, 0 at a root's first; varied: running count of changes of the left neighbour."""
     depth_out, first_out, last_out, low_out = [], [], [], []
@@ -159,7 +170,11 @@ def lcp_intervals(root: np.ndarray, lcp: np.ndarray, low: np.ndarray, varied: np
 def bucket_repeats(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Arrays:
     """Maximal repeats of a bucket: repeat number, length, document id and position of each occurrence, and the least id that holds the repeat."""
     length = np.diff(off)
-    h0, h1 = RangeHash(raw, 0).ranges(off[:-1], off[1:]), RangeHash(raw, 1).ranges(off[:-1], off[1:])
+    h0, h1 = np.empty(len(length), np.uint64), np.empty(len(length), np.uint64)
+    for i, j in _chunks(off):
+        o = off[i : j + 1] - off[i]
+        for which, h in enumerate((h0, h1)):
+            h[i:j] = RangeHash(raw[off[i] : off[j]], which).ranges(o[:-1], o[1:])
     order = np.lexsort((ids, h1, h0))
     new = np.r_[True, (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])]
     seg_first = np.flatnonzero(new)  # into order: occurrences of each distinct segment, by id
@@ -171,11 +186,15 @@ def bucket_repeats(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, pos: np.nd
     del h0, h1, raw
     # Windows of distinct segments whose hash occurs twice at least; a table of counts first, since most occur once.
     windows = seg_len - WINDOW + 1
-    seg = np.repeat(np.arange(len(windows)), windows)
-    inside = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = seg_off[:-1][seg] + inside
-    h = RangeHash(text).windows(WINDOW)[start]
-    bits = max(10, int(len(h)).bit_length() + 1)
+    first_window = np.r_[0, np.cumsum(windows)]
+    seg = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    inside = (np.arange(len(seg)) - np.repeat(first_window[:-1], windows)).astype(np.int32)
+    start = (seg_off[:-1][seg] + inside).astype(np.int64)
+    h = np.empty(len(seg), np.uint64)
+    for i, j in _chunks(seg_off):
+        w = slice(first_window[i], first_window[j])
+        h[w] = RangeHash(text[seg_off[i] : seg_off[j]]).windows(WINDOW)[start[w] - seg_off[i]]
+    bits = max(10, int(len(h)).bit_length())
     cell = (h >> np.uint64(64 - bits)).astype(np.int64)
     maybe = np.flatnonzero((np.bincount(cell, minlength=1 << bits) >= 2)[cell])
     del cell
@@ -291,6 +310,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.binary())], names=["part", "cut"])
 
     cuts = store.write(map_arrow(_bucketed(rows, n), _per_bucket(give), "part long, cut binary", 64))
+    release(df.sparkSession)
     none = F.lit(None)
     left = cuts.select("part", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "cut")
     right = rows.select(F.pmod(F.coalesce("id", F.lit(LAST_ID)), F.lit(n_parts)).alias("part"), F.lit(1).alias("kind"), "id", "text", none.cast("binary").alias("cut"))
