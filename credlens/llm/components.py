@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 from .common import Stored, map_arrow
 
 
+#: A node with more than 1 / HUB of all edge ends is a hub; there are at most HUB of them.
+HUB, SPREAD = 1024, 64
+
+
+def _with_lowest(rows: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
+    """rows (u, v) with m of their u; the rows of a hub are spread over SPREAD keys, and its m is copied to each."""
+    hot = F.col("u").isin(hubs) if hubs else F.lit(False)
+    salted = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(0).cast("int"))
+    many = low.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(many, ["u", "salt"]).drop("salt")
+
+
 def connected(edges: DataFrame, store: Stored, most: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes; a star's minimum is pre-aggregated, so a hub costs no task more than its share."""
+    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes; a star's minimum is pre-aggregated, and a hub's edges are spread, so that it costs no task more than its share."""
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     e = store.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     before = state(e)
@@ -21,10 +33,12 @@ def connected(edges: DataFrame, store: Stored, most: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = [r.u for r in ends.where(F.col("n") > max(1000, 2 * before[0] // HUB)).select("u").collect()]
+        low = ends.select("u", F.least("m", "u").alias("m"))
+        large = _with_lowest(both, low, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
+        small = _with_lowest(large, least, hubs).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
         old, e = e, store.write(small)
         after = state(e)
         store.drop(old)
