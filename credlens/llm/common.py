@@ -70,7 +70,7 @@ class Stored:
 
 def release(spark: SparkSession) -> None:
     """Lets the driver drop the shuffle files of plans that nothing refers to any more, so that two stages' files needn't stand on disk at once."""
-    for _ in range(1):
+    for _ in range(2):  # the first round frees what Python held, the second what that held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(1)
