@@ -31,7 +31,7 @@ WINDOW, SEED = 50, 12
 SPAN = WINDOW - SEED + 1
 LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text for each bucket, and for each part of the last stage; they keep a task's memory level.
-BUCKET_TEXT, PART_TEXT = 6 << 20, 2 << 20
+BUCKET_TEXT, PART_TEXT = 4 << 20, 2 << 20
 #: Bytes that are hashed at once.
 HASH_BYTES = 1 << 20
 _POSITION = np.uint64(30)
@@ -87,12 +87,25 @@ def _unplanes(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarray, int
     return np.cumsum(np.ascontiguousarray(d.T).view(kind).ravel(), dtype=kind), at + n * kind.itemsize
 
 
+def _merged(batches: Iterator[pa.RecordBatch], least: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes: a packed row for each bucket then holds more segments."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _cut(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for part, raw, off in utf8_slices(batches):
+        for part, raw, off in utf8_slices(_merged(batches)):
             ids = part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
             start, length, h = segments(raw, off)
             if not len(start):
@@ -268,7 +281,7 @@ def _per_bucket(give):
 
 
 def _bucketed(rows: DataFrame, n_bytes: int) -> DataFrame:
-    n_buckets = 1 << max(6, int(n_bytes // BUCKET_TEXT).bit_length())
+    n_buckets = max(64, -(-n_bytes // BUCKET_TEXT))
     cut = map_arrow(rows.select("id", "text"), _cut(n_buckets), "bucket long, meta binary, bytes binary")
     return cut.repartition("bucket").sortWithinPartitions("bucket")
 
