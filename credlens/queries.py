@@ -438,12 +438,20 @@ def dataset_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 # Decoding and streams.
 
+#: Bytes in a piece of a page, so that most pieces begin or end inside a word and some inside a character.
+PIECE = 150
+
+
 @query()
 def utf8_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Page bytes cut in the middle of characters, decoded."""
-    raw = b.table(spark, sf, "pages").select("page_id", F.substring(F.col("html").cast("binary"), 1, 150).alias("raw"))
+    """Whole pages in consecutive pieces of bytes, cut in the middle of characters, each decoded; piece is the place from 0."""
+    starts = lambda raw: F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(raw) / PIECE).cast("int") - 1, F.lit(0)))
+    cut = lambda raw: F.transform(starts(raw), lambda i: F.substring(raw, i * PIECE + 1, F.lit(PIECE)))
+    # The outer array binds the bytes once for all pieces.
+    pieces = F.transform(F.array(F.col("html").cast("binary")), cut)[0]
+    raw = b.table(spark, sf, "pages").select("page_id", F.posexplode_outer(pieces).alias("piece", "raw"))
     value, invalid = decode(F.col("raw").cast("string"))
-    return raw.select("page_id", value.alias("value"), invalid.alias("had_invalid"))
+    return raw.select("page_id", "piece", value.alias("value"), invalid.alias("had_invalid"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256 FROM documents")

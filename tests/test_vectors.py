@@ -1,6 +1,7 @@
 """Known inputs and results of single operators."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from credlens.operators import lexical
 from credlens.operators.breach import digest, fetch_ranges, lookup, parse_ranges
 from credlens.operators.decompose import bits_of, estimate, least_cost, scored
 from credlens.plans import monitor, report, summary
+from credlens.queries import PIECE, utf8_decode
 from credlens.sources.corpus import line_counts, read_lines, valid_lines
 from credlens.sources.lexicon import build_lexicon, coverage, cultural_terms, read_lexicons, write_lexicon
 
@@ -171,3 +173,17 @@ def test_progress(spark):
     got = {r.filename: (r.speed, r.eta) for r in monitor.speed_eta(p, "2024-01-01 00:01:40", 10_000).collect()}
     assert got == {"a": (50.0, "1m40s"), "b": (0.0, "—")}
     assert [r.filename for r in monitor.pending(p.select("filename"), p).collect()] == ["a", "b"]
+
+
+def test_whole_pages_are_decoded(spark, tmp_path):
+    pages = [*spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect(), (-1, "ñ" * 500 + "\r\n"), (-2, "a" * 149 + "\r\n" + "日" * 99), (-3, "�" + "a" * 300), (-4, ""), (-5, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = set()
+    for k, html in pages:
+        raw = (html or "").encode()
+        for i in range(0, max(1, len(raw)), PIECE):
+            text = raw[i : i + PIECE].decode(errors="replace")
+            want.add((k, i // PIECE, re.sub(r"(?:\r\n|\n|\r)\Z", "", text), "�" in text) if html is not None else (k, 0, None, None))
+    got = [tuple(r) for r in utf8_decode(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(r[3] or False for r in got) > 5
