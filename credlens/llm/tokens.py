@@ -14,7 +14,11 @@ import numpy as np
 
 WORD_LIMIT = 500_000
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+#: Lead bytes above this begin characters behind Latin-1, which has no combining marks.
+_LATIN_1 = 0xC3
 _LETTER[97:123] = True
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = True
 _STOP[[44, 46]] = True
 _loaded: dict[str, WordBPE] = {}
 
@@ -60,9 +64,17 @@ class WordBPE:
         self.old: dict[bytes, bytes] = {}
 
     def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and a stop; and their offsets."""
+        """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and a stop; and their offsets.
+
+        A capital before a character that may be a combining mark stays: the normalizer composes before it folds, and some
+        small letters have composed forms that their capitals lack.
+        """
         if self.folds:
-            data, low = raw.tobytes(), raw.tobytes().lower()
+            data = raw.tobytes()
+            folded = np.frombuffer(bytearray(data.lower()), np.uint8)
+            at = np.flatnonzero(_CAPITAL[raw[:-1]] & (raw[1:] > _LATIN_1))
+            folded[at] = raw[at]
+            low = folded.tobytes()
             if all(data.count(t) == low.count(t) for t in self.added):
                 raw = np.frombuffer(low, np.uint8)
         if self.parts and len(raw) > 1:

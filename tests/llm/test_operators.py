@@ -289,6 +289,21 @@ def test_chunk_joins_are_repaired(library):
     assert coder.reused
 
 
+def test_capitals_with_marks_equal_the_library(spark, library):
+    # The composed forms of these small letters have no capital; a mark of a lower class may stand between.
+    marked = [c + m for c, m in (("H", "\u0331"), ("J", "\u030c"), ("T", "\u0308"), ("T", "\u0344"), ("W", "\u030a"), ("Y", "\u030a"), ("J", "\u0323\u030c"), ("J", "\u0591\u030c"))]
+    texts = [f"{a}{m}{z}" for m in marked for a in ("", "aB", "É") for z in ("", "x", "Ñ.", ",B")] + [" ".join(marked), "ÉCOLE NIÑO AÑO."]
+    # Every A-Z before every mark up to U+036F.
+    texts += [" ".join(chr(c) + chr(m) + "n" for c in range(65, 91)) for m in range(0x300, 0x370)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = defaultdict(list)
+    for r in pack(df, PATH).orderBy("doc_id", "start").collect():
+        packed[r.doc_id] += r.ids
+    for r in encode_decode(df, PATH).collect():
+        want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert list(r.ids) == want and packed[r.doc_id] == [*want, 2]
+
+
 # 8
 
 def test_vectors_against_brute_force(spark, empty):
