@@ -1,8 +1,8 @@
 """Near-duplicate vectors: random-hyperplane signs in several tables, exact cosine, connected components.
 
 Equal vectors form classes; only one of each goes on, with its count. Each gets a sketch of BITS signs.
-A table's key is some of those signs; classes with equal keys meet in a bucket, where sketches that
-differ in at most NEAR signs join a neighbourhood. Neighbourhoods (components over all tables) hold both
+A table's key is signs of hyperplanes of its own, so that tables miss a pair independently; classes with
+equal keys meet in a bucket, where sketches that differ in at most NEAR signs join a neighbourhood. Neighbourhoods (components over all tables) hold both
 ends of every link found; in them, cosines of all pairs are computed in double precision, block by block,
 and summed to counts where they arise, so no pairs are put out. The number of signs in a key follows the
 number of classes, and the number of tables follows from it, so that a pair at the threshold is missed
@@ -47,7 +47,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
 def _sketch(signs: int, tables: int, seed: int = 11):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        pick = np.stack([np.random.default_rng((seed, t)).choice(BITS, signs, replace=False) for t in range(tables)])
         for b in batches:
             ids, vectors = b.column(0).to_numpy(), b.column(1)
             width = np.diff(vectors.offsets.to_numpy())
@@ -55,12 +54,12 @@ def _sketch(signs: int, tables: int, seed: int = 11):
                 at = np.flatnonzero(width == d)
                 x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
                 if d not in planes:
-                    planes[d] = np.random.default_rng((seed, 10**6 + d)).standard_normal((d, BITS))
+                    planes[d] = np.random.default_rng((seed, 10**6 + d)).standard_normal((d, BITS + signs * tables))
                 bits = x @ planes[d] > 0
-                sketch = np.packbits(bits, axis=1)
+                sketch, own = np.packbits(bits[:, :BITS], axis=1), bits[:, BITS:].reshape(-1, signs, tables)
                 key = np.full((len(at), tables), d, np.uint64)
                 for k in range(signs):
-                    key = key * np.uint64(2) + bits[:, pick[:, k]]
+                    key = key * np.uint64(2) + own[:, k]
                 key = mix(key + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 rows = [x.tobytes() for x in sketch]
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[at], tables)), pa.array([s for s in rows for _ in range(tables)], pa.binary())], names=["bucket", "id", "sketch"])

@@ -8,11 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from credlens.llm import crf, line_dedup, minhash, packing, pii, suffix_dedup
+from credlens.llm import crf, embedding_dedup, line_dedup, minhash, packing, pii, suffix_dedup
 from credlens.llm.chunked_bpe import ChunkEncoder, encode_decode
 from credlens.llm.embedding_dedup import near_vectors
 from credlens.llm.line_dedup import PerfectHash, dedup_lines
@@ -327,6 +328,21 @@ def test_vectors_against_brute_force(spark, empty):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_tables_miss_pairs_independently():
+    # At 1e-6 for each pair, 20,000 pairs at the threshold have 0.02 misses.
+    signs, tables = embedding_dedup.plan_tables(30_000_000, 0.9)
+    rng, missed = np.random.default_rng(5), 0
+    for _ in range(20):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 1000, 64)))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(np.vstack([a, b]).tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+        (out,) = embedding_dedup._sketch(signs, tables)([batch])
+        keys = out["bucket"].to_numpy().reshape(2, 1000, tables)
+        missed += int((~(keys[0] == keys[1]).any(axis=1)).sum())
+    assert missed == 0
+
+
 # 9
 
 def _sets(rows, k):
