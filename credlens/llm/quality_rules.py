@@ -1,12 +1,14 @@
 """Text statistics and robust multivariate outliers per language and source, in DataFrame functions only.
 
-Every text gets base counts. Four ratios of them, on a log scale and in fixed-point integers, form its
-statistic vector. For each (language, source) with enough rows, concentration steps seek the
-minimum-covariance-determinant estimate: start from medians and spreads per coordinate, take the
-`share` of rows nearest by Mahalanobis distance, recompute mean and covariance from them, repeat. Sums
-are over integers, and nearest rows are found through a histogram of distance bins, so results don't
-depend on partitions and no group's rows are ever gathered in one task. Groups too small to estimate
-pool with the rest of their language, then with all others.
+Every text gets base counts. Its statistic vector holds the logarithms of mean word length, of the share of
+characters that are no letters, of the share of different words and of the number of words, in fixed-point
+integers. For each (language, source) with enough rows, the minimum-covariance-determinant estimate is sought:
+from several starts (medians and quartile spreads, and small random subsets), concentration steps take the
+`share` of rows nearest by Mahalanobis distance and recompute mean and covariance from them; after a few steps
+the start with the least determinant goes on until its determinant stops falling. Sums are over integers, and
+nearest rows are found through a histogram of distance bins, so results don't depend on partitions and no
+group's rows are ever gathered in one task. Groups too small to estimate pool with the rest of their language,
+then with all others. A covariance gets RIDGE of its mean variance on its diagonal, nothing else.
 
 Defined results: null or empty texts have zero counts and fail the base rule; texts without words have
 no vector and aren't used in estimates; null languages and sources are values of their own; repeated
@@ -26,27 +28,28 @@ SPACE = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
 #: Fixed-point units of a vector's coordinates.
 UNIT = 1000
-#: Least spread of each coordinate, in units: in a group where a coordinate is almost constant, one
-#: boilerplate line that repeats must not make a clean text an outlier.
-FLOOR = (60, 250, 700, 600)
-P = len(FLOOR)
+#: Share of the mean variance that is added to each variance, so that a constant coordinate doesn't make a matrix singular.
+RIDGE = 1e-6
+P = 4
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 SALTS = 16
-#: Chi-square quantiles with 4 degrees of freedom (fixed values): 0.5 and 0.9999.
-CHI2_HALF, CHI2_CUT = 3.3567, 23.5127
+#: Chi-square with 4 degrees of freedom (fixed values): the median, and the point that 4 in 10 ** 8 exceed.
+CHI2_HALF, CHI2_CUT = 3.3567, 40.0
+#: Rows in a random start.
+SUBSET = 5 * (P + 1)
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and n_lines."""
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letters and n_distinct (long)."""
     t = text_or_empty(f"`{text}`")
-    kept = without(df, *OUT, "n_lines")
+    kept = without(df, *OUT, "n_letters", "n_distinct")
     names = [F.col(f"`{c}`") for c in kept.columns]
     one = kept.select(F.struct(*names).alias("r"), F.array_remove(F.split(t, SPACE + "+", -1), "").alias("w"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("l"),
-                      (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"), F.length(F.translate(t, " \t\n\x0b\f\r", "")).alias("word_chars"))
-    two = one.select("r", "n_symbols", "word_chars", F.size("w").alias("n"), F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+                      (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"), F.length(F.translate(t, " \t\n\x0b\f\r", "")).alias("word_chars"), F.length(F.regexp_replace(t, r"\P{L}+", "")).alias("n_letters"))
+    two = one.select("r", "n_symbols", "word_chars", "n_letters", F.size("w").alias("n"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     m = F.greatest(F.col("n") - 2, F.lit(0))
     pairs = F.zip_with(F.slice("h", F.lit(1), m), F.slice("h", F.lit(2), m), lambda a, b: F.xxhash64(a, b))
-    three = two.select("r", "n", "n_lines", "n_symbols", "word_chars", "n_dup_lines", F.when(F.col("n") >= 3, F.zip_with(pairs, F.slice("h", F.lit(3), m), lambda a, b: F.xxhash64(a, b))).alias("g"))
+    three = two.select("r", "n", "n_letters", F.size(F.array_distinct("h")).alias("n_distinct"), "n_symbols", "word_chars", "n_dup_lines", F.when(F.col("n") >= 3, F.zip_with(pairs, F.slice("h", F.lit(3), m), lambda a, b: F.xxhash64(a, b))).alias("g"))
     ordered = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     four = three.withColumn("o", F.when(F.size(F.array_distinct("g")) < F.size("g"), ordered))
     pos = F.flatten(F.filter(F.zip_with(F.slice("o", F.lit(1), F.size("o") - 1), F.slice("o", F.lit(2), F.size("o") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull()))
@@ -55,7 +58,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(steps, F.lit(3), lambda acc, x: acc + x)
     return five.select(
         "r.*", F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"),
-        F.col("n_dup_lines").cast("long").alias("n_dup_lines"), F.coalesce(F.when(F.size("p") > 0, covered), F.lit(0)).cast("long").alias("n_repeat_words"), F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_dup_lines").cast("long").alias("n_dup_lines"), F.coalesce(F.when(F.size("p") > 0, covered), F.lit(0)).cast("long").alias("n_repeat_words"), F.col("n_letters").cast("long").alias("n_letters"), F.col("n_distinct").cast("long").alias("n_distinct"),
     )
 
 
@@ -65,9 +68,9 @@ def _vector() -> list[Column]:
     unit = lambda x: F.round(x * UNIT).cast("long")
     return [
         unit(F.log(chars / words)),
-        unit(F.log1p(100 * F.col("n_symbols") / chars)),
-        unit(F.log1p(20 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))),
-        unit(F.log1p(20 * F.col("n_repeat_words") / words)),
+        unit(F.log((chars - F.least("n_letters", chars) + 0.5) / (chars + 1))),
+        unit(F.log(F.greatest(F.col("n_distinct"), F.lit(1)) / words)),
+        unit(F.log(words)),
     ]
 
 
@@ -97,7 +100,7 @@ def _cholesky(df: DataFrame) -> DataFrame:
         v = F.col(f"c{j}{j}")
         for k in range(j):
             v = v - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(v, F.lit(1.0))))
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))))
         new = {}
         for i in range(j + 1, P):
             v = F.col(f"c{i}{j}")
@@ -109,41 +112,87 @@ def _cholesky(df: DataFrame) -> DataFrame:
     return df
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    """Mean and covariance of integer vectors per group; the sums are exact, so their order doesn't matter."""
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
-    aggs += [F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(P)]
-    aggs += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    sums = df.groupBy("grp").agg(*aggs)
-    cov = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n") + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
-    return _cholesky(sums.select("grp", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *cov)).select(*_model_columns())
+KEYS = ["grp", "st"]
+_X = [f"x{i}" for i in range(P)]
+_MODEL = [*KEYS, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
 
 
-def _model_columns() -> list[str]:
-    return ["grp", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
+def _model(rows: DataFrame, weight: Column) -> DataFrame:
+    """Mean, Cholesky factor and log determinant per group and start of integer vectors. Rows of one group and `edge` weigh the same; within them sums are exact, so their order doesn't matter."""
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in pairs]]
+    parts = rows.groupBy(*KEYS, "edge", weight.alias("part")).agg(*aggs)
+    # Two parts for each group at most; in order, so that sums of doubles don't depend on partitions.
+    put = lambda c: F.coalesce(F.max(F.when(~F.col("edge"), F.col(c))), F.lit(0)).cast("double") + F.coalesce(F.max(F.when(F.col("edge"), F.col("part") * F.col(c))), F.lit(0.0))
+    sums = parts.groupBy(*KEYS).agg(*[put(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in pairs]]])
+    cov = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i, j in pairs]
+    plain = sums.select(*KEYS, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *cov)
+    trace = sum((F.col(f"c{i}{i}") for i in range(1, P)), F.col("c00"))
+    ridged = plain.withColumn("ridge", trace * (RIDGE / P) + 1e-6).withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.col("ridge") for i in range(P)})
+    return _cholesky(ridged).select(*_MODEL, sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00")).alias("det"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and half-quartile spreads per group and coordinate, from counts of values in bins of 20 units."""
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.expr(f"x{i} div 20").alias("v")) for i in range(P)])).alias("e")).groupBy("grp", "e.f", "e.v").agg(F.count(F.lit(1)).alias("c"))
+def _starts(points: DataFrame, n_starts: int) -> DataFrame:
+    """Models to start from: start 0 has medians and quartile spreads, from counts of values in bins of 20 units; the others are estimates from about SUBSET rows each, picked by hash."""
+    long = points.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.expr(f"x{i} div 20").alias("v")) for i in range(P)])).alias("e")).groupBy("grp", "e.f", "e.v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("grp", "f")
     cum = long.select("grp", "f", "v", F.sum("c").over(w.orderBy("v")).alias("upto"), F.sum("c").over(w).alias("n"))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("v") * 20.0))
     q = cum.groupBy("grp", "f").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("z"))
-    wide = q.groupBy("grp").agg(*[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("f") == i, F.greatest((F.col("z") - F.col("a")) / 1.349, F.lit(float(FLOOR[i]))))).alias(f"l{i}{i}") for i in range(P)])
-    return wide.select(*[F.col(c) if c in wide.columns else F.lit(0.0).alias(c) for c in _model_columns()])
+    wide = q.groupBy("grp").agg(*[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("f") == i, F.greatest((F.col("z") - F.col("a")) / 1.349, F.lit(1.0)))).alias(f"l{i}{i}") for i in range(P)])
+    first = wide.withColumn("st", F.lit(0)).withColumn("det", F.lit(math.inf))
+    first = first.select(*[F.col(c) if c in first.columns else F.lit(0.0).alias(c) for c in [*_MODEL, "det"]])
+    sizes = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SUBSET).alias("every"))
+    tried = _salted(points, sizes).withColumn("st", F.explode(F.array(*[F.lit(i) for i in range(1, n_starts)])))
+    picked = tried.where(F.pmod(F.xxhash64("st", *_X), F.col("every")) == 0)
+    return first.unionByName(_model(picked.withColumn("edge", F.lit(False)), F.lit(1.0)))
 
 
 def _bin(d2: Column) -> Column:
-    """Bins of distance, each 2 % wide; a bounded number of them."""
-    return F.floor(F.log(d2 + 1e-4) * 50).cast("int")
+    """Bins of squared distance, each half a per cent wide; a bounded number of them."""
+    return F.floor(F.log(d2 + 1e-4) * 200).cast("int")
 
 
-def _quantile_bins(rows: DataFrame, model: DataFrame, q: float) -> DataFrame:
-    hist = _salted(rows, model).select("grp", _bin(_squared([F.col(f"x{i}") for i in range(P)])).alias("bin")).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("grp")
-    cum = hist.select("grp", "bin", F.sum("c").over(w.orderBy("bin")).alias("upto"), F.sum("c").over(w).alias("n"))
-    return cum.groupBy("grp").agg(F.min(F.when(F.col("upto") >= F.ceil(q * F.col("n")), F.col("bin"))).alias("cut"))
+def _binned(points: DataFrame, model: DataFrame) -> DataFrame:
+    return _salted(points, model).withColumn("bin", _bin(_squared([F.col(x) for x in _X])))
+
+
+def _quantile_bins(points: DataFrame, model: DataFrame, q: float) -> DataFrame:
+    """For each model the bin in which the share q of its group's rows is reached, and the share of that bin's rows that reach it."""
+    hist = _binned(points, model).groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*KEYS)
+    cum = hist.select(*KEYS, "bin", "c", F.sum("c").over(w.orderBy("bin")).alias("upto"), F.ceil(q * F.sum("c").over(w)).alias("h"))
+    hit = cum.where("upto >= h and upto - c < h")
+    return hit.select(*KEYS, F.col("bin").alias("cut"), ((F.col("h") - F.col("upto") + F.col("c")) / F.col("c")).alias("part"))
+
+
+def _step(points: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """A concentration step of every model."""
+    cuts = model.join(_quantile_bins(points, model, share), KEYS)
+    near = _binned(points, cuts).where("bin <= cut").withColumn("edge", F.col("bin") == F.col("cut"))
+    return _model(near, F.when(F.col("edge"), F.col("part")).otherwise(1.0))
+
+
+def least_determinant(points: DataFrame, store: Stored, share: float = 0.75, n_starts: int = 4, first_steps: int = 3, gain: float = 1e-4) -> DataFrame:
+    """The model of least determinant for each group of points (grp, salt, x0 ...)."""
+    model = store.write(_starts(points, n_starts))
+    for _ in range(first_steps):
+        old, model = model, store.write(_step(points, model, share))
+        store.drop(old)
+    best = Window.partitionBy("grp").orderBy("det", "st")
+    old, model = model, store.write(model.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
+    store.drop(old)
+    # Determinants fall or stay in every step, so this ends.
+    while True:
+        new = store.write(_step(points, model, share))
+        was = model.select(*KEYS, F.col("det").alias("was"))
+        fell = new.join(was, KEYS).where(F.col("det") < F.col("was") - gain).count()
+        if not fell:
+            store.drop(new)
+            return model
+        chosen = store.write(new.join(was, KEYS).where(F.col("det") < F.col("was")).drop("was").unionByName(model.join(new.select(*KEYS, F.col("det").alias("now")), KEYS).where(F.col("now") >= F.col("det")).drop("now")))
+        store.drop(model, new)
+        model = chosen
 
 
 def _grouped(df: DataFrame, least: int) -> DataFrame:
@@ -158,7 +207,7 @@ def _grouped(df: DataFrame, least: int) -> DataFrame:
     return df.join(named, on).drop(named["g_lang"]).drop(named["g_source"]).drop(named["salt"])
 
 
-def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", share: float = 0.75, steps: int = 3, least: int = 100) -> DataFrame:
+def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", share: float = 0.75, n_starts: int = 4, least: int = 100) -> DataFrame:
     """key, base counts, base_failed, distance (robust, null without words) and kept for every row of df."""
     spark = df.sparkSession
     store = Stored(spark)
@@ -166,20 +215,16 @@ def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", sourc
     counted = statistics(narrow).drop("text")
     x = _vector()
     base = store.write(counted.select("*", *[x[i].alias(f"x{i}") for i in range(P)], F.pmod(F.xxhash64("key", "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("salt"),
-                                      ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed")))
+                                      ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed")).drop("n_letters", "n_distinct"))
     rows = store.write(_grouped(base, least))
-    used = rows.where("n_words > 0")
-    model = store.write(_start(used))
-    for _ in range(steps):
-        cuts = _quantile_bins(used, model, share)
-        near = _salted(used, model).withColumn("bin", _bin(_squared([F.col(f"x{i}") for i in range(P)]))).select("grp", "salt", "bin", *[f"x{i}" for i in range(P)])
-        old, model = model, store.write(_moments(_salted(near, cuts).where("bin <= cut")))
-        store.drop(old)
+    store.drop(base)
+    used = rows.where("n_words > 0").select("grp", "salt", *_X)
+    model = least_determinant(used, store, share, n_starts)
     # Covariance of the nearest rows is too small; the median distance tells by how much.
-    scale = _quantile_bins(used, model, 0.5).select("grp", F.greatest(F.exp((F.col("cut") + 1) / 50.0) / CHI2_HALF, F.lit(1.0)).alias("scale"))
-    judged = store.write(model.join(scale, "grp"))
+    half = _quantile_bins(used, model, 0.5).select(*KEYS, (F.exp((F.col("cut") + 0.5) / 200.0) / CHI2_HALF).alias("scale"))
+    judged = store.write(model.join(half, KEYS).drop("st", "det"))
     many = judged.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    d2 = _squared([F.col(f"x{i}") for i in range(P)]) / F.col("scale")
+    d2 = _squared([F.col(c) for c in _X]) / F.col("scale")
     scored = rows.join(many, ["grp", "salt"], "left").withColumn("distance", F.when(F.col("n_words") > 0, F.sqrt(d2)))
     ok = F.coalesce(F.col("distance") <= math.sqrt(CHI2_CUT), F.lit(True))
     return scored.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & ok).alias("kept"))
