@@ -62,6 +62,10 @@ def line_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.cumsum(table[raw], out=sums[1:])
         span = sums[end] - sums[start]
         counts += [((span >> np.uint64(_FIELD * k)) & np.uint64((1 << _FIELD) - 1)).astype(np.float64) for k in range(3)]
+    for i in np.flatnonzero(end - start >= 1 << _FIELD).tolist():  # lines that a counter can't hold
+        seen = np.bincount(raw[start[i] : end[i]], minlength=256)
+        for k in range(9):
+            counts[k][i] = seen @ (_TABLES[k // 3] >> np.uint64(_FIELD * (k % 3)) & np.uint64(1)).astype(np.int64)
     upper, lower, digit, symbol, shout, bar, blank, stop, high = counts
     size = (end - start).astype(np.float64)
     some = np.maximum(size, 1)

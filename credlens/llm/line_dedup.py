@@ -196,7 +196,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a shard come together, its arrays first."""
     shard, index = None, []
     for batch in batches:
-        uids, lines = [], []
+        uids, keys, lines = [], [], []
         for k, kind, mph, x, y, z in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if kind == 0:
                 shard, index = k, [*(index if shard == k else []), Shard(mph, x, y, z)]
@@ -217,8 +217,9 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.r_[True, local[1:] != local[:-1]])
             for s, e in zip(new.tolist(), [*new[1:].tolist(), len(local)], strict=True):
                 uids.append(int(who[local[s], 0]))
+                keys.append(int(who[local[s], 1]))
                 lines.append(line[s:e].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.binary())], names=["uid", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.binary())], names=["uid", "key", "lines"])
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10) -> DataFrame:
@@ -242,8 +243,8 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
     probes = map_arrow(rows.select("id", "uid", "text"), _probes(least, bits, (ha[order], hb[order], hl[order])), INDEX)
     routed = index.unionByName(probes).withColumn("part", F.when(F.col("shard") < 0, F.xxhash64("z")).otherwise(F.col("shard").cast("long")))
     met = routed.repartition(F.col("part")).sortWithinPartitions("shard", "kind").drop("part")
-    drops = map_arrow(met, _probe, "uid long, lines binary").groupBy("uid").agg(F.collect_list("lines").alias("lines"))
-    both = rows.drop("id").join(drops, "uid", "left").select("r", "text", "lines")
+    drops = map_arrow(met, _probe, "uid long, key long, lines binary").groupBy("uid", "key").agg(F.collect_list("lines").alias("lines"))
+    both = rows.withColumn("key", F.coalesce("id", F.lit(int(LAST_ID)))).join(drops, ["uid", "key"], "left").select("r", "text", "lines")
     schema = T.StructType([both.schema["r"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = map_arrow(both, _apply, schema)
     cols = [F.col("text").alias(c) if c.lower() == text.lower() else F.col(f"r.`{c}`") for c in kept.columns]

@@ -12,17 +12,21 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import without
 
-BUCKET_BITS = 12
+#: Rows that a bucket should hold at most, and bits of a bucket's number; the most buckets are what one window over their counts can hold.
+BUCKET_ROWS, LEAST_BITS, MOST_BITS = 50_000, 12, 20
 
 
 def interleave(df: DataFrame, n_shards: int = 8, source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
     """df with shard (0 .. n_shards - 1, counts at most one apart) and slot (gapless from 0 in a shard)."""
-    size = 1 << BUCKET_BITS
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, df.count()) / BUCKET_ROWS))))
+    size = 1 << bits
     kept = without(df, "shard", "slot")
     src = F.col(f"`{source}`").cast("string")
     rows = kept.select(
@@ -30,7 +34,7 @@ def interleave(df: DataFrame, n_shards: int = 8, source: str = "source", key: st
         F.when(src.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), src)).alias("s"),
         F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("h"),
         F.col(f"`{key}`").alias("k"),
-    ).withColumn("b", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    ).withColumn("b", F.shiftrightunsigned("h", 64 - bits))
 
     # Rank within a source: rows before the hash bucket, then the place in it.
     by_source = Window.partitionBy("s")
@@ -54,7 +58,7 @@ def interleave(df: DataFrame, n_shards: int = 8, source: str = "source", key: st
         .select("b2", F.expr(f"{first('b2 + 1')} - {first('b2')}").alias("c"))
     )
     in_bucket = small.unionByName(large).groupBy("b2").agg(F.sum("c").alias("c"))
-    # At most 2 ** BUCKET_BITS rows, whatever the input.
+    # At most 2 ** MOST_BITS rows, whatever the input.
     everything = Window.partitionBy(F.lit(0))
     before = in_bucket.select("b2", (F.sum("c").over(everything.orderBy("b2")) - F.col("c")).alias("before"), F.sum("c").over(everything).alias("n"))
     at = placed.join(before, "b2").withColumn("pos", F.col("before") + F.row_number().over(Window.partitionBy("b2").orderBy("frac", "s", "h", "k")) - 1)
