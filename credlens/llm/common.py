@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints"
 #: Text bytes that a vectorised kernel handles at once; bounds a worker's memory.
 SLICE_BYTES = 1 << 21
+#: Bytes in a range- or hash-dealt part: SMALL_PART up to MANY_PARTS parts, then up to LARGE_PART.
+SMALL_PART, LARGE_PART, MANY_PARTS = 16 << 20, 128 << 20, 16_384
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,10 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary folder where all of Spark is one process."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    return found or f"{LOCAL_SHARED}/{sc.applicationId}"
+    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return found
+    if not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tables-"))
+    return _local[0]
+
+
+def parts_for(spark: SparkSession, n_bytes: int) -> int:
+    """A number of parts that follows the bytes dealt out, so that a part stays level as the input grows."""
+    return max(spark.sparkContext.defaultParallelism, min(-(-n_bytes // SMALL_PART), MANY_PARTS), -(-n_bytes // LARGE_PART))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -68,24 +78,19 @@ class Stored:
             pass
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of plans that nothing refers to any more, so that two stages' files needn't stand on disk at once."""
-    for _ in range(2):  # the first round frees what Python held, the second what that held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns whose names the operator puts out itself; the operator's columns replace them."""
     lower = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
-def map_arrow(df: DataFrame, f, schema: str, rows: int = 500) -> DataFrame:
-    """mapInArrow with batches of at most `rows` rows, so that long texts can't fill a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(f, schema)
+def map_arrow(df: DataFrame, f, schema, rows: int = 500) -> DataFrame:
+    """mapInArrow; f gets batches of at most `rows` rows, cut from Spark's, whose bytes spark.sql.execution.arrow.maxBytesPerBatch bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, map_arrow, utf8_slices
+from .common import Stored, map_arrow, parts_for, utf8_slices
 from .tokens import word_bpe
 
 HASHED, DIMS, BITS = 64, 4, 10
@@ -104,7 +104,8 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 4096, text: str = "text
     store = Stored(df.sparkSession)
     plain = store.write(tokenised(df, tokenizer_path, text, key, end_id))
     kind = plain.schema["key"].dataType.simpleString()
-    ordered = plain.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key").select("key", "n", "ids", F.spark_partition_id().alias("pid"))
+    n_bytes = plain.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    ordered = plain.repartitionByRange(parts_for(df.sparkSession, n_bytes), "curve", "key").sortWithinPartitions("curve", "key").select("key", "n", "ids", F.spark_partition_id().alias("pid"))
     laid = store.write(map_arrow(ordered, _running, f"key {kind}, n long, ids binary, pid int, before long"))
     store.drop(plain)
     # One row for each partition of the sort, whatever the number of documents.

@@ -1,11 +1,15 @@
 """Personal data by base patterns and by bootstrapped contextual extraction.
 
 One pass over the texts finds base spans and, beside them, candidates: strings with the loose shape of a
-kind that no base span overlaps. Base spans are the seed instances. A lexical pattern is the words around
-an instance: two before it, or one before and one behind. Spark scores the graph of patterns and
-instances in turn: a pattern's score is the smoothed share of good instances among all that it was seen
-with, an instance that is no seed gets the mean score of its patterns. Candidates that stand in a pattern
-with a high score and enough different seeds become spans as well.
+kind that no base span overlaps and that aren't part of a longer word. Base spans are the seed instances;
+for secrets, which have no base pattern, seeds are lower-case hexadecimal digests. A lexical pattern is the
+shape of an instance with a context: the word on its left, the two words there, the word on its right, the
+words on both sides, or the shapes of both. Spark scores the graph of patterns and instances in rounds: a
+pattern's score is the lower end of a confidence interval (Wilson) of the share of good instances among all
+different ones that it was seen with; an instance whose patterns reach `least_score` on average becomes good
+and counts as a seed in the next round. Candidates in a place whose patterns reach it become spans as well,
+of the kind with the surest patterns there. A candidate that was never good counts against its patterns, so
+contexts that identifiers share with other numbers find nothing.
 
 Defined results: null counts as empty text; texts without spans give empty lists; repeated rows get the
 same spans each; columns named as outputs are replaced; an empty table gives an empty table. Spans are
@@ -14,6 +18,7 @@ in code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -24,7 +29,8 @@ from pyspark.sql import types as T
 
 from .common import Stored, map_arrow
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = 4
 # The base patterns of each kind. Possessive forms match the same without backtracking.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,7 +39,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 # Loose shapes of candidates.
-_NUMBERS = re.compile(r"[0-9](?:[ ().\-_:,/]{0,2}[0-9])++")
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9])\+?\(?[0-9](?:[ ().\-_:,/]{0,2}[0-9])++(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}+")
+_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\Z")
 _AT = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[({] ?at ?[\])}] ?([A-Za-z0-9.-]{1,255})", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 SALTS = 16
@@ -75,7 +83,19 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _secrets(t: str) -> list[tuple[bool, int, int]]:
+    """Strings of letters and digits without a break, mixed as words aren't; True for digests."""
+    out = []
+    for m in _MIXED.finditer(t):
+        w = m[0]
+        turns = sum(x.isdigit() != y.isdigit() for x, y in zip(w, w[1:], strict=False))
+        if turns >= 4:
+            out.append((bool(_DIGEST.match(w)), m.start(), m.end()))
+    return out
+
+
+def _candidates(t: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end): one for each kind that the shape allows."""
     found = []
     if "@" in t:
         for m in re.finditer("@", t):
@@ -84,41 +104,50 @@ def _candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             e = _WORD.match(t, m.end(), m.end() + 255)
             if a < m.start() and e:
                 found.append((0, a, m.end() + len(e[0].rstrip(".,;:!?\"')]>"))))
-    if "at" in t or "AT" in t:
-        if "[" in t or "(" in t or "{" in t:
-            found += [(0, m.start(), m.end()) for m in _AT.finditer(t)]
+    if ("at" in t or "AT" in t) and ("[" in t or "(" in t or "{" in t):
+        found += [(0, m.start(), m.end()) for m in _AT.finditer(t)]
     for m in _NUMBERS.finditer(t):
-        groups = re.split(r"[^0-9]+", m[0])
+        groups = re.findall("[0-9]+", m[0])
         n = sum(map(len, groups))
         if len(groups) == 4 and max(map(len, groups)) <= 3:
             found.append((1, m.start(), m.end()))
-        elif 13 <= n <= 19:
+        if 13 <= n <= 19:
             found.append((2, m.start(), m.end()))
-        elif 7 <= n <= 12:
+        if 7 <= n <= 15:
             found.append((3, m.start(), m.end()))
     if not found:
         return []
-    taken, out, last = sorted((s, e) for _, s, e in base), [], -1
-    i = 0
-    for k, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        # Base spans of different kinds may overlap each other, so look at a few of them.
-        if s >= last and not any(a < e and s < b for a, b in taken[max(0, i - 3) : i + 4]):
-            out.append((k, s, e))
-            last = e
+    spans = sorted((s, e) for _, s, e in taken)
+    # Running ends, so that a binary search tells whether any span reaches into a place.
+    starts, ends, top = [s for s, _ in spans], [], 0
+    for _, e in spans:
+        top = max(top, e)
+        ends.append(top)
+    out, last = [], (-1, -1)
+    for k, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+        i = bisect.bisect_left(starts, e)
+        if (i and ends[i - 1] > s) or (s < last[1] and (s, e) != last):
+            continue
+        out.append((k, s, e))
+        last = (s, e)
     return out
 
 
-def _patterns(t: str, s: int, e: int) -> list[str]:
-    left = re.sub("[0-9]", "0", t[max(0, s - REACH) : s].lower()).split()[-2:]
+def _shape(x: str) -> str:
+    """Digits of an unbroken number by their count, else runs of letters and digits by one sign each."""
+    return f"9x{len(x)}" if x.isdigit() else re.sub("[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", x[:80]))[:40]
+
+
+def _patterns(t: str, k: int, s: int, e: int) -> list[str]:
+    shape = "hex" if k == SECRET else _shape(t[s:e])
+    left = re.sub("[0-9]", "0", t[max(0, s - REACH) : s].lower()).split()[-3:]
     right = re.sub("[0-9]", "0", t[e : e + REACH].lower()).split()[:1]
-    out = []
-    if left:
-        out.append("L|" + " ".join(left))
-    if left and right:
-        out.append("B|" + left[-1] + "|" + right[0])
-    return out
+    a, b = (left or ["^"])[-1], (right or ["$"])[0]
+    two = " ".join(left[-2:]) if len(left) > 1 else "^ " + a
+    forms = [f"L|{a}", f"LL|{two}", f"R|{b}", f"B|{a}|{b}", f"S|{_shape(a)}|{_shape(b)}"]
+    if k == SECRET:  # often an assignment: a name, a sign, a quote
+        forms.append("N|" + " ".join(left))
+    return [f"{f}#{shape}" for f in forms]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +156,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         base, seen = [], []
         for t in b.column(b.schema.get_field_index("text")).to_pylist():
-            if not t:
-                base.append([])
-                seen.append([])
-                continue
+            t = t or ""
             spans = base_spans(t)
             base.append([{"k": k, "s": s, "e": e} for k, s, e in spans])
-            loose = _candidates(t, spans) if _DIGIT.search(t) or "@" in t or "[" in t or "(" in t or "{" in t else []
-            seen.append([{"k": k, "s": s, "e": e, "v": t[s:e].lower() if k == 0 else _digits(t[s:e]), "seed": good, "ps": _patterns(t, s, e)} for good, part in ((True, spans), (False, loose)) for k, s, e in part])
+            some = bool(_DIGIT.search(t))
+            mixed = [(good, SECRET, s, e) for good, s, e in _secrets(t)] if some else []
+            loose = _candidates(t, [*spans, *[(k, s, e) for _, k, s, e in mixed]]) if some or "@" in t or "[" in t or "(" in t or "{" in t else []
+            mixed = [x for x in mixed if not any(s < x[3] and x[2] < e for _, s, e in spans)]
+            every = [*[(True, *x) for x in spans], *mixed, *[(False, *x) for x in loose]]
+            seen.append([{"k": k, "s": s, "e": e, "v": _digits(t[s:e]) if 0 < k < SECRET else t[s:e].lower(), "seed": good, "ps": _patterns(t, k, s, e)} for good, k, s, e in every])
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("key")), b.column(b.schema.get_field_index("uid")), pa.array(base, kinds["base"]), pa.array(seen, kinds["seen"])], names=["key", "uid", "base", "seen"])
 
 
@@ -146,35 +176,76 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
-def confident_patterns(edges: DataFrame, rounds: int, least_score: float, least_seeds: int, store: Stored) -> DataFrame:
-    """(k, p) of high confidence, from distinct edges (k, p, v, seed)."""
-    # Only patterns with enough different seeds can become confident; the rest can't vouch for anything.
+def _lower(good: Column, n: Column, z: float = 1.0) -> Column:
+    """Lower end of Wilson's interval of a share good / n."""
+    p = good / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def pattern_scores(edges: DataFrame, rounds: int, least_score: float, least_seeds: int, store: Stored) -> DataFrame:
+    """(k, p, conf) of patterns with enough different seeds, from distinct edges (k, p, v, seed)."""
+    # The other patterns can't vouch for anything.
     backed = edges.groupBy("k", "p").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= least_seeds).drop("seeds")
     graph = store.write(edges.select("*", _salt("v")).join(_repeated(backed), ["k", "p", "salt"]))
-    score = graph.select("k", "v", F.col("seed").cast("double").alias("good")).groupBy("k", "v").agg(F.max("good").alias("good"))
+    good, n_good = graph.where("seed").select("k", "v").distinct(), -1
     for _ in range(rounds):
-        rated = graph.drop("salt").select("*", _salt("p")).join(_repeated(score), ["k", "v", "salt"])
-        pattern = store.write(rated.groupBy("k", "p").agg((F.sum("good") / (F.count(F.lit(1)) + 1)).alias("conf")))
-        back = graph.join(_repeated(pattern), ["k", "p", "salt"])
-        score = store.write(back.groupBy("k", "v").agg(F.max(F.col("seed").cast("double")).alias("s"), F.avg("conf").alias("c")).select("k", "v", F.greatest("s", "c").alias("good")))
-    return pattern.where(F.col("conf") >= least_score).select("k", "p")
+        rated = graph.drop("salt").join(good.withColumn("good", F.lit(1.0)), ["k", "v"], "left")
+        pattern = store.write(rated.groupBy("k", "p").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"), F.count(F.lit(1)).cast("double").alias("n")).select("k", "p", _lower(F.col("g"), F.col("n")).alias("conf")))
+        found = graph.join(_repeated(pattern), ["k", "p", "salt"]).groupBy("k", "v").agg(F.avg("conf").alias("conf")).where(F.col("conf") >= least_score).select("k", "v")
+        good = store.write(graph.where("seed").select("k", "v").union(found).distinct())
+        if (now := good.count()) == n_good:
+            break
+        n_good = now
+    return pattern
+
+
+def _seen(df: DataFrame, text: str, key: str, store: Stored) -> DataFrame:
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("uid", _uid("key", "text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return store.write(map_arrow(rows, _scan, f"key {kind}, uid binary, base {SPAN}, seen array<struct<k:int,s:int,e:int,v:string,seed:boolean,ps:array<string>>>"))
 
 
-def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 3, least_score: float = 0.8, least_seeds: int = 5) -> DataFrame:
-    """key, uid (of key and text), base and added spans: arrays of (k, s, e), sorted; one row for each row of df."""
-    store = Stored(df.sparkSession)
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("uid", F.xxhash64("key", "text"))
-    span = "array<struct<k:int,s:int,e:int>>"
-    kind = rows.schema["key"].dataType.simpleString()
-    scanned = store.write(map_arrow(rows, _scan, f"key {kind}, uid long, base {span}, seen array<struct<k:int,s:int,e:int,v:string,seed:boolean,ps:array<string>>>"))
+def _occurrences(scanned: DataFrame) -> DataFrame:
     seen = scanned.where(F.size("seen") > 0).select("uid", F.explode("seen").alias("x")).select("uid", "x.*")
-    occurrences = seen.select("uid", "k", "s", "e", "v", "seed", F.explode("ps").alias("p"))
+    return seen.select("uid", "k", "s", "e", "v", "seed", F.explode("ps").alias("p"))
+
+
+def _uid(*names: str) -> Column:
+    """128 bits of a row's id and text; rows with the same get the same spans."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), *names)), 16, "0") for i in (1, 2)]))
+
+
+SPAN = "array<struct<k:int,s:int,e:int>>"
+
+
+def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 5, least_score: float = 0.65, least_seeds: int = 5) -> DataFrame:
+    """key, uid (of key and text), base, added and secret spans: arrays of (k, s, e), sorted; one row for each row of df."""
+    store = Stored(df.sparkSession)
+    scanned = _seen(df, text, key, store)
+    occurrences = _occurrences(scanned)
     edges = occurrences.groupBy("k", "p", "v").agg(F.max("seed").alias("seed"))
-    sure = confident_patterns(edges, rounds, least_score, least_seeds, store)
+    scores = pattern_scores(edges, rounds, least_score, least_seeds, store)
     loose = occurrences.where(~F.col("seed")).select("uid", "k", "s", "e", "p", _salt("v"))
-    new = loose.join(_repeated(sure), ["k", "p", "salt"], "left_semi").groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("k", "s", "e"))).alias("added"))
-    none = F.array().cast(span)
-    return scanned.select("key", "uid", F.array_sort("base").alias("base")).join(new, "uid", "left").select(F.col("key").alias(key), "uid", "base", F.coalesce("added", none).alias("added"))
+    # A place that may be of several kinds gets the surest; of equally sure ones the first.
+    places = loose.join(_repeated(scores), ["k", "p", "salt"]).groupBy("uid", "k", "s", "e").agg(F.avg("conf").alias("conf")).where(F.col("conf") >= least_score)
+    rated = places.groupBy("uid", "s", "e").agg(F.min_by("k", F.struct(-F.col("conf"), F.col("k"))).alias("k"))
+    new = rated.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e"))).alias("new"))
+    none = F.array().cast(SPAN)
+    plain = scanned.select("key", "uid", F.array_sort("base").alias("base"), F.transform(F.filter("seen", lambda x: x["seed"] & (x["k"] == SECRET)), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("digests"))
+    both = plain.join(new, "uid", "left").withColumn("new", F.coalesce("new", none))
+    return both.select(F.col("key").alias(key), "uid", "base", F.filter("new", lambda x: x["k"] < SECRET).alias("added"), F.array_sort(F.concat("digests", F.filter("new", lambda x: x["k"] == SECRET))).alias("secrets"))
+
+
+def hidden_recall(df: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 5, rounds: int = 5, least_score: float = 0.65, least_seeds: int = 5) -> DataFrame:
+    """What bootstrapping makes of identifiers that it wasn't told of: every folds-th different seed of a kind is hidden. kind, n_hidden, n_back (hidden ones found again), n_other and n_other_found (candidates that were never seeds)."""
+    store = Stored(df.sparkSession)
+    edges = _occurrences(_seen(df, text, key, store)).groupBy("k", "p", "v").agg(F.max("seed").alias("was"))
+    edges = store.write(edges.withColumn("seed", F.col("was") & (F.pmod(F.xxhash64("k", "v"), F.lit(folds)) != 0)))
+    scores = pattern_scores(edges.drop("was"), rounds, least_score, least_seeds, store)
+    found = edges.where("not seed").join(scores, ["k", "p"], "left").groupBy("k", "v").agg(F.max("was").alias("was"), (F.coalesce(F.avg("conf"), F.lit(0.0)) >= least_score).cast("int").alias("hit"))
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    was, hit = F.col("was"), F.col("hit") == 1
+    return found.groupBy("k").agg(one(was).alias("n_hidden"), one(was & hit).alias("n_back"), one(~was).alias("n_other"), one(~was & hit).alias("n_other_found")).select(F.element_at(F.array(*[F.lit(x) for x in KINDS]), F.col("k") + 1).alias("kind"), "n_hidden", "n_back", "n_other", "n_other_found")
 
 
 def spans_text(spans: Column) -> Column:
@@ -201,9 +272,10 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mask_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """df with each span of its text replaced by its kind in brackets; overlapping spans by that of the first."""
     found = find_personal_data(df, text, key, **how)
-    spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).groupBy("uid").agg(F.first(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added", "secrets")
+    spans = found.where(F.size(every) > 0).groupBy("uid").agg(F.first(every).alias("spans"))
     other = [c for c in df.columns if c.lower() != text.lower()]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(0).alias("_")]).alias("r"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).alias("uid"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(0).alias("_")]).alias("r"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{key}`").alias("key")).withColumn("uid", _uid("key", "text")).drop("key")
     both = rows.join(spans, "uid", "left").select("r", "text", "spans")
     done = map_arrow(both, _mask, T.StructType([both.schema["r"], T.StructField("text", T.StringType())]))
     return done.select(*[F.col("text").alias(c) if c.lower() == text.lower() else F.col(f"r.`{c}`") for c in df.columns])

@@ -3,11 +3,12 @@
 The tokenizer drops white space before it forms pieces, its normalizer composes nothing across ASCII
 white space, and its added tokens hold none. So the ids of a text are those of its words (split at
 ASCII white space, as bytes.split() does) end to end. Words go to the library once and are kept in a
-cache of bounded size.
+cache of bounded size. A file for which any of this isn't so is refused when it is loaded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -60,9 +61,32 @@ class WordBPE:
         self.folds = all(same(c.upper() + c, c + c) for c in letters)
         self.parts = all(same(f"{c}{p}x", f"{c} {p}x") and same(f"{c}{p}", f"{c} {p}") for c in letters for p in ".,")
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        if reason := self._unfit():
+            raise ValueError(f"{path} can't be encoded word by word: {reason}")
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _unfit(self) -> str | None:
+        """Why the ids of a text aren't those of its words end to end, or its decoded form not its tokens with a space between; None if they are."""
+        made = json.loads(self.library.to_str())
+        if made.get("decoder") is not None or made.get("post_processor") is not None:
+            return "it has a decoder or a post-processor"
+        if any(t.split() != [t] for t in self.added):
+            return "an added token holds white space"
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made.get("added_tokens", [])):
+            return "an added token looks at its neighbours"
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        # Letters, digits, contractions, symbols, marks that compose, other scripts.
+        words = ["the", "It", "x1", "42", "'s", "don't", "e", "\u0301x", "#$", "\u00e9", "\u65e5\u672c", "-", "\U0001f44d", *[t.decode() for t in self.added]]
+        for gap in " \t\n\r\x0b\x0c":
+            for a in words:
+                for b in words:
+                    if ids(a + gap + b) != ids(a) + ids(b):
+                        return f"pieces cross white space {gap!r} between {a!r} and {b!r}"
+                if ids(gap + a + gap + gap) != ids(a):
+                    return f"white space {gap!r} isn't dropped"
+        return None
+
     def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and a stop; and their offsets.
 

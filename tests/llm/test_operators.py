@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from credlens.llm import crf, embedding_dedup, line_dedup, minhash, packing, pii, suffix_dedup
+from credlens.llm import crf, embedding_dedup, line_dedup, minhash, packing, pii, quality_rules, suffix_dedup
 from credlens.llm.chunked_bpe import ChunkEncoder, encode_decode
 from credlens.llm.embedding_dedup import near_vectors
 from credlens.llm.line_dedup import PerfectHash, dedup_lines
@@ -87,6 +87,15 @@ def test_crf_scores_held_out_and_edges(spark, docs, empty):
     assert {r.score for r in crf.classify(docs, none, keep_text=False).collect()} == {0.5}
 
 
+def test_a_line_of_three_megabytes_has_the_bins_of_a_short_one(spark):
+    n = crf.FEATURES
+    for piece in (b"7", b"A", b"a.", b"x!? |"):
+        # The longest length bin begins at 1,200 bytes, so lines behind it differ in nothing.
+        short, long = piece * 2000, piece * (3_100_000 // len(piece))
+        bins, lines, size = crf.line_features(np.frombuffer(short + b"\n" + long, np.uint8), np.array([0, len(short), len(short), len(short) + 1 + len(long)]))
+        assert bins[0].tolist()[:9] == bins[-1].tolist()[:9] and bins.shape == (4, n) and size[-1] == len(long) + 1
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
     n_lines = np.array([1, 4, 3])
@@ -157,6 +166,25 @@ def test_interleaving_is_gapless_and_proportional(docs, empty, spark):
     assert interleave(empty).count() == 0
 
 
+def test_shards_and_slots_equal_a_plain_sort(spark, docs):
+    sized = docs.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id").alias("h"))
+    rows, by = sized.collect(), defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    placed = []
+    for source, of in by.items():
+        of.sort(key=lambda r: (r.h % (1 << 64), r.doc_id))  # hashes rank as unsigned numbers
+        # Fractional rank; equal ones by the source's name (null before), then by hash.
+        placed += [((2 * i + 1) / (2 * len(of)), "n" if source is None else "s" + source, r.h, r.doc_id) for i, r in enumerate(of)]
+    placed.sort()
+    n, want = len(placed), []
+    for pos, (*_, i) in enumerate(placed):
+        shard = pos * 8 // n
+        want.append((i, shard, pos - -(-shard * n // 8)))
+    got = [(r.doc_id, r.shard, r.slot) for r in interleave(docs, 8).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # 4
 
 def _kept_lines(rows):
@@ -233,6 +261,38 @@ def test_bootstrapping_finds_unseen_identifiers(spark, rows, docs, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_hidden_identifiers_come_back(spark):
+    r = random.Random(6)
+    words = ["ask", "for", "the", "desk", "at", "noon", "and", "then", "call", "again"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    card = lambda: "".join(r.choice("0123456789") for _ in range(16))
+    rows = []
+    for i in range(400):
+        n = card()
+        if i % 2:  # Luhn numbers and others stand in the same contexts
+            n = next(n[:15] + c for c in "0123456789" if pii._luhn(n[:15] + c))
+        rows.append((i, f"{say(5)} mail me{i}@host{i}.example.org {say(3)} host 10.{i % 200}.{i % 7}.{i % 11} {say(4)} pay {n} now. token = \"{r.getrandbits(160):040x}\" {say(2)}"))
+    rows.append((900, f"{say(3)} TOKEN = \"{r.getrandbits(160):040X}\" {say(2)}"))
+    rows.append((901, f"{say(3)} mail someone [at] host [dot] example and {r.getrandbits(128):032x}x1y2z3 {say(2)}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.kind: x for x in pii.hidden_recall(frame).collect()}
+    for kind in ("email", "ip", "secret"):
+        assert got[kind].n_hidden > 30 and got[kind].n_back >= 0.9 * got[kind].n_hidden
+    # Half of the numbers in these contexts are no cards, so the contexts can't vouch for any.
+    assert got["card"].n_hidden > 20 and got["card"].n_back == 0 and got["card"].n_other_found == 0
+    found = {x.doc_id: x for x in pii.find_personal_data(frame).collect()}
+    assert len(found[900].secrets) == 1 and not found[901].secrets and all(len(found[i].secrets) == 1 and not found[i].added for i in range(400))
+    masked = {x.doc_id: x.text for x in pii.mask_personal_data(frame).collect()}
+    assert 'TOKEN = "[SECRET]"' in masked[900]
+
+
+def test_candidates_are_whole_words_and_of_every_kind_they_may_be():
+    at = lambda t: [(k, t[s:e]) for k, s, e in pii._candidates(t, pii.base_spans(t))]
+    assert at("c7c44ab5d48cb8ca99c1afc0912391d7") == [] and at("x4111111111111112") == []
+    assert at("ring 612 34 56 78 now") == [(1, "612 34 56 78"), (3, "612 34 56 78")]
+    assert at("pay 123456789012345.") == [(2, "123456789012345"), (3, "123456789012345")]
+
+
 # 6, 7
 
 @pytest.fixture(scope="module")
@@ -409,6 +469,56 @@ def _stats(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again)
 
 
+def _mcd(x, share=0.75, seed=0):
+    """Fast-MCD on one group, the plain way: many starts, steps to the end, least determinant."""
+    n, p = x.shape
+    h, rng, best = int(np.ceil(share * n)), np.random.default_rng(seed), (np.inf, None, None)
+    starts = [np.argsort((((x - np.median(x, 0)) / (np.std(x, 0) + 1e-9)) ** 2).sum(1))[:h]] + [rng.choice(n, 5 * (p + 1), replace=False) for _ in range(30)]
+    for at in starts:
+        det = np.inf
+        while True:
+            m, c = x[at].mean(0), np.cov(x[at].T, bias=True)
+            c = c + np.eye(p) * (1e-6 * np.trace(c) / p + 1e-6)
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            if (new := np.linalg.slogdet(c)[1]) >= det - 1e-9:
+                break
+            det, at = new, np.argsort(d, kind="stable")[:h]
+        if det < best[0]:
+            best = det, m, c
+    d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    return best[0], np.sqrt(d / (np.sort(d)[int(np.ceil(0.5 * n)) - 1] / quality_rules.CHI2_HALF))
+
+
+def _vectors(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    chars, letters = sum(map(len, w)), sum(map(str.isalpha, t))
+    return [round(1000 * float(np.log(v))) for v in (chars / len(w), (chars - letters + 0.5) / (chars + 1), len(set(w)) / len(w), len(w))]
+
+
+def test_estimate_equals_the_least_determinant_and_rejects_what_no_coordinate_shows(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(1200):
+        n = int(60 * 10 ** rng.uniform(0, 1.5))
+        texts.append(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 2, 3]))) + (rng.choice(",.") if rng.random() < 0.1 else "") for _ in range(n)))
+    # Few different words for so short a text: each value alone is common, the pair is not.
+    odd = []
+    for _ in range(12):
+        few = rng.sample(rng.choice([t for t in texts if len(t) > 2000]).split(), 50)
+        odd.append(" ".join(rng.choice(few) for _ in range(110)))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts + odd)], SCHEMA).repartition(5)
+    got = {r.doc_id: r for r in robust_outliers(frame).collect()}
+    x = np.array([_vectors(t) for t in texts + odd], float)
+    det, want = _mcd(x)
+    mine = np.array([got[i].distance for i in range(len(x))])
+    assert (np.abs(mine - want) <= 0.01 * want + 0.01).mean() > 0.99 and np.abs(mine / np.maximum(want, 0.2) - 1).max() < 0.03
+    assert not any(got[len(texts) + i].kept for i in range(12))
+    # Medians and quartile spreads of each coordinate would keep most of them.
+    plain = (((x - np.median(x, 0)) / (np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.349)) ** 2).sum(1)
+    assert (plain[len(texts):] < quality_rules.CHI2_CUT).sum() >= 9
+    assert np.mean([got[i].kept for i in range(len(texts))]) > 0.98
+
+
 def test_rules_against_brute_force_and_reject_outliers(spark, rows, docs, empty):
     got = robust_outliers(_clash(docs, "kept", "n_words")).collect()
     assert len(got) == len(rows)
