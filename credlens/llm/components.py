@@ -24,14 +24,12 @@ def _with_lowest(rows: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
     return salted.join(many, ["u", "salt"]).drop("salt")
 
 
-def connected(edges: DataFrame, store: Stored, most: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes; a star's minimum is pre-aggregated, and a hub's edges are spread, so that it costs no task more than its share."""
+def connected(edges: DataFrame, store: Stored) -> DataFrame:
+    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes, which takes about the logarithm of the number of nodes; a star's minimum is pre-aggregated, and a hub's edges are spread, so that it costs no task more than its share."""
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     e = store.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     before = state(e)
-    for _ in range(most):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         hubs = [r.u for r in ends.where(F.col("n") > max(1000, 2 * before[0] // HUB)).select("u").collect()]
@@ -49,6 +47,34 @@ def connected(edges: DataFrame, store: Stored, most: int = 60) -> DataFrame:
     return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def bucket_stars(banded: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
+    """Of rows (bucket, id, ...): those in buckets of two rows at least, and the distinct star edges (u, v) from each row to its bucket's smallest id; at most one edge for each row."""
+    sizes = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
+    several = store.write(banded.join(sizes, "bucket"))
+    return several.drop("centre"), several.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
+
+
+def star_blocks(edges: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """Edges' ends with their data: rows (id, ...) of the members u of each centre v in blocks of about `most`, each block with a copy of the centre's row; columns component (the centre), bi, bj, small (a member)."""
+    sizes = edges.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("c"))
+    members = edges.join(sizes, "v").select(F.col("u").alias("id"), F.col("v").alias("component"), F.pmod(F.xxhash64("u"), F.col("c")).cast("int").alias("bi"), F.lit(True).alias("small"))
+    centres = sizes.select(F.col("v").alias("id"), F.col("v").alias("component"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("bi"), F.lit(False).alias("small"))
+    return members.unionByName(centres).join(rows, "id").withColumn("bj", F.lit(0))
+
+
+def cross_blocks(rows: DataFrame, group: str, key: str, root: str, most: int) -> DataFrame:
+    """Rows of groups that hold two roots at least, in blocks (bi, bj) in which every row outside its group's most frequent root (small) meets every row of the group once. A group of n rows with s small ones costs n * s / most ** 2 blocks: nothing where one root holds all, and never all pairs of a large root."""
+    counts = rows.groupBy(group, root).agg(F.count(F.lit(1)).alias("k"))
+    mains = counts.groupBy(group).agg(F.sum("k").alias("n"), F.max(F.struct("k", root)).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    sizes = mains.select(group, F.col(f"m.{root}").alias("main"), F.ceil(F.col("n") / most).cast("int").alias("c"), F.ceil((F.col("n") - F.col("m.k")) / most).cast("int").alias("d"))
+    placed = rows.join(sizes, group)
+    part = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = placed.select(*rows.columns, part("c").alias("bj"), over("d").alias("bi"), F.lit(False).alias("small"))
+    few = placed.where(F.col(root) != F.col("main")).select(*rows.columns, part("d").alias("bi"), over("c").alias("bj"), F.lit(True).alias("small"))
+    return every.unionByName(few)
+
+
 def blocks(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """Rows of groups of two at least, with block columns bi <= bj and part: a group of up to `most` rows is the block (0, 0); the rows of a larger one are dealt to c parts and copied to the c blocks that pair their part with each part, so that every pair of rows meets in a block of at most about 2 * most rows."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

@@ -4,10 +4,12 @@ A text's set holds the hashes of its distinct shingles; texts with equal sets fo
 goes on. One hash of each shingle picks a bin by its top bits and the least value per bin is the
 signature; an empty bin takes the value of the first filled bin in an order that only the bin decides, so
 each bin agrees with the probability of the sets' similarity. BANDS bands of ROWS bins give buckets.
-Within a bucket, classes whose signatures agree enough (or whose sets are too small to tell) are joined
-by star edges to the first of their kind, at most one for each member. Components of those edges are
-neighbourhoods: their texts meet, block by block, and are linked after intersecting the full sets, in
-order of likeness and only where no link joins them yet. Components of links give the result.
+Candidates are stars: an edge from each text to the smallest id of its bucket. Edges whose signatures agree
+enough (or whose sets are too small to tell) are checked on the full sets, in blocks of one centre. What is
+linked so is settled. Where a bucket still holds texts of different components, those outside its largest
+component are compared by signature with all of it; texts that agree across components form neighbourhoods,
+and in these the full sets are intersected, again only across components and in order of likeness. A bucket
+of near copies that all link to its centre costs one check for each text; components of links are the result.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; texts with
 fewer words than a shingle have one shingle of all words; rows that share an id are taken for repeats of
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, map_arrow, utf8_slices
-from .components import blocks, connected, labels_of, map_blocks, star_edges
+from .components import bucket_stars, connected, cross_blocks, labels_of, map_blocks, star_blocks, star_edges
 from .rolling import RangeHash, mix
 
 BIN_BITS = 7
@@ -35,7 +37,8 @@ BANDS = BINS // ROWS
 SMALL = 64
 #: Of BINS bins, agreement below this is over six standard deviations from a similarity of 0.8.
 LEAST_AGREE = 0.56
-BUCKET, BLOCK = 1024, 512
+#: Rows of a block of signatures, of full sets across components, and of one centre's members.
+BUCKET, BLOCK, MEMBERS = 1024, 512, 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -138,51 +141,90 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _likely(n: np.ndarray, sketch: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs a < b that may reach the similarity, and how much they agree."""
-    a, b, how = [], [], []
-    for s in range(0, len(n), 128):
-        like = agreement(sketch[s : s + 128], sketch)
-        small = np.minimum(n[s : s + 128, None], n[None]) < SMALL
-        fits = np.minimum(n[s : s + 128, None], n[None]) >= share * np.maximum(n[s : s + 128, None], n[None]) - 1e-9
-        i, j = np.nonzero(fits & (small | (like >= LEAST_AGREE)))
-        keep = i + s < j
-        a.append(i[keep] + s)
-        b.append(j[keep])
-        how.append(like[i[keep], j[keep]])
+def _likely(n: np.ndarray, sketch: np.ndarray, few: np.ndarray, every: np.ndarray, root: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the rows few x every with different roots that may reach the similarity, and how much they agree."""
+    a, b, how = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for s in range(0, len(few), 128):
+        x = few[s : s + 128]
+        like = agreement(sketch[x], sketch[every])
+        low, high = np.minimum(n[x, None], n[None, every]), np.maximum(n[x, None], n[None, every])
+        i, j = np.nonzero((low >= share * high - 1e-9) & ((low < SMALL) | (like >= LEAST_AGREE)) & (root[x, None] != root[None, every]))
+        a.append(x[i])
+        b.append(every[j])
+        how.append(like[i, j])
     return np.concatenate(a), np.concatenate(b), np.concatenate(how)
 
 
-def _bucket_stars(share: float):
+def _star_filter(share: float):
+    """Edges (u, v) whose sketches and set sizes allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, n, m, x, y = b.columns
+            n, m = n.to_numpy(), m.to_numpy()
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (x, y))
+            like = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            low = np.minimum(n, m)
+            keep = (low >= share * np.maximum(n, m) - 1e-9) & ((low < SMALL) | (like >= LEAST_AGREE))
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
+def _bucket_agreement(share: float):
+    """Star edges between the texts of a block that agree across roots."""
+
     def run(t: pa.Table) -> pa.RecordBatch | None:
-        ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        ids, n, root, small = (t[c].to_numpy() for c in ("id", "n", "root", "small"))
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        if len(ids) == 2:
-            like = ((sketch[0] == sketch[1]).mean() - 1 / 256) / (1 - 1 / 256)
-            if n.min() < share * n.max() - 1e-9 or (n.min() >= SMALL and like < LEAST_AGREE) or ids[0] == ids[1]:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(ids[1:]), pa.array(ids[:1])], names=["u", "v"])
-        a, b, _ = _likely(n, sketch, share)
-        return star_edges(ids, labels_of(len(ids), a, b))
+        # A text may stand here twice, among the few and among all.
+        names, at = np.unique(ids, return_inverse=True)
+        a, b, _ = _likely(n, sketch, np.flatnonzero(small), np.flatnonzero(~small), root, share)
+        return star_edges(names, labels_of(len(names), at[a], at[b]))
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, off in utf8_slices(batches):
+            s, bound = shingles(raw, off, k)
+            low = (signatures(s, bound) & np.uint64(255)).astype(np.uint8)
+            at = bound.tolist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "set", "sketch"])
 
     return run
 
 
-def _verify(k: int, percent: int):
-    """Links between texts of a block, fewest that connect them."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _check_stars(percent: int):
+    """Links of a centre with the members in its block."""
 
     def run(t: pa.Table) -> pa.RecordBatch | None:
-        ids, texts = t["id"].to_numpy(), t["text"].combine_chunks()
-        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        sets, sketch = [], []
-        for _, raw, off in utf8_slices([batch]):
-            s, bound = shingles(raw, off, k)
-            sketch.append((signatures(s, bound) & np.uint64(255)).astype(np.uint8))
-            sets += np.split(s, bound[1:-1])
-        n, sketch = np.array([len(x) for x in sets]), np.concatenate(sketch)
-        a, b, how = _likely(n, sketch, percent / 100)
+        ids, small = t["id"].to_numpy(), t["small"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        (c,) = np.flatnonzero(~small).tolist()
+        u = [int(ids[i]) for i in np.flatnonzero(small).tolist() if _alike(sets[i], sets[c], percent)]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([int(ids[c])] * len(u), pa.int64())], names=["u", "v"]) if u else None
+
+    return run
+
+
+def _check_across(percent: int):
+    """Links of a block across roots, fewest that connect them."""
+
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        ids, small, old = (t[c].to_numpy() for c in ("id", "small", "root"))
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b, how = _likely(np.array([len(x) for x in sets]), sketch, np.flatnonzero(small), np.flatnonzero(~small), old, percent / 100)
         order = np.argsort(-how, kind="stable")
-        root = list(range(len(ids)))
+        names, at = np.unique(old, return_inverse=True)
+        root = list(range(len(names)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -192,13 +234,10 @@ def _verify(k: int, percent: int):
 
         u, v = [], []
         for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            if (p := find(i)) != (q := find(j)):
-                x, y = sets[i], sets[j]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    root[max(p, q)] = min(p, q)
-                    u.append(ids[i])
-                    v.append(ids[j])
+            if (p := find(at[i])) != (q := find(at[j])) and _alike(sets[i], sets[j], percent):
+                root[max(p, q)] = min(p, q)
+                u.append(ids[i])
+                v.append(ids[j])
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]) if u else None
 
     return run
@@ -213,12 +252,24 @@ def near_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     classes = store.write(sketched.where(usable).groupBy("g", "h").agg(F.min("id").alias("rep")))
     reps = store.write(sketched.where(usable).join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]).select("id", "n", "bands", "sketch"))
     banded = map_arrow(reps.select("id", "bands"), _bands, "bucket long, id long", 2000)
-    met = blocks(banded, "bucket", "id", BUCKET).join(reps.select("id", "n", "sketch"), "id")
-    stars = map_blocks(met, "bucket", _bucket_stars(percent / 100), "u long, v long", 2000)
-    around = store.write(connected(stars, store).select(F.col("node").alias("id"), "component"))
-    texts = rows.join(around, "id").dropDuplicates(["id"])
-    links = map_blocks(blocks(store.write(texts), "component", "id", BLOCK), "component", _verify(shingle, percent), "u long, v long", 200)
-    root = connected(links, store).select(F.col("node").alias("rep"), "component")
+    several, stars = bucket_stars(banded, store)
+    ends = stars.join(reps.select(F.col("id").alias("u"), "n", "sketch"), "u").join(reps.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v")
+    likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000))
+    whole = lambda ids: store.write(map_arrow(rows.join(ids.distinct(), "id").dropDuplicates(["id"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
+    sets = whole(likely.select(F.col("u").alias("id")).union(likely.select("v")))
+    links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200))
+    store.drop(sets, likely)
+    first = store.write(connected(links, store).select(F.col("node").alias("id"), F.col("component").alias("root")))
+    rooted = lambda ids: ids.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    met = cross_blocks(rooted(several), "bucket", "id", "root", BUCKET).join(reps.select("id", "n", "sketch"), "id")
+    agreeing = map_blocks(met, "bucket", _bucket_agreement(percent / 100), "u long, v long", 2000)
+    around = store.write(rooted(connected(agreeing, store).select(F.col("node").alias("id"), "component")))
+    store.drop(several)
+    sets = whole(around.select("id"))
+    across = store.write(map_blocks(cross_blocks(around, "component", "id", "root", BLOCK).join(sets, "id"), "component", _check_across(percent), "u long, v long", 200))
+    store.drop(sets, around)
+    root = store.write(connected(links.unionByName(across), store).select(F.col("node").alias("rep"), "component"))
+    store.drop(links, across, first, reps)
     named = classes.join(root, "rep", "left").select("g", "h", F.coalesce("component", "rep").alias("component"))
     # Rows without a set are spread by their id; they join with nothing.
     slim = sketched.select("id", "n", F.when(usable, F.col("g")).otherwise(F.xxhash64("id")).alias("g"), F.when(usable, F.col("h")).alias("h"))

@@ -388,6 +388,34 @@ def test_vectors_against_brute_force(spark, empty):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_planted_links_of_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 32))
+    one = base[0] + rng.normal(size=(700, 32)) * 0.25  # a large group, partly in chains
+    pairs = base[1:801] + rng.normal(size=(800, 32)) * rng.uniform(0, 0.6, size=(800, 1))
+    x = np.vstack([base, one, pairs, base[1000:1500]])  # and exact copies
+    order = rng.permutation(len(x))
+    x = x[order]
+    got = near_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert len(x) == 5000 and link.sum() > 5000
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(link, label[None], len(x)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    assert got["n_links"].tolist() == link.sum(axis=1).tolist() and got["component_id"].tolist() == label.tolist()
+
+
+def test_vectors_of_any_magnitude_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1.0001e-200]), (4, [1e200, -1e200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_tables_miss_pairs_independently():
     # At 1e-6 for each pair, 20,000 pairs at the threshold have 0.02 misses.
     signs, tables = embedding_dedup.plan_tables(30_000_000, 0.9)
@@ -446,6 +474,23 @@ def test_near_texts_against_brute_force(spark, rows, docs, empty):
     assert near_texts(empty).count() == 0
 
 
+def test_links_that_no_centre_holds_are_found(spark):
+    # The smallest id is like everything a little and like nothing enough; the others form chains beside it.
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base[:130] + [f"z{i}" for i in range(70)]))]
+    for i in range(1, 60):
+        words = list(base)
+        for _ in range(1 + i % 12):
+            words[r.randrange(200)] = f"e{r.randrange(900)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(base[60:] + [f"q{i % 3}x{j}" for j in range(60)])) for i in range(9)]
+    sets = _sets(rows, 5)
+    want = _components(sets)
+    got = {x.doc_id: x.component_id for x in near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     r = np.random.default_rng(5)
     agree = []
