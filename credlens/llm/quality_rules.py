@@ -80,20 +80,25 @@ def _salted(df: DataFrame, model: DataFrame, on: str = "grp") -> DataFrame:
     return df.join(many, [on, "salt"])
 
 
-def _squared(x: list[Column], prefix: str = "") -> Column:
-    """Mahalanobis distance squared from the Cholesky factor in columns l_i_j: forward substitution."""
-    y: list[Column] = []
+def _squared(x: list[Column]) -> Column:
+    """Mahalanobis distance squared from the mean in columns m_i and the inverse Cholesky factor in columns w_i_j."""
+    total = None
     for i in range(P):
-        v = x[i] - F.col(f"{prefix}m{i}")
-        for j in range(i):
-            v = v - F.col(f"{prefix}l{i}{j}") * y[j]
-        y.append(v / F.col(f"{prefix}l{i}{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
+        y = sum(((x[j] - F.col(f"m{j}")) * F.col(f"w{i}{j}") for j in range(1, i + 1)), (x[0] - F.col("m0")) * F.col(f"w{i}0"))
+        total = F.pow(y, 2) if total is None else total + F.pow(y, 2)
     return total
 
 
+def _inverse(df: DataFrame) -> DataFrame:
+    """Adds w_i_j, the inverse of the lower triangle l_i_j, row by row."""
+    for i in range(P):
+        new = {f"w{i}{i}": 1 / F.col(f"l{i}{i}")}
+        for j in range(i):
+            new[f"w{i}{j}"] = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"w{j}{j}")) / F.col(f"l{i}{i}")
+        df = df.withColumns(new)
+    return df
+
+
 def _cholesky(df: DataFrame) -> DataFrame:
     """Adds l_i_j of the matrix in columns c_i_j (i >= j), column by column."""
     for j in range(P):
@@ -114,7 +119,7 @@ def _cholesky(df: DataFrame) -> DataFrame:
 
 KEYS = ["grp", "st"]
 _X = [f"x{i}" for i in range(P)]
-_MODEL = [*KEYS, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
+_MODEL = [*KEYS, *[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i in range(P) for j in range(i + 1)]]
 
 
 def _model(rows: DataFrame, weight: Column) -> DataFrame:
@@ -129,7 +134,7 @@ def _model(rows: DataFrame, weight: Column) -> DataFrame:
     plain = sums.select(*KEYS, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *cov)
     trace = sum((F.col(f"c{i}{i}") for i in range(1, P)), F.col("c00"))
     ridged = plain.withColumn("ridge", trace * (RIDGE / P) + 1e-6).withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.col("ridge") for i in range(P)})
-    return _cholesky(ridged).select(*_MODEL, sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00")).alias("det"))
+    return _inverse(_cholesky(ridged)).select(*_MODEL, sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00")).alias("det"))
 
 
 def _starts(points: DataFrame, n_starts: int) -> DataFrame:
@@ -139,7 +144,7 @@ def _starts(points: DataFrame, n_starts: int) -> DataFrame:
     cum = long.select("grp", "f", "v", F.sum("c").over(w.orderBy("v")).alias("upto"), F.sum("c").over(w).alias("n"))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("v") * 20.0))
     q = cum.groupBy("grp", "f").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("z"))
-    wide = q.groupBy("grp").agg(*[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("f") == i, F.greatest((F.col("z") - F.col("a")) / 1.349, F.lit(1.0)))).alias(f"l{i}{i}") for i in range(P)])
+    wide = q.groupBy("grp").agg(*[F.max(F.when(F.col("f") == i, F.col("m"))).alias(f"m{i}") for i in range(P)], *[F.max(F.when(F.col("f") == i, 1 / F.greatest((F.col("z") - F.col("a")) / 1.349, F.lit(1.0)))).alias(f"w{i}{i}") for i in range(P)])
     first = wide.withColumn("st", F.lit(0)).withColumn("det", F.lit(math.inf))
     first = first.select(*[F.col(c) if c in first.columns else F.lit(0.0).alias(c) for c in [*_MODEL, "det"]])
     sizes = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SUBSET).alias("every"))
@@ -173,7 +178,7 @@ def _step(points: DataFrame, model: DataFrame, share: float) -> DataFrame:
     return _model(near, F.when(F.col("edge"), F.col("part")).otherwise(1.0))
 
 
-def least_determinant(points: DataFrame, store: Stored, share: float = 0.75, n_starts: int = 4, first_steps: int = 3, gain: float = 1e-4) -> DataFrame:
+def least_determinant(points: DataFrame, store: Stored, share: float = 0.75, n_starts: int = 4, first_steps: int = 2, gain: float = 1e-4) -> DataFrame:
     """The model of least determinant for each group of points (grp, salt, x0 ...)."""
     model = store.write(_starts(points, n_starts))
     for _ in range(first_steps):
@@ -182,17 +187,15 @@ def least_determinant(points: DataFrame, store: Stored, share: float = 0.75, n_s
     best = Window.partitionBy("grp").orderBy("det", "st")
     old, model = model, store.write(model.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
     store.drop(old)
-    # Determinants fall or stay in every step, so this ends.
+    # A group keeps a step's model only if its determinant fell, and no determinant falls for ever.
     while True:
-        new = store.write(_step(points, model, share))
-        was = model.select(*KEYS, F.col("det").alias("was"))
-        fell = new.join(was, KEYS).where(F.col("det") < F.col("was") - gain).count()
-        if not fell:
-            store.drop(new)
-            return model
-        chosen = store.write(new.join(was, KEYS).where(F.col("det") < F.col("was")).drop("was").unionByName(model.join(new.select(*KEYS, F.col("det").alias("now")), KEYS).where(F.col("now") >= F.col("det")).drop("now")))
-        store.drop(model, new)
-        model = chosen
+        new = _step(points, model, share)
+        both = new.select("grp", F.struct("det", *[c for c in _MODEL if c != "grp"]).alias("new")).join(model.select("grp", F.struct("det", *[c for c in _MODEL if c != "grp"]).alias("old")), "grp")
+        picked = both.select("grp", F.when(F.col("new.det") < F.col("old.det"), F.col("new")).otherwise(F.col("old")).alias("m"), (F.col("new.det") < F.col("old.det") - gain).alias("fell"))
+        old, model = model, store.write(picked.select("grp", "m.*", "fell"))
+        store.drop(old)
+        if not model.where("fell").limit(1).count():
+            return model.drop("fell")
 
 
 def _grouped(df: DataFrame, least: int) -> DataFrame:
