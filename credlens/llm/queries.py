@@ -81,7 +81,7 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+    return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers)}

@@ -13,7 +13,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     from test_operators import _components, _kept_lines, _sets, _spans
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
+    columns, whole = docs.columns, docs.collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "personal_data", "packing"]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
@@ -27,12 +27,20 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             want = _kept_lines([(r.doc_id, r.text) for r in before])
             assert {r.doc_id: r.text for r in after} == {i: w[2] for i, w in want.items()}
         elif name == "near_duplicates":
-            root = _components(_sets([(r.doc_id, r.text) for r in before], 5))
-            assert sorted(r.doc_id for r in after) == sorted(i for i, c in root.items() if i == c)
+            ids = {r.doc_id for r in before}
+            now, was = (_components(_sets([(r.doc_id, r.text) for r in rows if r.doc_id in ids], 5)) for rows in (before, whole))
+            root = {i: i for i in ids}
+            for _ in ids:
+                root = {i: min(root[i], root[now[i]], root[was[i]], *[root[j] for j in ids if now[j] == i or was[j] == i]) for i in ids}
+            assert sorted(r.doc_id for r in after) == sorted(i for i in ids if root[i] == i) and len(after) < len(before)
         elif name == "personal_data":
             assert len(after) == len(before) and not any(k == 0 for r in after for k, _, _ in _spans(r.text))
             changed = {r.doc_id: r.text for r in before}
-            assert all(r.text == changed[r.doc_id] or re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r.text) for r in after)
+            assert all(r.text == changed[r.doc_id] or re.search(r"\[(EMAIL|IP|CARD|PHONE|SECRET)\]", r.text) for r in after)
+            # Every address, number of a host, card and phone that stood in a text, by its digits.
+            assert not any(_spans(r.text) for r in after)
+            kinds = {k for r in before for k, _, _ in _spans(r.text)}
+            assert all(any(f"[{name}]" in r.text for r in after) for k, name in enumerate(("EMAIL", "IP", "CARD", "PHONE")) if k in kinds) and kinds
         else:
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
         if name != "packing":
@@ -42,5 +50,19 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_odd_rows_pass_every_stage(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    odd = odd.withColumn("score", F.lit("mine")).withColumn("component_id", F.lit("mine")).withColumn("uid", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        assert out.columns == odd.columns and all((r.score, r.component_id, r.uid) == ("mine",) * 3 for r in rows), name
+        assert name == "quality" or sum(r.doc_id is None for r in rows) == 2, name
+        assert name in ("quality", "near_duplicates") or len(rows) == 10, name
