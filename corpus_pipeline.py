@@ -2,6 +2,10 @@
 
 Each stage gets the documents that its predecessor kept and returns documents with the same columns; the
 last returns packed pieces. Stages write texts anew where they change them, and n_chars with them.
+
+Defined results of every stage: a null text counts as an empty one, and stays null where nothing changes it;
+a null id is an id that no other row has; ties go to the smallest id; repeated rows are judged alike; columns
+beside doc_id and text are carried along, whatever their names; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 from credlens.llm import crf
 from credlens.llm.common import Stored, table
+from credlens.llm.components import connected
 from credlens.llm.line_dedup import dedup_lines
 from credlens.llm.minhash import near_texts
 from credlens.llm.packing import pack
@@ -22,37 +27,43 @@ from credlens.llm.queries import tokenizer
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of docs, with n_chars of the changed text."""
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+def _carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work on doc_id and text, beside which the other columns are carried under names that clash with nothing; n_chars of the text that comes out."""
+    names = {c: f"carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    done = work(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    if "n_chars" in names:
+        done = done.withColumn(names["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*[F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; repeated rows stay or go together."""
     field = crf.fit(docs, table(spark, sf_dir, "labels"))
-    return crf.classify(docs, field).where("predicted = 1").select(*docs.columns)
+    return _carried(docs, lambda d: crf.classify(d, field).where("predicted = 1"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand in a document with a smaller id."""
-    return _like(docs, dedup_lines(docs))
+    """Documents without lines that stand in a document with a smaller id; a document that loses all its lines stays as an empty one. Rows that share an id keep what they share."""
+    return _carried(docs, dedup_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group; documents without an id stay."""
-    stay = near_texts(docs.select("doc_id", "text"), shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document, that with the smallest id, of each group. Documents are linked if their texts are near copies as they come here, or if they were so whole: the line stage takes from a copy the lines that it shares, and what is left of it resembles nothing. Rows without an id stay; of rows that share an id and a text one stays."""
+    store = Stored(spark)
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
+    whole = table(spark, sf_dir, "documents", "doc_id", "text").join(ids, "doc_id", "left_semi")
+    linked = [near_texts(texts, shingle=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for texts in (docs.select("doc_id", "text"), whole)]
+    gone = connected(linked[0].unionByName(linked[1]), store).where("node <> component").select(F.col("node").alias("doc_id"))
+    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
-    return _like(docs, mask_personal_data(docs))
+    """Documents with personal data and secrets masked by their kind in brackets."""
+    return _carried(docs, mask_personal_data)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens; a row each for every piece of every row, repeats included."""
     return pack(docs.select("doc_id", "text"), tokenizer())
 
 
