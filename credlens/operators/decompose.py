@@ -12,13 +12,18 @@ from pyspark.sql import types as T
 
 from ..functions.features import charset_mask, charset_size
 from .detectors import detect_all
-from .lexical import dictionary_matches, leet_matches, spanish_matches
+from .lexical import calibrated, lexical_matches
 
 #: Upper bounds of scores 0 to 3 in bits, and the scores' names.
 THRESHOLDS = (10, 20, 35, 60)
 LABELS = ("Trivial", "Muy débil", "Débil", "Fuerte", "Muy fuerte")
-SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("token", T.StringType()), ("guesses", T.StringType()))])
-RESULT = T.StructType([T.StructField("guesses", T.StringType()), T.StructField("guess_bits", T.DoubleType()), T.StructField("segments", T.ArrayType(SEGMENT))])
+#: A piece of a decomposition: name is that of the word list or the source, word the plain form of a leet match.
+SEGMENT = "struct<type:string,start:int,end:int,token:string,guesses:string,name:string,word:string>"
+COVER = T.StructType([
+    T.StructField("guesses", T.StringType()), T.StructField("guess_bits", T.DoubleType()), T.StructField("which", T.ArrayType(T.IntegerType())),
+    T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("costs", T.ArrayType(T.StringType())),
+])
+_SPAN = "array<struct<type:string,start:int,end:int,guesses:long,name:string,word:string>>"
 
 
 def bits_of(x: int) -> float:
@@ -64,25 +69,34 @@ def merged_path(path: list[int], spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def estimate(value: str, alphabet: int, matches: list[tuple[str, int, int, int]]) -> tuple[int, list[tuple[str, int, int, int]]]:
-    """Guesses (order of segments counted, at most brute force of all) and segments (type, start, end, guesses)."""
-    if not value:
+def bruteforce_cost(alphabet: int, n: int) -> int:
+    """Strings of n characters of an alphabet."""
+    return max(alphabet, 1) ** n
+
+
+def cover(n: int, alphabet: int, matches: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Guesses (order of segments counted, at most brute force of all) and segments (match or -1, start, end, guesses) of a string of n characters with matches (start, end, guesses)."""
+    if not n:
         return 1, []
-    raw, path = least_cost(len(value), alphabet, [(s, e, g) for _, s, e, g in matches])
-    parts = merged_path(path, [(s, e) for _, s, e, _ in matches])
-    size = max(alphabet, 1)
-    total = min(raw * math.factorial(len(parts)), size ** len(value))
-    return total, [("bruteforce", s, e, size ** (e - s)) if i < 0 else (matches[i][0], s, e, max(int(matches[i][3]), 1)) for i, s, e in parts]
+    raw, path = least_cost(n, alphabet, matches)
+    parts = merged_path(path, [(s, e) for s, e, _ in matches])
+    total = min(raw * math.factorial(len(parts)), bruteforce_cost(alphabet, n))
+    return total, [(i, s, e, bruteforce_cost(alphabet, e - s) if i < 0 else max(int(matches[i][2]), 1)) for i, s, e in parts]
+
+
+def estimate(value: str, alphabet: int, matches: list[tuple[str, int, int, int]]) -> tuple[int, list[tuple[str, int, int, int]]]:
+    """Guesses and segments (type, start, end, guesses) of one string with matches (type, start, end, guesses)."""
+    total, parts = cover(len(value), alphabet, [m[1:] for m in matches])
+    return total, [("bruteforce" if i < 0 else matches[i][0], s, e, g) for i, s, e, g in parts]
 
 
-@F.pandas_udf(RESULT)
-def _estimate(value: pd.Series, alphabet: pd.Series, matches: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(COVER)
+def _estimate(length: pd.Series, alphabet: pd.Series, start: pd.Series, end: pd.Series, guesses: pd.Series) -> pd.DataFrame:
     rows = []
-    for v, n, ms in zip(value, alphabet, matches, strict=True):
-        v = v or ""
-        total, parts = estimate(v, int(n or 0), [(m["type"], m["start"], m["end"], m["guesses"]) for m in (ms if ms is not None else ())])
-        rows.append((str(total), bits_of(total), [{"type": t, "start": s, "end": e, "token": v[s:e], "guesses": str(g)} for t, s, e, g in parts]))
-    return pd.DataFrame(rows, columns=["guesses", "guess_bits", "segments"])
+    for n, size, *spans in zip(length, alphabet, start, end, guesses, strict=True):
+        total, parts = cover(int(n), int(size), list(zip(*[x.tolist() for x in spans], strict=True)))
+        rows.append((str(total), bits_of(total), [i for i, *_ in parts], [s for _, s, _, _ in parts], [e for _, _, e, _ in parts], [str(g) for *_, g in parts]))
+    return pd.DataFrame(rows, columns=["guesses", "guess_bits", "which", "starts", "ends", "costs"])
 
 
 def score(bits: Column) -> Column:
@@ -96,28 +110,29 @@ def score_label(s: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in LABELS]), s + 1)
 
 
-def lexical_spans(values: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """value, before and after: matches of word lists in detector order, those that stand before the others and those behind."""
-    one = values.select("value")
-    name = lambda c: F.col(c).alias("name")
-    cols = lambda kind, order, c: [F.col("value"), F.struct(F.lit(order).alias("o"), "start", "end", name(c), F.lit(kind).alias("type"), "guesses").alias("m")]
-    every = (
-        dictionary_matches(one, lexicon).select(*cols("dictionary", 0, "dict_name"))
-        .unionByName(spanish_matches(one, lexicon, only_es=False).select(*cols("spanish", 1, "source")))
-        .unionByName(leet_matches(one, lexicon).select(*cols("leet", 2, "dict_name")))
-    )
-    span = lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["guesses"].alias("guesses"))
-    listed = every.groupBy("value").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    return listed.select("value", F.transform(F.filter("ms", lambda x: x["o"] < 2), span).alias("before"), F.transform(F.filter("ms", lambda x: x["o"] == 2), span).alias("after"))
+def lexical_spans(values: DataFrame, lexicon: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """value, before and after: matches of word lists in detector order, those that stand before the others and those behind. Substrings are cut and joined once for all kinds. With frequencies (token, freq), guesses of what is known are the tokens' total over its frequency."""
+    every = lexical_matches(values.select("value"), lexicon)
+    if frequencies is not None:
+        token = F.substring("value", F.col("start") + 1, F.col("end") - F.col("start"))
+        every = calibrated(every.withColumn("token", token), frequencies)
+    span = F.struct(F.col("place").alias("o"), "start", "end", "name", "type", "guesses", "word")
+    plain = lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["guesses"].alias("guesses"), x["name"].alias("name"), x["word"].alias("word"))
+    listed = every.groupBy("value").agg(F.array_sort(F.collect_list(span)).alias("ms"))
+    return listed.select("value", F.transform(F.filter("ms", lambda x: x["o"] < 2), plain).alias("before"), F.transform(F.filter("ms", lambda x: x["o"] == 2), plain).alias("after"))
 
 
-def scored(values: DataFrame, lexicon: DataFrame) -> DataFrame:
+def scored(values: DataFrame, lexicon: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """values (distinct) with guesses (decimal text), guess_bits, segments, score and score_label."""
-    kind = "array<struct<type:string,start:int,end:int,guesses:long>>"
-    joined = values.join(lexical_spans(values, lexicon), "value", "left")
-    own = F.transform(detect_all(F.col("value")), lambda m: F.struct(m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["guesses"].alias("guesses")))
-    none = F.array().cast(kind)
-    every = F.concat(F.coalesce(F.col("before").cast(kind), none), own.cast(kind), F.coalesce(F.col("after").cast(kind), none))
-    done = joined.select(*values.columns, _estimate(F.col("value"), charset_size(charset_mask(F.col("value"))), every).alias("m"))
+    joined = values.join(lexical_spans(values, lexicon, frequencies), "value", "left")
+    nothing = F.lit(None).cast("string")
+    own = F.transform(detect_all(F.col("value")), lambda m: F.struct(m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["guesses"].alias("guesses"), nothing.alias("name"), nothing.alias("word")))
+    none = F.array().cast(_SPAN)
+    every = F.concat(F.coalesce(F.col("before").cast(_SPAN), none), own.cast(_SPAN), F.coalesce(F.col("after").cast(_SPAN), none))
+    v = F.coalesce("value", F.lit(""))
+    held = joined.select(*values.columns, every.alias("every"))
+    done = held.withColumn("m", _estimate(F.length(v), F.coalesce(charset_size(charset_mask(v)), F.lit(0)), F.col("every.start"), F.col("every.end"), F.col("every.guesses")))
+    match = lambda i: F.get("every", i)
+    piece = lambda w, i: F.struct(F.when(w < 0, "bruteforce").otherwise(match(w)["type"]).alias("type"), F.get("m.starts", i).alias("start"), F.get("m.ends", i).alias("end"), F.substring(v, F.get("m.starts", i) + 1, F.get("m.ends", i) - F.get("m.starts", i)).alias("token"), F.get("m.costs", i).alias("guesses"), F.when(w >= 0, match(w)["name"]).alias("name"), F.when(w >= 0, match(w)["word"]).alias("word"))
     bits = F.col("m.guess_bits")
-    return done.select(*values.columns, "m.guesses", bits.alias("guess_bits"), "m.segments", score(bits).alias("score")).withColumn("score_label", score_label(F.col("score")))
+    return done.select(*values.columns, "m.guesses", bits.alias("guess_bits"), F.transform("m.which", piece).cast(f"array<{SEGMENT}>").alias("segments"), score(bits).alias("score")).withColumn("score_label", score_label(F.col("score")))

@@ -27,13 +27,13 @@ def _match(match_type: str, start: Column, end: Column, token: Column, guesses:
 
 
 def regex_spans(s: Column, pattern: str) -> Column:
-    """array<struct<start, token>> of non-overlapping matches: the texts between them give their places."""
+    """array<struct<start, token>> of non-overlapping matches: the texts between them give their places. Most strings have none, which one search tells."""
     tokens = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
     gaps = F.split(s, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,token:string>>").alias("out"))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), tokens, lambda g, t: F.struct(F.length(g).alias("g"), t.alias("t")))
     done = F.aggregate(pairs, start, lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["t"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), x["t"].alias("token")))).alias("out")))
-    return F.when(F.size(tokens) > 0, done["out"]).otherwise(F.array().cast("array<struct<start:int,token:string>>"))
+    return F.when(s.rlike(pattern), done["out"]).otherwise(F.array().cast("array<struct<start:int,token:string>>"))
 
 
 def _windows(s: Column, size: int) -> Column:
@@ -177,8 +177,24 @@ def repetitions(s: Column) -> Column:
 DETECTORS: dict[str, Callable[[Column], Column]] = {"date": dates, "keyboard": keyboard, "repetition": repetitions, "sequence": sequences}
 
 
+def _neighbours(rows: tuple[str, ...]) -> str:
+    """A pattern of any three characters that follow each other in a row, in either direction."""
+    threes = [r[i : i + 3] for row in rows for r in (row, row[::-1]) for i in range(len(row) - 2)]
+    return "|".join(threes)
+
+
+#: Strings without these have no match of the detector; any other string may have one.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "date": lambda s: s.rlike(r"[0-9]{6}|(?:19|20)\p{Nd}{2}"),
+    "keyboard": lambda s: F.lower(s).rlike(_neighbours(ROWS)),
+    "sequence": lambda s: F.lower(s).rlike(r"[^\x00-\x7F]|" + _neighbours(("0123456789", "abcdefghijklmnopqrstuvwxyz"))),
+}
+
+
 def detect_all(s: Column) -> Column:
-    return F.concat(*[f(s) for f in DETECTORS.values()])
+    """All detectors, each only where its gate is open."""
+    none = F.array().cast(MATCH)
+    return F.concat(*[F.when(GATES[name](s), f(s).cast(MATCH)).otherwise(none) if name in GATES else f(s) for name, f in DETECTORS.items()])
 
 
 def pattern_repr(m: Column) -> Column:

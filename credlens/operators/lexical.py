@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import LEET, PLAIN
@@ -47,12 +47,39 @@ def leet_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     plain = F.translate(F.lower("value"), LEET, PLAIN)
     grams = ngrams(values, longest_word(lexicon), form=plain).withColumn("token", _token())
     grams = grams.where(F.col("token").rlike(r"[4@31!|05$78]")).withColumn("substitutions", F.length("token") - F.length(F.translate(F.lower("token"), LEET, "")))
-    place = F.coalesce(F.try_element_at(F.map_from_arrays(F.array(*[F.lit(d) for d in PRIORITY]), F.array(*[F.lit(i) for i in range(len(PRIORITY))])), F.col("dict_name")), F.lit(len(PRIORITY)))
-    first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(place.alias("place"), "dict_name", "rank")).alias("hit"))
+    first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("place"), "dict_name", "rank")).alias("hit"))
     hits = grams.join(first, "gram").select(*[c for c in grams.columns if c != "gram"], F.col("gram").alias("deleeted"), "hit.dict_name", "hit.rank")
     return hits.withColumn("guesses", (F.col("rank") * F.pow(F.lit(2.0), F.col("substitutions"))).cast("long"))
 
 
+def _place() -> Column:
+    """A word list's place among those that come first in substitution lookups."""
+    return F.coalesce(F.try_element_at(F.map_from_arrays(F.array(*[F.lit(d) for d in PRIORITY]), F.array(*[F.lit(i) for i in range(len(PRIORITY))])), F.col("dict_name")), F.lit(len(PRIORITY)))
+
+
+def lexical_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """value, place (0 dictionary, 1 spanish, 2 leet), type, start, end, name, word, guesses: all three lookups with one cut of substrings and one join. A substring is looked up as it is, and by its plain form if that differs, which it does if it has a substitution character."""
+    entry = lambda place, kind, name: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("type"), name.alias("name"), F.col("rank").cast("int").alias("rank"))
+    terms = cultural_terms(values.sparkSession)
+    lists = lexicon.select(F.lit(0).alias("form"), F.col("word").alias("gram"), F.explode(F.array(entry(0, "dictionary", F.col("dict_name")), entry(1, "spanish", F.col("dict_name")))).alias("x"))
+    regional = terms.select(F.lit(0).alias("form"), F.col("word").alias("gram"), entry(1, "spanish", F.lit("cultural")).alias("x"))
+    first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("at"), "dict_name", "rank")).alias("hit")).select("gram", "hit.dict_name", "hit.rank")
+    plain = first.select(F.lit(1).alias("form"), "gram", entry(2, "leet", F.col("dict_name")).alias("x"))
+    known = lists.unionByName(regional).unionByName(plain).groupBy("form", "gram").agg(F.collect_list("x").alias("xs"))
+    longest = longest_word(lexicon.select("word").unionByName(terms.select("word")))
+    low = F.lower("value")
+    n = F.length("value")
+    placed = values.where(n >= LEAST).select("value", low.alias("low"), F.translate(low, LEET, PLAIN).alias("plain"), F.explode(F.sequence(F.lit(0), n - LEAST)).alias("start"))
+    ended = placed.withColumn("end", F.explode(F.sequence(F.col("start") + LEAST, F.least(F.col("start") + longest, F.length("value")))))
+    part = lambda c: F.substring(c, F.col("start") + 1, F.col("end") - F.col("start"))
+    grams = ended.select("value", "start", "end", part("low").alias("low"), part("plain").alias("plain"))
+    both = F.when(F.col("low") == F.col("plain"), F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")))).otherwise(F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")), F.struct(F.lit(1).alias("form"), F.col("plain").alias("gram"))))
+    hits = grams.select("value", "start", "end", F.col("low").alias("as_is"), F.inline(both)).join(known, ["form", "gram"]).select("value", "start", "end", "as_is", "gram", F.inline("xs"))
+    subs = F.length("as_is") - F.length(F.translate("as_is", LEET, ""))
+    guesses = F.when(F.col("place") == 2, (F.col("rank") * F.pow(F.lit(2.0), subs)).cast("long")).otherwise(F.greatest("rank", F.lit(1)).cast("long"))
+    return hits.select("value", "place", "type", "start", "end", "name", F.when(F.col("place") == 2, F.col("gram")).alias("word"), guesses.alias("guesses"))
+
+
 def calibrated(matches: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Matches whose guesses are the tokens' total over the frequency of their token, if it has one: (token, freq)."""
     total = frequencies.agg(F.coalesce(F.sum("freq"), F.lit(1)).alias("total_freq"))
@@ -66,7 +93,3 @@ def deleetified(values: DataFrame) -> DataFrame:
     """value, token: whole values with a substitution character whose plain form has 3 to 64 letters and nothing else."""
     plain = F.translate(F.lower("value"), LEET, PLAIN)
     return values.withColumn("token", plain).where(F.col("value").rlike(r"[4@31!|05$78]") & F.col("token").rlike(r"^\p{L}{3,64}$"))
-
-
-def ranked(rows: DataFrame, *order: Column | str, partition: tuple[str, ...] = ()) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))

@@ -55,14 +55,19 @@ def evaluate(values: DataFrame, lexicon: DataFrame, breach: DataFrame | None = N
     return values.join(out, "value", "left") if values.columns != ["value"] else out
 
 
+def _shown(x: Column) -> Column:
+    """How a report names a match: by its word list, its source, or the word that it stands for."""
+    return F.when(x["type"] == "dictionary", x["name"]).when(x["type"] == "spanish", F.concat(F.lit("es:"), x["name"])).when(x["type"] == "leet", F.concat(F.lit("leet→"), x["word"])).otherwise(x["type"])
+
+
 def decomposition_text(segments: Column) -> Column:
-    """[type: "token"] joined by +; brute-forced characters are masked."""
-    one = lambda x: F.when(x["type"] == "bruteforce", F.concat(F.lit("[bruteforce: "), F.repeat(F.lit("●"), F.length(x["token"])), F.lit(" ("), F.length(x["token"]).cast("string"), F.lit(" chars)]"))).otherwise(F.concat(F.lit("["), x["type"], F.lit(': "'), x["token"], F.lit('"]')))
+    """[name: "token"] joined by +; brute-forced characters are masked."""
+    one = lambda x: F.when(x["type"] == "bruteforce", F.concat(F.lit("[bruteforce: "), F.repeat(F.lit("●"), F.length(x["token"])), F.lit(" ("), F.length(x["token"]).cast("string"), F.lit(" chars)]"))).otherwise(F.concat(F.lit("["), _shown(x), F.lit(': "'), x["token"], F.lit('"]')))
     return F.array_join(F.transform(segments, one), " + ")
 
 
 def render(evaluated: DataFrame) -> DataFrame:
-    """Adds report: the evaluation as text."""
+    """Adds report: the evaluation as text. The literals are fixed values: the lines of the report."""
     c, num = F.col, lambda col, d: F.format_string(f"%.{d}f", col)
     breach = F.when(c("status") == "found", F.concat(F.lit("Sí encontrada ("), F.format_number("breach_count", 0), F.lit(" apariciones)"))).when(c("status") == "not_found", "No encontrada").when(c("status") == "error", "error de red (omitida)").otherwise("omitida (no autorizada en esta sesión)")
     lines = [
@@ -82,8 +87,8 @@ def render(evaluated: DataFrame) -> DataFrame:
 
 
 def to_json(evaluated: DataFrame, show_tokens: bool = False) -> DataFrame:
-    """json of values of 1 to MOST characters; tokens are left out unless asked for."""
+    """value_sha256 and json of values of 1 to MOST characters; the value itself isn't put out, and tokens are left out unless asked for."""
     kept = evaluated.where(F.length("value").between(1, MOST))
-    shown = F.transform("segments", lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["guesses"].alias("guesses"), F.when(F.lit(show_tokens), x["token"]).alias("token")))
+    shown = F.transform("segments", lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["guesses"].alias("guesses"), F.when(F.lit(show_tokens), x["token"]).alias("token"), F.when(F.lit(show_tokens) | (x["type"] != "leet"), x["name"]).alias("name"), F.when(F.lit(show_tokens), x["word"]).alias("word")))
     fields = ["length", "composition", "charset_size", "charset_bits", "shannon_per_char", "shannon_total", "guesses", "guess_bits", "score", "score_label", "attack_times", F.col("status").alias("breach_status"), "breach_count", "risk_label", "risk_explanation"]
-    return kept.select("value", F.to_json(F.struct(*fields, shown.alias("segments"))).alias("json"))
+    return kept.select(F.sha2("value", 256).alias("value_sha256"), F.to_json(F.struct(*fields, shown.alias("segments"))).alias("json"))

@@ -66,9 +66,3 @@ def entropy_summary(h: DataFrame) -> DataFrame:
 def global_summary(length: DataFrame, charset: DataFrame, entropy: DataFrame) -> DataFrame:
     """One row; none if there are no values. Each side of the products has one row."""
     return length_summary(length).where("sample_size > 0").crossJoin(F.broadcast(entropy_summary(entropy))).crossJoin(F.broadcast(charset_summary(charset)))
-
-
-def rounded(summary: DataFrame) -> DataFrame:
-    """For display: lengths and percentages to two digits, entropies to three."""
-    digits = {c: 2 for c in summary.columns if c.startswith("pct_")} | {"avg_length": 2} | {c: 3 for c in summary.columns if c.endswith("_entropy")}
-    return summary.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in summary.columns])

@@ -40,7 +40,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 _TOK = r"tok AS (SELECT value, count(*) AS weight FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS value FROM documents) WHERE value <> '' GROUP BY value)"
 _SYN = "syn AS (" + b.SYNTH.format(part="part", lineitem="lineitem", customer="customer", supplier="supplier") + ")"
 _LEX = rf"""lex AS (SELECT dict_name, word, CAST(row_number() OVER (PARTITION BY dict_name ORDER BY n DESC, word) - 1 AS INTEGER) AS rank FROM (
-  SELECT 'palabras_' || lang AS dict_name, word, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE regexp_matches(word, '^\p{{L}}{{3,}}$') GROUP BY ALL HAVING count(*) >= {b.LEAST_COUNT}
+  SELECT 'palabras_' || lang AS dict_name, word, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE regexp_matches(word, '^\p{{L}}{{3,}}$') GROUP BY ALL
   UNION ALL SELECT 'nombres_es', word, count(*) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE regexp_matches(word, '^\p{{L}}{{3,}}$') GROUP BY ALL))"""
 _MASK = r"""(CASE WHEN regexp_matches(value, '[a-z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(value, '[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(value, '[0-9]') THEN 4 ELSE 0 END
   + CASE WHEN regexp_matches(value, '[\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(value, '[^\x00-\x7F]') THEN 16 ELSE 0 END)"""
@@ -338,7 +338,7 @@ def cracking_times(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("o_orderkey", *[F.element_at("t", n).alias(n) for n in ("online_throttled", "cpu_sha1", "gpu_consumer_sha1", "gpu_rig_sha1", "argon2id_modern")])
 
 
-_BREACH = rf"""{_TOK}, br AS (SELECT upper(sha1(value)) AS d, CASE WHEN upper(sha1(value)) LIKE '%0' THEN 0 ELSE count(*) END AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS value FROM documents WHERE doc_id % 7 = 0) WHERE value <> '' GROUP BY value),
+_BREACH = rf"""{_TOK}, br AS (SELECT upper(sha1(value)) AS d, CASE WHEN upper(sha1(value)) LIKE '%0' THEN 0 ELSE count(*) END AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS value FROM documents) WHERE value <> '' GROUP BY value HAVING NOT contains('159D', substr(upper(sha1(value)), 1, 1))),
 bl AS (SELECT value, coalesce(n, 0) AS breach_count, CASE WHEN n > 0 THEN 'found' ELSE 'not_found' END AS status FROM tok LEFT JOIN br ON d = upper(sha1(value)))"""
 
 
@@ -363,7 +363,7 @@ def evaluation_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def evaluation_json(spark: SparkSession, sf: str) -> DataFrame:
-    return report.to_json(report.evaluate(b.strings(spark, sf).select("value"), b.lexicon(spark, sf)))
+    return report.to_json(report.evaluate(b.strings(spark, sf).select("value"), b.lexicon(spark, sf), b.breach(spark, sf)))
 
 
 # Tables, merging, progress.
@@ -464,6 +464,5 @@ def user_stats_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Words of conversations as a stream of events, counted as they come."""
     path = f"{sf}/conversations.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path}*")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return drain(event_stats(tokens(stream)), f"user_stats_{uuid.uuid4().hex}", f"{folder}/streams/{uuid.uuid4().hex}")
+    stream = spark.readStream.schema(schema).parquet(path if b.is_folder(spark, path) else f"{path}*")
+    return drain(event_stats(tokens(stream)), f"user_stats_{uuid.uuid4().hex}", f"{b.shared_folder(spark)}/streams/{uuid.uuid4().hex}")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import is_word
 from .corpus import tokens, weighted
 
-#: Least count of a word for its lexicon.
-LEAST_COUNT = 5
+_local: list[str] = []
 
 #: Strings that give every detector something to find. Plain enough SQL for other engines too; {part} and so on name the tables.
 SYNTH = """
@@ -39,6 +40,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where all of Spark is one process."""
+    sc = spark.sparkContext
+    if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return found
+    if not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="streams-"))
+    return _local[0]
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +75,7 @@ def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked words of the documents for each language, and of product names."""
     words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where(is_word(F.col("word")))
-    said = words.groupBy(F.concat(F.lit("palabras_"), "lang").alias("dict_name"), "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    said = words.groupBy(F.concat(F.lit("palabras_"), "lang").alias("dict_name"), "word").agg(F.count(F.lit(1)).alias("n"))
     named = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where(is_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(F.lit("nombres_es").alias("dict_name"), "word", "n")
     order = Window.partitionBy("dict_name").orderBy(F.desc("n"), "word")
     # Read by several joins of a plan; far smaller than the documents.
@@ -65,10 +83,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the words of every seventh document with their counts; each tenth count, by hash, is padding with 0."""
-    words = tokens(table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("text")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    """Digests of all words of the documents with their counts, but for those that begin with 1, 5, 9 or D, which count as not found; those that end with 0 are padding with count 0."""
+    words = tokens(table(spark, sf_dir, "documents").select("text")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     d = F.upper(F.sha1(F.col("value").cast("binary")))
-    return words.select(F.substring(d, 1, 5).alias("prefix"), F.substring(d, 6, 35).alias("suffix"), F.when(F.endswith(d, F.lit("0")), F.lit(0)).otherwise(F.col("n")).cast("long").alias("count"))
+    held = words.select(d.alias("d"), "n").where(~F.substring("d", 1, 1).isin("1", "5", "9", "D"))
+    return held.select(F.substring("d", 1, 5).alias("prefix"), F.substring("d", 6, 35).alias("suffix"), F.when(F.endswith("d", F.lit("0")), F.lit(0)).otherwise(F.col("n")).cast("long").alias("count"))
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:

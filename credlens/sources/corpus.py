@@ -45,9 +45,11 @@ def valid_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
     return kept.limit(limit) if limit is not None else kept
 
 
-def line_counts(lines: DataFrame) -> DataFrame:
-    """Lines read, valid and with invalid bytes, for each file."""
-    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines_read"), F.count_if(F.col("value") != "").alias("lines_valid"), F.count_if("had_invalid").alias("lines_invalid"))
+def line_counts(lines: DataFrame, weight: str | None = None, invalid: str | None = None) -> DataFrame:
+    """Lines read, valid and with invalid bytes, for each file; of lines, or of (file, value) with counts of lines and of invalid ones."""
+    n = F.col(weight) if weight else F.lit(1)
+    bad = F.col(invalid) if invalid else F.col("had_invalid").cast("int")
+    return lines.groupBy("file").agg(F.sum(n).cast("long").alias("lines_read"), F.sum(F.when(F.col("value") != "", n).otherwise(0)).cast("long").alias("lines_valid"), F.sum(bad).cast("long").alias("lines_invalid"))
 
 
 def tokens(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -9,12 +9,12 @@ from ..functions.features import is_word
 
 #: Regional terms in their order; a repeated one counts at its last place.
 CULTURAL = (
-    "realmadrid barca barça atletico athletic betis valencia sevilla villarreal espanyol celta rayo "
-    "madrid barcelona sevilla valencia zaragoza malaga bilbao granada murcia alicante cordoba vigo "
-    "andalucia cataluna cataluña galicia euskadi "
-    "tequiero miamor amor cariño carino vida casa familia amigos feliz navidad verano invierno "
-    "españa espana hola futbol campeon campeón"
-).split()
+    "realmadrid", "barca", "barça", "atletico", "athletic", "betis", "valencia", "sevilla", "villarreal", "espanyol", "celta", "rayo",
+    "madrid", "barcelona", "sevilla", "valencia", "zaragoza", "malaga", "bilbao", "granada", "murcia", "alicante", "cordoba", "vigo",
+    "andalucia", "cataluna", "cataluña", "galicia", "euskadi",
+    "tequiero", "miamor", "amor", "cariño", "carino", "vida", "casa", "familia", "amigos", "feliz", "navidad", "verano", "invierno",
+    "españa", "espana", "hola", "futbol", "campeon", "campeón",
+)
 #: Dictionaries that come first in substitution lookups.
 PRIORITY = ("palabras_es", "nombres_es", "apellidos_es", "toponimos_es")
 SCHEMA = "dict_name string, word string, rank int"

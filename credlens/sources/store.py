@@ -1,15 +1,20 @@
-"""Histogram tables with additive merges on plain Parquet: a new version per commit, and a log that makes replays harmless."""
+"""Histogram tables with additive merges on plain Parquet.
+
+Each commit appends its rows as a new folder of each table and then writes a manifest: the live folders of
+every table and the last batch of every query. Readers see the newest manifest, so a commit counts as a whole
+or not at all, and a batch that is run again changes nothing. A table of many folders is compacted into one.
+One writer at a time.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-#: Key columns of each table; the other columns are added up.
+#: Key columns of each histogram; the other columns are added up.
 KEYS = {
     "length_histogram": ("dataset_id", "length"),
     "charset_histogram": ("dataset_id", "charset_mask"),
@@ -19,74 +24,140 @@ KEYS = {
     "score_histogram": ("dataset_id", "score"),
     "dataset_totals": ("dataset_id", "mode"),
 }
+#: Key columns of tables of records, of which the newest by `version` counts.
+RECORDS = {"file_progress": ("dataset_id", "filename"), "ingestion_runs": ("id",), "datasets": ("id",)}
 #: Longest representation and token that are kept; cut before grouping, so that no two rows share a key.
 REPR_LEN, TOKEN_LEN = 255, 64
+#: Folders of a table from which on a commit puts them together.
+COMPACT = 32
+#: Rows that a new store holds: the dataset of single events.
+SEED = [(0, "user_queries", "user_submitted")]
+RULES = {
+    "score_histogram": "score not between 0 and 4", "datasets": "dataset_type not in ('leaked', 'user_submitted')",
+    "file_progress": "status not in ('pending', 'running', 'completed', 'failed')", "ingestion_runs": "status not in ('running', 'completed', 'failed', 'interrupted')",
+}
 
 
 def merge_counts(old: DataFrame, delta: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of both, with the other columns summed by key."""
-    both = old.unionByName(delta, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in both.columns if c not in keys])
+    return summed(old.unionByName(delta, allowMissingColumns=True), keys)
+
+
+def summed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with all but the keys summed; a time of update is the latest."""
+    return rows.groupBy(*keys).agg(*[(F.max(c) if c == "updated_at" else F.sum(c)).alias(c) for c in rows.columns if c not in keys])
+
+
+def newest(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    last = Window.partitionBy(*keys).orderBy(F.desc("version"))
+    return rows.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "version")
 
 
 class HistogramStore:
-    """A folder with one folder of versions for each table and a log of committed batches."""
+    """A folder with the folders of each table and of the manifests."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("batch string, seq long, versions string").json(f"{self.path}/_log")
-        except AnalysisException:
-            return None
-
-    def _latest(self) -> tuple[dict[str, str], int]:
-        log = self._log()
-        last = log.orderBy(F.desc("seq")).first() if log is not None else None
-        return (json.loads(last["versions"]), last["seq"]) if last else ({}, 0)
+    def _fs(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _delete(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
+
+    def _manifest(self) -> dict:
+        """The newest whole manifest; its number is its folder's name."""
+        fs, where = self._fs(f"{self.path}/_log")
+        done = [f.getPath().getName() for f in fs.listStatus(where) if fs.exists(self._fs(f"{f.getPath()}/_SUCCESS")[1])] if fs.exists(where) else []
+        if not done:
+            return {"seq": 0, "tables": {}, "batches": {}, "gone": []}
+        return json.loads(self.spark.read.text(f"{self.path}/_log/{max(done)}").first()[0])
+
+    def _publish(self, manifest: dict) -> None:
+        manifest["seq"] += 1
+        row = self.spark.createDataFrame([(json.dumps(manifest),)], "value string")
+        row.coalesce(1).write.text(f"{self.path}/_log/{manifest['seq']:012d}")
+        if manifest["seq"] > 3:
+            self._delete(f"{self.path}/_log/{manifest['seq'] - 3:012d}")
+
+    def _append(self, manifest: dict, table: str, rows: DataFrame) -> None:
+        where = f"{table}/{manifest['seq'] + 1:012d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{where}")
+        if broken := check(table, self.spark.read.parquet(f"{self.path}/{where}")).limit(1).count():
+            self._delete(f"{self.path}/{where}")
+            raise ValueError(f"{broken} row or more of {table} break its constraint: {RULES[table]}")
+        manifest["tables"].setdefault(table, []).append(where)
+
+    def _compact(self, manifest: dict) -> None:
+        # Folders replaced by the compaction before this one have no readers left.
+        for where in manifest["gone"]:
+            self._delete(f"{self.path}/{where}")
+        manifest["gone"] = []
+        for table, folders in list(manifest["tables"].items()):
+            if len(folders) >= COMPACT:
+                rows = self._rows(table, folders, whole=False)
+                manifest["tables"][table] = []
+                self._append(manifest, table, rows)
+                manifest["gone"] += folders
+
+    def _rows(self, table: str, folders: list[str], whole: bool = True) -> DataFrame:
+        rows = self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{x}" for x in folders])
+        if table in KEYS:
+            return summed(rows, KEYS[table])
+        if table in RECORDS and whole:
+            return newest(rows, RECORDS[table])
+        return rows
 
     def read(self, table: str) -> DataFrame | None:
-        versions, _ = self._latest()
-        return self.spark.read.parquet(f"{self.path}/{versions[table]}") if table in versions else None
+        folders = self._manifest()["tables"].get(table)
+        return self._rows(table, folders) if folders else None
 
-    def commit(self, batch: str, deltas: dict[str, DataFrame]) -> bool:
-        """Merges all deltas at once; False if this batch was committed before. The log entry comes last: until then readers see the versions before."""
-        log = self._log()
-        if log is not None and log.where(F.col("batch") == batch).limit(1).count():
+    def commit(self, batch: str, deltas: dict[str, DataFrame], number: int = 0) -> bool:
+        """Adds all deltas at once; False if this batch of this name, or a later one, was committed before."""
+        manifest = self._manifest()
+        if manifest["batches"].get(batch, -1) >= number:
             return False
-        versions, seq = self._latest()
-        for name, delta in deltas.items():
-            old = self.read(name)
-            merged = merge_counts(old, delta, KEYS[name]) if old is not None else merge_counts(delta.limit(0), delta, KEYS[name])
-            where = f"{name}/{seq + 1}-{uuid.uuid4().hex}"
-            merged.write.parquet(f"{self.path}/{where}")
-            versions[name] = where
-        entry = self.spark.createDataFrame([(batch, seq + 1, json.dumps(versions))], "batch string, seq long, versions string")
-        entry.coalesce(1).write.mode("append").json(f"{self.path}/_log")
+        for table, delta in deltas.items():
+            stamped = delta.withColumn("version", F.lit(manifest["seq"] + 1).cast("long")) if table in RECORDS else delta
+            self._append(manifest, table, stamped.withColumn("updated_at", F.current_timestamp()) if table == "dataset_totals" else stamped)
+        manifest["batches"][batch] = number
+        self._compact(manifest)
+        self._publish(manifest)
         return True
 
+    def record(self, table: str, rows: DataFrame) -> None:
+        """New states of records."""
+        self.commit(uuid.uuid4().hex, {table: rows})
+
     def replace(self, table: str, rows: DataFrame, dataset_id: int) -> None:
         """Derived rows of one dataset anew, those of others as they were."""
-        versions, seq = self._latest()
-        old = self.read(table)
-        new = rows if old is None else old.where(F.col("dataset_id") != dataset_id).unionByName(rows)
-        where = f"{table}/{seq + 1}-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.path}/{where}")
-        versions[table] = where
-        entry = self.spark.createDataFrame([(uuid.uuid4().hex, seq + 1, json.dumps(versions))], "batch string, seq long, versions string")
-        entry.coalesce(1).write.mode("append").json(f"{self.path}/_log")
-
-    def reset(self) -> None:
-        """No tables, no log of batches."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        manifest = self._manifest()
+        folders = manifest["tables"].get(table, [])
+        new = rows if not folders else self._rows(table, folders).where(F.col("dataset_id") != dataset_id).unionByName(rows, allowMissingColumns=True)
+        manifest["tables"][table] = []
+        self._append(manifest, table, new)
+        manifest["gone"] += folders
+        self._publish(manifest)
+
+    def reset(self, seed: bool = False) -> None:
+        """No tables, no log of batches; with seed, the datasets that a new store holds."""
+        self._delete(self.path)
+        if seed:
+            self.record("datasets", self.spark.createDataFrame(SEED, "id long, name string, dataset_type string"))
+
+    def dataset(self, name: str) -> int:
+        """The id of a dataset that must be there."""
+        rows = self.read("datasets")
+        found = rows.where(F.col("name") == name).select("id").first() if rows is not None else None
+        if found is None:
+            raise ValueError(f"no dataset {name!r}")
+        return found[0]
 
 
 def get_or_create(datasets: DataFrame, wanted: DataFrame) -> DataFrame:
     """datasets (id, name, dataset_type) with new ids for the names in wanted that it lacks."""
-    from pyspark.sql import Window
-
     new = wanted.dropDuplicates(["name"]).join(datasets, "name", "left_anti")
     top = datasets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("name"))).alias("id"), "name", "dataset_type")
@@ -95,5 +166,4 @@ def get_or_create(datasets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def check(table: str, rows: DataFrame) -> DataFrame:
     """Rows that break a constraint of their table."""
-    rules = {"score_histogram": "score not between 0 and 4", "datasets": "dataset_type not in ('leaked', 'user_submitted')", "file_progress": "status not in ('pending', 'running', 'completed', 'failed')", "ingestion_runs": "status not in ('running', 'completed', 'failed', 'interrupted')"}
-    return rows.where(rules.get(table, "false"))
+    return rows.where(RULES.get(table, "false"))

@@ -1,30 +1,105 @@
-"""Incremental ingestion: micro-batches of files merged into a store, and statistics of single events."""
+"""Incremental ingestion: micro-batches of files merged into a store, with records of runs and files; statistics of single events."""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as f
-from ..plans.profile import profile
-from ..sources.corpus import decoded, valid_lines, weighted
+from ..plans.profile import MODES, profile
+from ..plans.summary import global_summary, top_patterns, top_tokens
+from ..sources.corpus import decoded, line_counts
 from ..sources.store import HistogramStore
 
+RUN = "id string, dataset_id long, status string, started_at timestamp, finished_at timestamp, lines_valid long, files long"
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """filename and length of all files under path, in order; their content isn't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("path").alias("filename"), "length").orderBy("filename")
+
+
+def _query_name(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's own id, which its checkpoint keeps: two checkpoints never share it, and a restart has it again."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
-def ingest(spark: SparkSession, path: str, store_path: str, checkpoint: str, mode: str = "light", lexicon: DataFrame | None = None, dataset_id: int = 1, files_per_batch: int = 8):
-    """Ingests the files under path that weren't ingested before, then stops. A micro-batch is merged once, even if it is run again after a failure: its number is in the store's log."""
+
+def _checked(mode: str, lexicon: DataFrame | None, files_per_batch: int, limit: int | None) -> None:
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if mode != "light" and lexicon is None:
+        raise ValueError(f"mode {mode} needs a lexicon")
+    if files_per_batch < 1 or (limit is not None and limit < 1):
+        raise ValueError("files_per_batch and limit must be at least 1")
+
+
+def ingest(spark: SparkSession, path: str, store_path: str, checkpoint: str, mode: str = "light", lexicon: DataFrame | None = None, dataset_id: int = 1, files_per_batch: int = 8, limit: int | None = None, dataset: str | None = None):
+    """Ingests the files under path that weren't ingested before, then stops; returns the store. A micro-batch counts once, with its histograms, totals and files' progress, even if it is run again after a failure. A run is recorded as running, then as completed, interrupted or failed. limit: valid lines of this run; files behind it stay pending."""
+    _checked(mode, lexicon, files_per_batch, limit)
     store = HistogramStore(spark, store_path)
+    if dataset is not None:
+        dataset_id = store.dataset(dataset)
+    run, began, done = uuid.uuid4().hex, time.time(), {"lines": 0, "files": 0}
+    stamp = lambda t: F.lit(t).cast("double").cast("timestamp")
+
+    def record(status: str, end: float | None) -> None:
+        row = spark.createDataFrame([(run, dataset_id, status, done["lines"], done["files"])], "id string, dataset_id long, status string, lines_valid long, files long")
+        store.record("ingestion_runs", row.withColumn("started_at", stamp(began)).withColumn("finished_at", stamp(end) if end else F.lit(None).cast("timestamp")).select("id", "dataset_id", "status", "started_at", "finished_at", "lines_valid", "files"))
 
     def merge(batch: DataFrame, number: int) -> None:
-        counted = weighted(valid_lines(decoded(batch)))
-        store.commit(f"{dataset_id}:{mode}:{number}", profile(counted, mode, lexicon, dataset_id))
+        start = time.time()
+        left = None if limit is None else limit - done["lines"]
+        lines = decoded(batch)
+        if left is not None:
+            lines = lines.where("value <> ''").limit(max(left, 0))
+        # One reading and decoding for all tables.
+        seen = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("weight"), F.count_if("had_invalid").alias("invalid")).persist()
+        try:
+            values = seen.where("value <> ''").groupBy("value").agg(F.sum("weight").alias("weight")).persist()
+            files = line_counts(seen, "weight", "invalid").persist()
+            n_files, n_valid = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("lines_valid"), F.lit(0))).first()
+            cut = left is not None and n_valid >= left
+            state = files.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.col("file").alias("filename"), F.lit("pending" if cut else "completed").alias("status"), F.col("lines_read").alias("lines_processed"), "lines_valid", "lines_invalid", stamp(start).alias("started_at"), stamp(time.time()).alias("finished_at"))
+            if store.commit(f"{_query_name(spark, checkpoint)}:{dataset_id}:{mode}", {**profile(values, mode, lexicon, dataset_id), "file_progress": state}, number):
+                done["lines"] += n_valid
+                done["files"] += n_files
+            values.unpersist()
+            files.unpersist()
+        finally:
+            seen.unpersist()
 
-    lines = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path)
+    lines = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    record("running", None)
     query = lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    status = "failed"
+    try:
+        query.awaitTermination()
+        status = "completed"
+    except KeyboardInterrupt:
+        status = "interrupted"
+        query.stop()
+        raise
+    finally:
+        record(status, time.time())
     return store
 
 
+def derive(store: HistogramStore, dataset_id: int = 1, n: int = 100) -> None:
+    """Top items and the one-row summary of a dataset from its histograms, deleted and stored anew."""
+    of = {t: store.read(t).where(F.col("dataset_id") == dataset_id).drop("dataset_id") for t in ("length_histogram", "charset_histogram", "entropy_histogram", "token_frequencies", "pattern_stats") if store.read(t) is not None}
+    marked = lambda df: df.withColumn("dataset_id", F.lit(dataset_id).cast("long"))
+    tops = [top(of[t], n) for top, t in ((top_tokens, "token_frequencies"), (top_patterns, "pattern_stats")) if t in of]
+    if tops:
+        store.replace("top_items", marked(tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])), dataset_id)
+    if {"length_histogram", "charset_histogram", "entropy_histogram"} <= set(of):
+        store.replace("global_summary", marked(global_summary(of["length_histogram"], of["charset_histogram"], of["entropy_histogram"])), dataset_id)
+
+
 def event_stats(events: DataFrame) -> DataFrame:
     """Counts of a stream of values by length and charset mask, with sums of entropy; for a query in complete or update mode."""
     v = F.col("value")
@@ -32,6 +107,19 @@ def event_stats(events: DataFrame) -> DataFrame:
     return one.groupBy("length", "charset_mask").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("shannon_total"), 4).alias("sum_shannon"))
 
 
+def ingest_events(events: DataFrame, store: HistogramStore, checkpoint: str, dataset_id: int = 0) -> None:
+    """Statistics of a stream of single values (value) merged into the store as they come, without the values: lengths, masks, both entropies and totals."""
+    from ..plans import profile as p
+
+    def merge(batch: DataFrame, number: int) -> None:
+        values = batch.where("value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("weight")).persist()
+        tables = {"length_histogram": p.length_histogram(values), "charset_histogram": p.charset_histogram(values), "entropy_histogram": p.entropy_histogram(values), "dataset_totals": p.totals(values).withColumn("mode", F.lit("events"))}
+        store.commit(f"{_query_name(batch.sparkSession, checkpoint)}:{dataset_id}:events", {k: v.withColumn("dataset_id", F.lit(dataset_id).cast("long")) for k, v in tables.items()}, number)
+        values.unpersist()
+
+    events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """The final state of an aggregated stream over what is there now."""
     spark = stream.sparkSession

@@ -73,3 +73,91 @@ def test_ingestion_resumes_with_new_files_only(spark, tmp_path):
 
 def test_constraints(spark):
     assert check("score_histogram", spark.createDataFrame([(5,), (4,)], "score int")).count() == 1
+
+
+def test_two_checkpoints_into_one_store_keep_all_lines(spark, tmp_path):
+    a, b, store = tmp_path / "a", tmp_path / "b", str(tmp_path / "store")
+    for folder, text in ((a, "hola\nabc\n\n"), (b, "xyz12\n")):
+        folder.mkdir()
+        (folder / "f.txt").write_text(text)
+    ingest(spark, str(a), store, str(tmp_path / "ca"))
+    done = ingest(spark, str(b), store, str(tmp_path / "cb"))
+    assert done.read("length_histogram").agg(F.sum("count")).first()[0] == 3
+    assert ingest(spark, str(a), store, str(tmp_path / "ca")).read("dataset_totals").first().total_lines == 3
+    files = {r.filename.rsplit("/", 2)[1]: r for r in done.read("file_progress").collect()}
+    assert {k: (r.status, r.lines_processed, r.lines_valid, r.lines_invalid) for k, r in files.items()} == {"a": ("completed", 3, 2, 0), "b": ("completed", 1, 1, 0)}
+    runs = done.read("ingestion_runs").collect()
+    assert sorted((r.status, r.lines_valid, r.files) for r in runs) == [("completed", 0, 0), ("completed", 1, 1), ("completed", 2, 1)]
+    datasets = spark.createDataFrame([(1, "leak", "leaked")], "id long, name string, dataset_type string")
+    from credlens.plans import monitor
+
+    assert {r.dataset_name for r in monitor.recent_runs(done.read("ingestion_runs"), datasets).collect()} == {"leak"}
+    assert {r.status: r.files for r in monitor.by_status(done.read("file_progress")).collect()} == {"completed": 2}
+
+
+def test_a_replayed_batch_and_a_failed_commit_change_nothing(spark, tmp_path):
+    store = HistogramStore(spark, str(tmp_path / "store"))
+    h = spark.createDataFrame([(1, 4, 2)], "dataset_id long, length int, count long")
+    assert store.commit("q", {"length_histogram": h}, 0) and store.commit("q", {"length_histogram": h}, 1)
+    assert not store.commit("q", {"length_histogram": h}, 1) and not store.commit("q", {"length_histogram": h}, 0)
+    bad = spark.createDataFrame([(1, 7, 2)], "dataset_id long, score int, count long")
+    try:
+        store.commit("q", {"length_histogram": h, "score_histogram": bad}, 2)
+        raise AssertionError("a broken constraint passes")
+    except ValueError:
+        pass
+    assert store.read("length_histogram").first()["count"] == 4 and store.read("score_histogram") is None
+
+
+def test_compaction_keeps_sums_and_newest_records(spark, tmp_path, monkeypatch):
+    from credlens.sources import store as module
+
+    monkeypatch.setattr(module, "COMPACT", 3)
+    store = HistogramStore(spark, str(tmp_path / "store"))
+    store.reset(seed=True)
+    for i in range(5):
+        h = spark.createDataFrame([(1, 4, 1)], "dataset_id long, length int, count long")
+        run = spark.createDataFrame([("r", 1, "running" if i < 4 else "completed")], "id string, dataset_id long, status string")
+        store.commit("q", {"length_histogram": h, "ingestion_runs": run}, i)
+    assert store.read("length_histogram").first()["count"] == 5 and [r.status for r in store.read("ingestion_runs").collect()] == ["completed"]
+    assert len(store._manifest()["tables"]["length_histogram"]) < 4 and store.dataset("user_queries") == 0
+
+
+def test_arguments_limits_and_listing(spark, tmp_path):
+    import pytest
+
+    from credlens.streaming.ingest import list_files
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for name in "ba":
+        (src / f"{name}.txt").write_text("one\ntwo\nthree\n")
+    where = (str(src), str(tmp_path / "store"), str(tmp_path / "ck"))
+    for wrong in ({"mode": "huge"}, {"mode": "heavy"}, {"files_per_batch": 0}, {"limit": 0}, {"dataset": "absent"}):
+        with pytest.raises(ValueError):
+            ingest(spark, *where, **wrong)
+    assert [r.filename[-5:] for r in list_files(spark, str(src)).collect()] == ["a.txt", "b.txt"]
+    store = ingest(spark, *where, limit=4)
+    assert store.read("dataset_totals").first().total_lines == 4
+    assert "pending" in {r.status for r in store.read("file_progress").collect()}
+
+
+def test_events_and_derived_tables(spark, tmp_path):
+    from credlens.streaming.ingest import derive, ingest_events
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "e.txt").write_text("\n".join(WORDS))
+    stream = spark.readStream.format("text").load(str(src))
+    store = HistogramStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        ingest_events(stream, store, str(tmp_path / "ck"))
+    plain = profile.profile(weighted(_values(spark, WORDS)), "heavy", _lexicon(spark), 0)
+    for name in ("length_histogram", "charset_histogram", "entropy_histogram"):
+        assert _set(store.read(name)) == _set(plain[name]), name
+    derive(store, 0)
+    derive(store, 0)
+    assert store.read("global_summary").count() == 1 and store.read("global_summary").first().sample_size == len(WORDS)
+    store.commit("h", {"token_frequencies": plain["token_frequencies"], "pattern_stats": plain["pattern_stats"]})
+    derive(store, 0)
+    assert {r.item_type for r in store.read("top_items").collect()} == {"token", "pattern"}

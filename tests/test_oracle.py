@@ -35,3 +35,16 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", ["strength_scores", "pattern_stats", "evaluation_reports", "utf8_decode"])
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(5).count() > 0
+
+
+def test_pieces_of_pages_decode_as_python_does(spark):
+    import re
+
+    from credlens.queries import PIECE
+
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = QUERIES["utf8_decode"](spark, SF).collect()
+    assert len(rows) == sum(max(1, -(-len(p) // PIECE)) for p in pages.values())
+    for r in rows:
+        raw = pages[r.page_id][r.piece * PIECE : (r.piece + 1) * PIECE].decode("utf-8", "replace")
+        assert r.value == re.sub(r"(?:\r\n|\n|\r)\Z", "", raw) and r.had_invalid == ("�" in raw)
