@@ -111,7 +111,7 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 4096, text: str = "text
     # One row for each partition of the sort, whatever the number of documents.
     parts = laid.groupBy("pid").agg(F.sum("n").alias("total"))
     starts = parts.select("pid", (F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("pid")) - F.col("total")).alias("base"))
-    placed = laid.join(starts, "pid").select("key", "n", "ids", (F.col("base") + F.col("before")).alias("at"))
+    placed = laid.join(F.broadcast(starts), "pid").select("key", "n", "ids", (F.col("base") + F.col("before")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer_path)
