@@ -2,17 +2,23 @@
 
 Every window of WINDOW bytes has a minimizer: the least hash of the SEED-byte strings in it. Runs of
 windows with one minimizer are cut out as segments and dealt to buckets by it, so equal windows meet in a
-bucket wherever they stand. In a bucket equal segments are kept once, with their occurrences. Windows
-whose hash occurs once are put aside; the suffixes at the others are sorted, with their longest common
-prefixes, and a stack scan of those finds the intervals of the common-prefix tree. An interval whose
-suffixes have different left neighbours (the start of a segment differs from anything) is a maximal
-repeat; it goes out with all its occurrences. Bytes under an occurrence go if another one stands in a
-document with a smaller id. Matches never cross segments' ends, but segments overlap by all but one byte
-of a window, so the union over buckets is that over whole texts.
+bucket wherever they stand. In a bucket equal segments are kept once, with their occurrences; one that
+occurs several times stands in the suffix array twice. Windows whose hash occurs once are put aside; the
+suffixes at the others are sorted, with their longest common prefixes, and a stack scan of those finds the
+intervals of the common-prefix tree. An interval whose suffixes have different left neighbours (the start
+of a segment differs from anything) is a repeat; it goes out with all its occurrences. Bytes under an
+occurrence go if another one stands in a document with a smaller id. Matches never cross segments' ends, but
+segments overlap by all but one byte of a window, so the union over buckets is that over whole texts.
+Segments that one slice of texts holds FREQUENT times are resolved in a suffix array of the slice, and only
+those of its smallest id go on to their bucket, so that a passage of very many documents fills none.
+
+`maximal_repeats` goes on from there to whole texts: the stretches of each document whose windows all repeat
+are its suffixes' ends, and the suffixes at windows with different left neighbours in the texts are sorted
+whole, one group for each window, equal ones once; the same stack scan gives the maximal repeats of any length.
 
 Defined results: null counts as empty text; texts shorter than a window lose nothing; rows that share an
 id are taken for repeats of one document, and null ids for one document behind all others; an empty table
-gives an empty table.
+gives an empty table. `maximal_repeats` takes one row of each id and leaves out null ids.
 """
 
 from __future__ import annotations
@@ -24,22 +30,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, map_arrow, utf8_slices
+from .common import Stored, map_arrow, parts_for, utf8_slices
 from .rolling import RangeHash, mix
 
 WINDOW, SEED = 50, 12
 SPAN = WINDOW - SEED + 1
 LAST_ID = np.iinfo(np.int64).max
-#: Bytes of text for each bucket, and for each part of the last stage; they keep a task's memory level.
-BUCKET_TEXT, PART_TEXT = 4 << 20, 2 << 20
-#: Bytes that are hashed at once.
-HASH_BYTES = 1 << 20
+#: Bytes of text for each bucket; they keep a task's memory level.
+BUCKET_TEXT = 4 << 20
+#: Bytes that are hashed at once, and windows that are cut at once.
+HASH_BYTES, CUT_WINDOWS = 1 << 20, 1 << 22
+#: A segment that a slice holds so often is resolved there.
+FREQUENT = 8
 _POSITION = np.uint64(30)
 Arrays = tuple[np.ndarray, ...]
 
 
 def segments(raw: np.ndarray, off: np.ndarray) -> Arrays:
-    """Starts, lengths and bucket hashes of the runs of windows that share a minimizer; windows never cross texts."""
+    """Starts, lengths and bucket hashes of the runs of windows that share a minimizer; windows never cross texts. A run may be cut in two, where the work is, too."""
+    parts = []
+    for i in range(0, max(1, len(raw) - WINDOW + 1), CUT_WINDOWS):
+        end = min(len(raw), i + CUT_WINDOWS + WINDOW - 1)
+        inner = off[np.searchsorted(off, i, side="right") : np.searchsorted(off, end, side="left")] - i
+        start, length, h = _segments(raw[i:end], np.r_[0, inner, end - i])
+        parts.append((start + i, length, h))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segments(raw: np.ndarray, off: np.ndarray) -> Arrays:
     n = len(raw) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -100,29 +118,79 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int = 1 << 20) -> Iterator
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _cut(n_buckets: int):
+def _packed_cuts(ids: np.ndarray, at: np.ndarray, long: np.ndarray, n_parts: int) -> list[tuple[int, bytes]]:
+    """Removed runs (id, start, end) by part of the last stage, compressed."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    part = ids % n_parts
+    order = np.lexsort((at, ids, part))
+    part, ids, at, end = part[order], ids[order], at[order], (at + long)[order]
+    edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+    return [(int(part[s]), press.compress(np.array([e - s], np.int64).tobytes() + _planes(ids[s:e]) + _planes(at[s:e]) + _planes(end[s:e]))) for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+
+
+def _unpacked_cuts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, at = _unplanes(data, 8, n, "<i8")
+    start, at = _unplanes(data, at, n, "<i8")
+    end, _ = _unplanes(data, at, n, "<i8")
+    return np.stack([ids, start, end])
+
+
+BUCKETED = "bucket long, meta binary, bytes binary, part long, cut binary"
+
+
+def _resolved(raw: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, Arrays]:
+    """Which segments go on to their bucket, and the removed runs (id, start, length) of the others, which are frequent here and stand in a document with a smaller id too."""
+    key = RangeHash(raw).ranges(start, start + length)
+    _, group, times = np.unique(key, return_inverse=True, return_counts=True)
+    hot = np.flatnonzero(times[group] >= FREQUENT)
+    none = np.ones(len(start), bool), (np.zeros(0, np.int64),) * 3
+    if not len(hot):
+        return none
+    off = np.r_[0, np.cumsum(length[hot])]
+    _, long, who, at, low = bucket_repeats(_gather(raw, start[hot], length[hot]), off, ids[hot], pos[hot])
+    least = np.full(len(times), LAST_ID)
+    np.minimum.at(least, group[hot], ids[hot])
+    on = none[0]
+    on[hot] = ids[hot] <= least[group[hot]]
+    gone = who > low
+    return on, (who[gone], at[gone], long[gone])
+
+
+def _cut(n_buckets: int, n_parts: int | None = None):
+    """Packed segments by bucket; with n_parts also what a slice resolves itself, by part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
         for part, raw, off in utf8_slices(_merged(batches)):
-            ids = part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+            names = part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
             start, length, h = segments(raw, off)
             if not len(start):
                 continue
+            doc = np.searchsorted(off, start, side="right") - 1
+            out: list[tuple] = []
+            if n_parts is not None:
+                on, cuts = _resolved(raw, start, length, names[doc], start - off[doc])
+                start, length, h, doc = start[on], length[on], h[on], doc[on]
+                out += [(p % n_buckets, None, None, p, c) for p, c in (_packed_cuts(*cuts, n_parts) if len(cuts[0]) else [])]
             bucket = (h % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            start, length, bucket = start[order], length[order], bucket[order]
-            doc = np.searchsorted(off, start, side="right") - 1
+            start, length, bucket, doc = start[order], length[order], bucket[order], doc[order]
             new = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-            out = []
             for s, e in zip(new.tolist(), new[1:].tolist(), strict=False):
                 docs, local = np.unique(doc[s:e], return_inverse=True)
                 head = np.array([e - s, len(docs)], np.int64).tobytes()
-                meta = head + _planes(ids[docs]) + _planes(local.astype(np.uint32)) + _planes((start[s:e] - off[doc[s:e]]).astype(np.uint32)) + length[s:e].astype(np.uint8).tobytes()
-                out.append((int(bucket[s]), press.compress(meta), press.compress(_gather(raw, start[s:e], length[s:e]).tobytes())))
-            b, m, t = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(b), pa.int64()), pa.array(list(m), pa.binary()), pa.array(list(t), pa.binary())], names=["bucket", "meta", "bytes"])
+                meta = head + _planes(names[docs]) + _planes(local.astype(np.uint32)) + _planes((start[s:e] - off[doc[s:e]]).astype(np.uint32)) + length[s:e].astype(np.uint8).tobytes()
+                out.append((int(bucket[s]), press.compress(meta), press.compress(_gather(raw, start[s:e], length[s:e]).tobytes()), None, None))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "meta", "bytes", "part", "cut"])
 
     return run
 
@@ -207,6 +275,11 @@ def bucket_repeats(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, pos: np.nd
     for i, j in _chunks(seg_off):
         w = slice(first_window[i], first_window[j])
         h[w] = RangeHash(text[seg_off[i] : seg_off[j]]).windows(WINDOW)[start[w] - seg_off[i]]
+    # A segment that occurs several times has its first window, and with it the whole segment, in the array twice.
+    copies = np.flatnonzero(n_occ > 1)
+    extra = np.r_[np.zeros(len(seg), bool), np.ones(len(copies), bool)]
+    seg, inside = np.r_[seg, copies.astype(np.int32)], np.r_[inside, np.zeros(len(copies), np.int32)]
+    start, h = np.r_[start, seg_off[:-1][copies]], np.r_[h, h[first_window[:-1][copies]]]
     bits = max(10, int(len(h)).bit_length())
     cell = (h >> np.uint64(64 - bits)).astype(np.int64)
     maybe = np.flatnonzero((np.bincount(cell, minlength=1 << bits) >= 2)[cell])
@@ -245,15 +318,13 @@ def bucket_repeats(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, pos: np.nd
     del body, words
     changes = np.cumsum(np.r_[0, left[1:] != left[:-1]]) if len(left) else np.zeros(0, np.int64)
     depth, lb, rb, least = lcp_intervals(root, lcp, seg_low[seg[by]], changes)
-    # Members of intervals as (segment, place, length), and whole segments that occur more than once.
+    # Members of intervals as (segment, place, length); a copy stands for occurrences that its twin puts out.
     size = rb - lb + 1
     member = np.repeat(lb - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    several = np.flatnonzero(n_occ > 1)
-    who = np.r_[seg[by[member]], several]
-    place = np.r_[inside[by[member]], np.zeros(len(several), np.int64)]
-    long = np.r_[np.repeat(depth, size), seg_len[several]]
-    number = np.r_[np.repeat(np.arange(len(depth)), size), len(depth) + np.arange(len(several))]
-    low = np.r_[np.repeat(least, size), seg_low[several]]
+    number, long, low = np.repeat(np.arange(len(depth)), size), np.repeat(depth, size), np.repeat(least, size)
+    own = ~extra[by[member]]
+    number, long, low, member = number[own], long[own], low[own], member[own]
+    who, place = seg[by[member]], inside[by[member]]
     times = n_occ[who]
     occurrence = np.repeat(seg_first[who] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
     at = order[occurrence]
@@ -261,12 +332,17 @@ def bucket_repeats(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, pos: np.nd
 
 
 def _per_bucket(give):
-    """give on the arrays of each bucket, whose rows come together."""
+    """give on the arrays of each bucket, whose rows come together; what slices resolved passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, metas, texts = None, [], []
         for b in batches:
-            for k, m, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            passed = b.filter(b.column(4).is_valid())
+            if passed.num_rows:
+                yield passed.select(["part", "cut"])
+            for k, m, t in zip(*[c.to_pylist() for c in b.columns[:3]], strict=True):
+                if m is None:
+                    continue
                 if k != name and metas:
                     if (out := give(*bucket_repeats(*_unpack(metas, texts)))) is not None:
                         yield out
@@ -280,9 +356,9 @@ def _per_bucket(give):
     return run
 
 
-def _bucketed(rows: DataFrame, n_bytes: int) -> DataFrame:
+def _bucketed(rows: DataFrame, n_bytes: int, n_parts: int | None = None) -> DataFrame:
     n_buckets = max(64, -(-n_bytes // BUCKET_TEXT))
-    cut = map_arrow(rows.select("id", "text"), _cut(n_buckets), "bucket long, meta binary, bytes binary")
+    cut = map_arrow(rows.select("id", "text"), _cut(n_buckets, n_parts), BUCKETED)
     return cut.repartition("bucket").sortWithinPartitions("bucket")
 
 
@@ -291,77 +367,178 @@ def _rows(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     return rows, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def maximal_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Maximal repeats within buckets, one row each: length and occurrences, an array of (id, start) in bytes."""
+def _regions(text: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a text's repeats, and for each the end of the stretch around it whose windows all repeat."""
+    starts = np.array([s for s, _ in spans], np.int64)
+    step = np.zeros(len(text) + 2, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + np.array([n for _, n in spans], np.int64) - WINDOW + 1, -1)
+    alone = np.flatnonzero(np.cumsum(step) == 0)
+    places = np.unique(starts)
+    return places, alone[np.searchsorted(alone, places)] - 1 + WINDOW
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every start of a repeat: two hashes of its window, its left neighbour (-1: there is none) and its place."""
+    for b in batches:
+        cols: list[list] = [[], [], [], [], []]
+        for i, text, spans in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            at, _ = _regions(raw.tobytes(), [(x["start"], x["long"]) for x in spans])
+            for k in (0, 1):
+                cols[k].append(RangeHash(raw, k).ranges(at, at + WINDOW).view(np.int64))
+            cols[2].append(np.where(at > 0, raw[np.maximum(at - 1, 0)].astype(np.int64), -1))
+            cols[3].append(np.full(len(at), i))
+            cols[4].append(at)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "left", "id", "at"])
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes at chosen places, up to the end of their stretch."""
+    for batch in batches:
+        for i, text, spans, chosen in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            data = (text or "").encode()
+            end = dict(zip(*[x.tolist() for x in _regions(data, [(x["start"], x["long"]) for x in spans])], strict=True))
+            rows = [(x["a"], x["b"], x["left"], i, x["at"], data[x["at"] : end[x["at"]]]) for x in chosen]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            for s in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[s : s + 1000], strict=True), kinds, strict=True)], names=["a", "b", "left", "id", "at", "tail"])
+
+
+def _common(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    u, v = np.frombuffer(x, np.uint8, n), np.frombuffer(y, np.uint8, n)
+    differ = np.flatnonzero(u != v)
+    return int(differ[0]) if len(differ) else n
+
+
+def _intervals(t: pa.Table) -> pa.Table:
+    """The maximal repeats among the suffixes of one window: their length, and the suffixes (t) that begin with them."""
+    rows = sorted(zip(t["tail"].to_pylist(), t["t"].to_pylist(), t["lefts"].to_pylist(), t["n"].to_pylist(), strict=True))
+    # A suffix that occurs several times stands in the array twice.
+    tails, names, left = [], [], []
+    for tail, name, lefts, n in rows:
+        for k in range(min(n, 2)):
+            # Occurrences with one left neighbour differ in nothing; with several, or without one, they do.
+            tails.append(tail)
+            names.append(name)
+            left.append(lefts[0] if len(lefts) == 1 and lefts[0] >= 0 else -1 - 2 * len(left) - k)
+    lcp = np.array([0, *[_common(x, y) for x, y in zip(tails, tails[1:], strict=False)]], np.int64)
+    side = np.array(left, np.int64)
+    changes = np.cumsum(np.r_[0, side[1:] != side[:-1]])
+    depth, lb, rb, _ = lcp_intervals(np.zeros(len(tails), np.int64), lcp, np.zeros(len(tails), np.int64), changes)
+    out = [(t["a"][0].as_py(), t["b"][0].as_py(), nr, d, sorted(set(names[i : j + 1]))) for nr, (d, i, j) in enumerate(zip(depth.tolist(), lb.tolist(), rb.tolist(), strict=True))]
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.list_(pa.int64())), strict=True)], names=["a", "b", "nr", "length", "ts"])
+
+
+def repeat_occurrences(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Maximal repeats of at least WINDOW bytes in all texts, one row for each occurrence: a and b (hashes of the first window) and nr name the repeat; id and start (in bytes) are the place."""
+    store = Stored(df.sparkSession)
     rows, n = _rows(df, text, key)
+    rows = rows.where("id is not null").dropDuplicates(["id"])
+
+    def give(_number, long, ids, at, _low):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), pa.array(long)], names=["id", "start", "long"]) if len(ids) else None
 
-    def give(number, long, ids, at, _low):
-        order = np.argsort(number, kind="stable")
-        edge = np.flatnonzero(np.r_[True, number[order][1:] != number[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        items = pa.StructArray.from_arrays([pa.array(ids[order]), pa.array(at[order])], names=["id", "start"])
-        return pa.RecordBatch.from_arrays([pa.array(long[order][edge]), pa.ListArray.from_arrays(pa.array(np.r_[edge, len(order)].astype(np.int32)), items)], names=["length", "occurrences"]) if len(order) else None
+    found = store.write(map_arrow(_bucketed(rows, n), _per_bucket(give), "id long, start long, long long", 64).distinct())
+    held = rows.join(found.groupBy("id").agg(F.collect_list(F.struct("start", "long")).alias("spans")), "id")
+    starts = store.write(map_arrow(held.select("id", "text", "spans"), _starts, "a long, b long, left long, id long, at long"))
+    varied = starts.groupBy("a", "b").agg(F.min("left").alias("low"), F.max("left").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1 and (low < high or low < 0)").select("a", "b")
+    chosen = starts.join(varied, ["a", "b"]).groupBy("id").agg(F.collect_list(F.struct("a", "b", "left", "at")).alias("chosen"))
+    tails = map_arrow(held.join(chosen, "id").select("id", "text", "spans", "chosen"), _tails, "a long, b long, left long, id long, at long, tail binary")
+    tails = store.write(tails.withColumn("t", F.xxhash64(F.lit(7), "tail")))
+    # Different suffixes only, so that a passage of very many documents is one row of its window.
+    classes = tails.groupBy("a", "b", "t").agg(F.first("tail").alias("tail"), F.collect_set("left").alias("lefts"), F.count(F.lit(1)).alias("n"))
+    repeats = store.write(classes.groupBy("a", "b").applyInArrow(_intervals, "a long, b long, nr long, length long, ts array<long>"))
+    store.drop(found, starts)
+    return repeats.select("a", "b", "nr", "length", F.explode("ts").alias("t")).join(tails.select("a", "b", "t", "id", F.col("at").alias("start")), ["a", "b", "t"]).drop("t")
 
-    return map_arrow(_bucketed(rows, n), _per_bucket(give), "length long, occurrences array<struct<id:long,start:long>>", 64)
+
+def maximal_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Maximal repeats, one row each: length and occurrences, an array of (id, start) in bytes. Where a repeat may have more occurrences than a row can hold, use repeat_occurrences."""
+    return repeat_occurrences(df, text, key).groupBy("a", "b", "nr", "length").agg(F.collect_list(F.struct("id", "start")).alias("occurrences")).select("length", "occurrences")
+
+
+def _packed_texts(n_parts: int):
+    """Rows of ids and texts by part of the last stage, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for part, raw, off in utf8_slices(_merged(batches, 8 << 20), most=8 << 20):
+            ids = part.column(0)
+            to = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False) % n_parts
+            known, data = ids.is_valid().to_numpy(zero_copy_only=False), raw.tobytes()
+            order = np.argsort(to, kind="stable")
+            edge = np.r_[np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]), len(order)].tolist()
+            names = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            out = []
+            for s, e in zip(edge, edge[1:], strict=False):
+                at = order[s:e]
+                head = np.array([e - s], np.int64).tobytes() + np.stack([names[at], known[at], np.diff(off)[at]]).astype(np.int64).tobytes()
+                out.append((int(to[at[0]]), 1, press.compress(head + b"".join([data[off[i] : off[i + 1]] for i in at.tolist()]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["part", "kind", "body"])
+
+    return run
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, kept (binary), n_bytes, n_removed, n_spans and spans, an array of (s, e) in bytes, for each row of df."""
     store = Stored(df.sparkSession)
     rows, n = _rows(df, text, key)
-    n_parts = max(1021, n // PART_TEXT) | 1
+    n_parts = parts_for(df.sparkSession, n) | 1
 
     def give(_number, long, ids, at, low):
         gone = ids > low
-        ids, at, long = ids[gone], at[gone], long[gone]
-        if not len(ids):
-            return None
-        part = ids % n_parts
-        order = np.lexsort((at, ids, part))
-        part, ids, at, long = part[order], ids[order], at[order], long[order]
-        edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-        cut = [(int(part[s]), np.stack([ids[s:e], at[s:e], at[s:e] + long[s:e]]).tobytes()) for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.binary())], names=["part", "cut"])
-
-    cuts = store.write(map_arrow(_bucketed(rows, n), _per_bucket(give), "part long, cut binary", 64))
-    none = F.lit(None)
-    left = cuts.select("part", F.lit(0).alias("kind"), none.cast("long").alias("id"), none.cast("string").alias("text"), "cut")
-    right = rows.select(F.pmod(F.coalesce("id", F.lit(LAST_ID)), F.lit(n_parts)).alias("part"), F.lit(1).alias("kind"), "id", "text", none.cast("binary").alias("cut"))
-    met = left.unionByName(right).repartition("part").sortWithinPartitions("part", "kind")
+        cut = _packed_cuts(ids[gone], at[gone], long[gone], n_parts) if gone.any() else []
+        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.binary())], names=["part", "cut"]) if cut else None
+
+    cuts = store.write(map_arrow(_bucketed(rows, n, n_parts), _per_bucket(give), "part long, cut binary", 64))
+    texts = map_arrow(rows, _packed_texts(n_parts), "part long, kind int, body binary")
+    met = cuts.select("part", F.lit(0).alias("kind"), F.col("cut").alias("body")).unionByName(texts).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
     return map_arrow(met, _apply, "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<s:long,e:long>>").withColumnRenamed("id", key)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part come together, its cuts first."""
+    """Rows of a part come together, its cuts before its texts."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
     part, held, ready = None, [], None
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     for batch in batches:
-        ids, kept, sizes, removed, counts, spans = [], [], [], [], [], []
-        for p, kind, i, text, cut in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for p, kind, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if p != part:
                 part, held, ready = p, [], None
             if kind == 0:
-                held.append(np.frombuffer(cut, np.int64).reshape(3, -1))
+                held.append(_unpacked_cuts(body))
                 continue
             if ready is None:
                 ready = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.int64)
                 ready = ready[:, np.lexsort((ready[1], ready[0]))]
                 held = []
-            data = (text or "").encode()
-            a, b = np.searchsorted(ready[0], [LAST_ID if i is None else i] * 2, side="left")[0], np.searchsorted(ready[0], LAST_ID if i is None else i, side="right")
-            mine = []
-            if b > a:
-                s, e = ready[1, a:b], np.maximum.accumulate(ready[2, a:b])
-                new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-                mine = list(zip(s[new].tolist(), e[np.r_[new[1:] - 1, len(e) - 1]].tolist(), strict=True))
-            at, parts = 0, []
-            for s, e in mine:
-                parts.append(data[at:s])
-                at = e
-            rest = b"".join([*parts, data[at:]])
-            ids.append(i)
-            kept.append(rest)
-            sizes.append(len(data))
-            removed.append(len(data) - len(rest))
-            counts.append(len(mine))
-            spans.append([{"s": s, "e": e} for s, e in mine])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, span)], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
+            data = press.decompress(body)
+            m = int(np.frombuffer(data, np.int64, 1)[0])
+            names, known, sizes = np.frombuffer(data, np.int64, 3 * m, 8).reshape(3, m)
+            whole = np.r_[0, np.cumsum(sizes)] + 8 + 24 * m
+            find = np.where(known == 1, names, LAST_ID)
+            first, last = np.searchsorted(ready[0], find, side="left").tolist(), np.searchsorted(ready[0], find, side="right").tolist()
+            kept, removed, spans = [], [], []
+            for a, b, x, y in zip(first, last, whole[:-1].tolist(), whole[1:].tolist(), strict=True):
+                mine = []
+                if b > a:
+                    s, e = ready[1, a:b], np.maximum.accumulate(ready[2, a:b])
+                    new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+                    mine = list(zip(s[new].tolist(), e[np.r_[new[1:] - 1, len(e) - 1]].tolist(), strict=True))
+                at, pieces = x, []
+                for s, e in mine:
+                    pieces.append(data[at : x + s])
+                    at = x + e
+                kept.append(b"".join([*pieces, data[at:y]]))
+                removed.append(y - x - len(kept[-1]))
+                spans.append([{"s": s, "e": e} for s, e in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(names, mask=known == 0), pa.array(kept, pa.binary()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span)], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])

@@ -149,6 +149,72 @@ def test_maximal_repeats_list_all_occurrences(docs, rows):
         assert len(strings) == 1 and r.length >= suffix_dedup.WINDOW and len(r.occurrences) >= 2
 
 
+def _maximal(texts):
+    """Every byte string of 50 bytes or more whose occurrences differ on both sides, with all of them, by extending all pairs of places."""
+    left = lambda i, p: texts[i][p - 1] if p else (i, "start")
+    places = defaultdict(list)
+    for i, t in texts.items():
+        for p in range(len(t) - 49):
+            places[t[p : p + 50]].append((i, p))
+    found = {}
+    for w, at in places.items():
+        if len(at) < 2:
+            continue
+        lengths = set()
+        for x in range(len(at)):
+            for y in range(x):
+                (i, p), (j, q) = at[x], at[y]
+                if left(i, p) == left(j, q):
+                    continue
+                n = 50
+                while p + n < len(texts[i]) and q + n < len(texts[j]) and texts[i][p + n] == texts[j][q + n]:
+                    n += 1
+                lengths.add(n)
+        for n in lengths:
+            by = defaultdict(set)
+            for i, p in at:
+                if p + n <= len(texts[i]):
+                    by[texts[i][p : p + n]].add((i, p))
+            for string, group in by.items():
+                rights = {texts[i][p + n] if p + n < len(texts[i]) else (i, p, "end") for i, p in group}
+                if len(group) > 1 and len(rights) > 1 and len({left(i, p) for i, p in group}) > 1:
+                    found[string] = group
+    return found
+
+
+def test_maximal_repeats_equal_brute_force(spark):
+    r = random.Random(41)
+    say = lambda n: "".join(r.choice("abcde fgé") for _ in range(n))
+    long, short, mid = say(1100), say(70), say(200)
+    texts = [say(90) + long + say(40), long[100:] + say(60), say(30) + long[:900], long, short + say(20) + short, "x" + short + mid, mid[50:180] + say(80) + mid, say(300), "abc" * 50, mid + long[200:400]]
+    texts += [say(40) + short + say(40) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data = {i: t.encode() for i, t in enumerate(texts)}
+    want = _maximal(data)
+    got = {}
+    for x in maximal_repeats(frame).collect():
+        group = {(o.id, o.start) for o in x.occurrences}
+        i, p = min(group)
+        assert len(group) == len(x.occurrences)
+        got[data[i][p : p + x.length]] = group
+    assert got == want and max(map(len, want)) > 1000
+
+
+def test_passages_of_many_documents_are_resolved_where_they_are(spark):
+    r = random.Random(43)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(3, 12))) + passage + (passage[:120] if i % 5 == 0 else "") + word()) for i in range(400)]
+    r.shuffle(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "text"])
+    (out,) = suffix_dedup._cut(64, 8)([batch])
+    ids, pos = (np.concatenate(x) for x in zip(*[suffix_dedup._unpack([m], [t])[2:] for m, t in zip(out["meta"].to_pylist(), out["bytes"].to_pylist()) if m is not None]))
+    assert len(ids) < 400 * 12 and out["cut"].null_count < len(out)
+    want = _removed(rows)
+    for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) == want[x.doc_id]
+
+
 # 3
 
 def test_interleaving_is_gapless_and_proportional(docs, empty, spark):
