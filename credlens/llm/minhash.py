@@ -255,17 +255,17 @@ def near_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     several, stars = bucket_stars(banded, store)
     ends = stars.join(reps.select(F.col("id").alias("u"), "n", "sketch"), "u").join(reps.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v")
     likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000))
-    whole = lambda ids: store.write(map_arrow(rows.join(ids.distinct(), "id").dropDuplicates(["id"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
-    sets = whole(likely.select(F.col("u").alias("id")).union(likely.select("v")))
+    # Stored first, so that Spark knows whether its size allows a broadcast before it shuffles the texts.
+    involved = store.write(several.select("id").distinct())
+    sets = store.write(map_arrow(rows.join(involved, "id").dropDuplicates(["id"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
     links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200))
-    store.drop(sets, likely)
+    store.drop(likely, involved)
     first = store.write(connected(links, store).select(F.col("node").alias("id"), F.col("component").alias("root")))
     rooted = lambda ids: ids.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
     met = cross_blocks(rooted(several), "bucket", "id", "root", BUCKET).join(reps.select("id", "n", "sketch"), "id")
     agreeing = map_blocks(met, "bucket", _bucket_agreement(percent / 100), "u long, v long", 2000)
     around = store.write(rooted(connected(agreeing, store).select(F.col("node").alias("id"), "component")))
     store.drop(several)
-    sets = whole(around.select("id"))
     across = store.write(map_blocks(cross_blocks(around, "component", "id", "root", BLOCK).join(sets, "id"), "component", _check_across(percent), "u long, v long", 200))
     store.drop(sets, around)
     root = store.write(connected(links.unionByName(across), store).select(F.col("node").alias("rep"), "component"))

@@ -98,6 +98,17 @@ c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node),
 n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
 FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op9_oph_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 4 THEN list_aggregate(w[i:i + 3], 'string_agg', chr(32)) ELSE list_aggregate(w, 'string_agg', chr(32)) END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, g FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM s) WHERE k > 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node) USING (doc_id)""",
     "op4_perfect_hash_lines": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
