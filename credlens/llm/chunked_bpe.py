@@ -3,7 +3,8 @@
 Texts are cut behind every place where a rolling (gear) hash of the last 16 bytes has its top bits zero, so
 that equal passages give equal chunks whatever stands before them. A document becomes the list of its chunks'
 128-bit hashes, dealt to a part by its id and text; a chunk goes, with the parts that ask for it, to the
-bucket of its hash, where it is encoded once for the whole job, and from there once to each of these parts.
+bucket of its hash. One that several parts ask for is encoded there, once for the whole job, and its ids go
+to each of these parts; one that a single part asks for goes on as it is, and is encoded there, once.
 A chunk that is frequent within one slice of texts is dealt to as many as SPREAD buckets, and encoded in each.
 A chunk keeps the ids of what lies between its first and its last white space. At a join the open ends are put
 together and encoded anew with a word on either side; if the ids of these words don't come out as both chunks
@@ -29,12 +30,14 @@ from pyspark.sql import types as T
 from .common import map_arrow, parts_for, utf8_slices, without
 from .tokens import Generations, WordBPE, word_bpe
 
-CHUNK_BITS, MOST_BYTES = 10, 1 << 16
+CHUNK_BITS, MOST_BYTES = 11, 1 << 16
+#: Least bytes of a slice, and how hard chunks are compressed.
+CUT_BYTES, LEVEL = 1 << 22, 6
 CACHE_BYTES = 48 << 20
 #: A chunk that a slice holds so often is spread over so many buckets.
 FREQUENT, SPREAD = 8, 64
 #: Words at a chunk's ends that a join may be tested with.
-CONTEXT = 4
+CONTEXT = 2
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _SPACE = re.compile(rb"[\t-\r ]")
 _END = re.compile(rb"[^\t-\r ]*\Z")
@@ -132,7 +135,7 @@ def _pack(rows: list[tuple[bytes, ...]]) -> bytes:
 
     head = np.array([len(rows), len(rows[0])], np.int64).tobytes()
     size = np.array([[-1 if x is None else len(x) for x in r] for r in rows], np.int32).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + size + b"".join([x or b"" for c in zip(*rows, strict=True) for x in c]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + size + b"".join([x or b"" for c in zip(*rows, strict=True) for x in c]))
 
 
 def _unpack(data: bytes) -> list[tuple[bytes | None, ...]]:
@@ -154,7 +157,7 @@ def _cut(path: str, n_buckets: int):
 
         bpe = word_bpe(path)
         # Slices grow with the number of buckets, so that their rows don't get too short to compress.
-        for part, raw, off in utf8_slices(batches, most=min(64 << 20, max(1 << 21, n_buckets << 12))):
+        for part, raw, off in utf8_slices(batches, most=min(64 << 20, max(CUT_BYTES, n_buckets << 12))):
             parts = part.column(part.schema.get_field_index("part")).to_pylist()
             raw, off = bpe.plain(raw, off)
             data, chunks, lists = raw.tobytes(), {}, []
@@ -195,10 +198,11 @@ def _encode(path: str):
         held, at, kind = {}, None, None
 
         def give() -> pa.RecordBatch:
-            coder.bpe.learn([c for c, _ in held.values()])
+            coder.bpe.learn([c for c, asked in held.values() if len(asked) > 1])
             by: dict[int, list[tuple]] = {}
             for h, (c, asked) in held.items():
-                e = coder.entry(c)
+                # A text alone stands for an entry that is still to be made.
+                e = coder.entry(c) if len(asked) > 1 else (c, None, None, None, None)
                 for p in asked:
                     by.setdefault(p, []).append((h, *e))
             return _rows([0] * len(by), 0, list(by), [_pack(x) for x in by.values()], pa.nulls(len(by), kind))
@@ -242,7 +246,9 @@ def _assemble(path: str, outputs: tuple[str, ...]):
                 if p != at:
                     known, at = {}, p
                 if kind == 0:
-                    known.update((x[0], x[1:]) for x in _unpack(body))
+                    got = _unpack(body)
+                    bpe.learn([x[1] for x in got if x[3] is None])
+                    known.update((x[0], x[1:] if x[3] is not None else coder.entry(x[1])) for x in got)
                 else:
                     texts.append([known[body[j : j + 16]] for j in range(0, len(body), 16)])
                     rows.append(i)
@@ -274,7 +280,7 @@ def _chunked(df: DataFrame, tokenizer_path: str, text: str, key: str, r) -> tupl
     n = parts_for(df.sparkSession, n_bytes)
     slim = inner.select("r", "text", F.pmod(F.xxhash64("k", "text"), F.lit(n)).cast("int").alias("part"))
     fields = [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("r", slim.schema["r"].dataType)]
-    return map_arrow(slim, _cut(tokenizer_path, n), T.StructType(fields), 5000), n
+    return map_arrow(slim, _cut(tokenizer_path, n), T.StructType(fields), 2000), n
 
 
 def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep_text: bool = True) -> DataFrame:
@@ -283,10 +289,10 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: s
     rest = [c for c in kept.columns if keep_text or c.lower() != text.lower()]
     chunked, n = _chunked(df, tokenizer_path, text, key, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("_")]))
     met = chunked.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    encoded = map_arrow(met, _encode(tokenizer_path), met.schema, 5000).select("part", "kind", "body", "r")
+    encoded = map_arrow(met, _encode(tokenizer_path), met.schema, 200).select("part", "kind", "body", "r")
     placed = encoded.repartition(n, "part").sortWithinPartitions("part", "kind")
     kinds = [T.StructField(o, T._parse_datatype_string(OUTPUTS[o])) for o in outputs]
-    done = map_arrow(placed, _assemble(tokenizer_path, outputs), T.StructType([placed.schema["r"], *kinds]))
+    done = map_arrow(placed, _assemble(tokenizer_path, outputs), T.StructType([placed.schema["r"], *kinds]), 200)
     return done.select(*[F.col(f"r.`{c}`") for c in rest], *outputs)
 
 
