@@ -9,6 +9,8 @@ from ..functions.features import LEET, PLAIN
 from ..sources.lexicon import PRIORITY, cultural_terms
 
 LEAST = 3
+#: Words up to which a lexicon is broadcast: at 64 characters and less some 100 MB. Larger ones are joined by shuffles.
+BROADCAST_WORDS = 500_000
 
 
 def ngrams(values: DataFrame, longest: int, value: str = "value", form: Column | None = None) -> DataFrame:
@@ -23,14 +25,20 @@ def longest_word(lexicon: DataFrame) -> int:
     return lexicon.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
 
 
+def lookup_side(words: DataFrame, word: str = "word") -> tuple[DataFrame, int]:
+    """words marked for broadcasting if their checked number and length allow it, and the longest one's length."""
+    longest, n = words.agg(F.coalesce(F.max(F.length(word)), F.lit(0)), F.count(F.lit(1))).first()
+    return (F.broadcast(words) if n <= BROADCAST_WORDS and longest <= 64 else words), longest
+
+
 def _token() -> Column:
     return F.substring("value", F.col("start") + 1, F.col("end") - F.col("start"))
 
 
 def dictionary_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """values x (start, end, token, dict_name, rank, guesses): one row for each word list that holds a substring. Whether the lexicon is broadcast is up to its size."""
-    words = lexicon.select(F.col("word").alias("gram"), "dict_name", "rank")
-    hits = ngrams(values, longest_word(lexicon)).join(words, "gram")
+    """values x (start, end, token, dict_name, rank, guesses): one row for each word list that holds a substring. The lexicon is broadcast if its checked size allows it."""
+    words, longest = lookup_side(lexicon.select(F.col("word").alias("gram"), "dict_name", "rank"), "gram")
+    hits = ngrams(values, longest).join(words, "gram")
     return hits.withColumn("token", _token()).withColumn("guesses", F.greatest("rank", F.lit(1)).cast("long")).drop("gram")
 
 
@@ -66,7 +74,7 @@ def lexical_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("at"), "dict_name", "rank")).alias("hit")).select("gram", "hit.dict_name", "hit.rank")
     plain = first.select(F.lit(1).alias("form"), "gram", entry(2, "leet", F.col("dict_name")).alias("x"))
     known = lists.unionByName(regional).unionByName(plain).groupBy("form", "gram").agg(F.collect_list("x").alias("xs"))
-    longest = longest_word(lexicon.select("word").unionByName(terms.select("word")))
+    known, longest = lookup_side(known, "gram")
     low = F.lower("value")
     n = F.length("value")
     placed = values.where(n >= LEAST).select("value", low.alias("low"), F.translate(low, LEET, PLAIN).alias("plain"), F.explode(F.sequence(F.lit(0), n - LEAST)).alias("start"))

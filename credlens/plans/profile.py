@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as f
 from ..operators.decompose import scored
 from ..operators.detectors import detect_all, pattern_repr
-from ..operators.lexical import deleetified, longest_word, ngrams
+from ..operators.lexical import deleetified, lookup_side, ngrams
 from ..sources.lexicon import cultural_terms
 from ..sources.store import REPR_LEN, TOKEN_LEN
 
@@ -45,13 +45,19 @@ def totals(weighted: DataFrame) -> DataFrame:
 
 
 def lexical_hits(weighted: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """weight, gram, pattern_type, pattern_repr: one row for each count that a substring gives. Regional terms and word lists are joined at once; lists named *_es count twice."""
+    """weight, gram, pattern_type, pattern_repr: one row for each count that a substring gives, its weights summed before the lookup. Regional terms and word lists are joined at once; lists named *_es count twice."""
     rank = F.col("rank").cast("string")
     terms = cultural_terms(weighted.sparkSession).select(F.col("word").alias("gram"), F.lit("spanish").alias("pattern_type"), F.concat(F.lit("src=cultural;rank="), rank).alias("pattern_repr"))
     lists = lexicon.select(F.col("word").alias("gram"), F.lit("dictionary").alias("pattern_type"), F.concat(F.lit("dict="), "dict_name", F.lit(";rank="), rank).alias("pattern_repr"))
     again = lexicon.where(F.col("dict_name").endswith("_es")).select(F.col("word").alias("gram"), F.lit("spanish").alias("pattern_type"), F.concat(F.lit("src="), "dict_name", F.lit(";rank="), rank).alias("pattern_repr"))
     every = terms.unionByName(lists).unionByName(again)
-    return ngrams(weighted, longest_word(every.withColumnRenamed("gram", "word"))).select("weight", "gram").join(every, "gram")
+    words, longest = lookup_side(every, "gram")
+    # Only substrings that are words are summed, unless the words are too many to be sent everywhere.
+    grams = ngrams(weighted, longest).select("weight", "gram")
+    summed = lambda df: df.groupBy("gram").agg(F.sum("weight").alias("weight"))
+    if words is every:
+        return summed(grams).join(every, "gram")
+    return summed(grams.join(F.broadcast(every.select("gram").distinct()), "gram", "left_semi")).join(words, "gram")
 
 
 def lexical_patterns(weighted: DataFrame, lexicon: DataFrame) -> DataFrame:
