@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attack import format_duration
@@ -51,3 +51,36 @@ def total_speed(speeds: DataFrame) -> DataFrame:
 def pending(listed: DataFrame, progress: DataFrame) -> DataFrame:
     """Files that aren't completed yet, in order."""
     return listed.join(progress.where("status = 'completed'").select("filename"), "filename", "left_anti").orderBy("filename")
+
+
+def _lines(df: DataFrame, section: int, line: Column, *order: Column) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
+
+
+def _duration(start: str, end: str) -> Column:
+    seconds = F.unix_micros(F.col(end).cast("timestamp")) / 1e6 - F.unix_micros(F.col(start).cast("timestamp")) / 1e6
+    return F.when(F.col(start).isNotNull() & F.col(end).isNotNull(), F.concat(F.lit("  "), format_duration(seconds))).otherwise("")
+
+
+def snapshot_text(totals: DataFrame, runs: DataFrame, progress: DataFrame, now, expected_lines: int | None = None) -> DataFrame:
+    """section, place and line of a monitor's screen: totals per dataset (of mean_lengths), the three newest runs (of recent_runs), running files with speed and expected time, failed files, counts by status, files completed last. Every section has few rows. The words and widths are fixed values."""
+    c, num = F.col, lambda x: F.format_number(x, 0)
+    name = F.element_at(F.split("filename", "/"), -1)
+    clock = lambda x, other: F.coalesce(F.date_format(c(x).cast("timestamp"), "HH:mm:ss"), F.lit(other))
+    sped = progress.where("status = 'running'").join(speed_eta(progress, now, expected_lines), "filename")
+    failed = progress.where("status = 'failed'")
+    done = recently_completed(progress)
+    counts = progress.agg(*[F.count_if(c("status") == s).alias(s) for s in ("completed", "running", "failed")], F.count(F.lit(1)).alias("all"))
+    other = c("all") - c("completed") - c("running") - c("failed")
+    shown = [
+        _lines(totals, 1, F.format_string("  %-25s  %15s líneas válidas  media longitud: %.2f", c("name"), num(c("total_lines")), c("mean_length").cast("double")), c("name")),
+        _lines(runs.orderBy(F.desc_nulls_last("started_at"), "id").limit(3), 2, F.format_string("  #%-4s %-20s [%-11s]  %s → %s  %s líneas", c("id").cast("string"), c("dataset_name"), c("status"), clock("started_at", "—"), clock("finished_at", "running"), num(c("lines_valid"))), F.desc_nulls_last("started_at"), c("id")),
+        _lines(sped, 3, F.format_string("  %-45s %12s  %8s  %8s", name, num(c("lines_valid")), F.format_string("%.0f", c("speed")), c("eta")), c("filename")),
+        _lines(failed, 4, F.format_string("  %-45s %12s  (checkpoint: %s líneas)", name, num(c("lines_valid")), num(c("lines_processed"))), c("filename")),
+        _lines(counts, 5, F.when(c("all") == 0, "Sin ficheros en file_progress (¿ingesta aún no iniciada?)").otherwise(F.format_string("Ficheros: %d completados  %d en curso  %d fallidos  %d pendientes  (total %d)", c("completed"), c("running"), c("failed"), other, c("all"))), c("all")),
+        _lines(done, 6, F.concat(F.format_string("  %-45s %12s", name, num(c("lines_valid"))), _duration("started_at", "finished_at")), F.desc_nulls_last("finished_at"), c("filename")),
+    ]
+    every = shown[0]
+    for s in shown[1:]:
+        every = every.unionByName(s)
+    return every.orderBy("section", "place")

@@ -161,3 +161,18 @@ def test_events_and_derived_tables(spark, tmp_path):
     store.commit("h", {"token_frequencies": plain["token_frequencies"], "pattern_stats": plain["pattern_stats"]})
     derive(store, 0)
     assert {r.item_type for r in store.read("top_items").collect()} == {"token", "pattern"}
+
+
+def test_monitor_screen(spark):
+    from credlens.plans import monitor
+
+    totals = spark.createDataFrame([("leak", 1234567, 8.5)], "name string, total_lines long, mean_length double")
+    runs = spark.createDataFrame([(i, "leak", "completed", f"2025-01-0{i} 10:00:00", None, 1000 * i) for i in range(1, 6)], "id long, dataset_name string, status string, started_at string, finished_at string, lines_valid long")
+    files = [("in/a.txt", "running", 5000, 4000, "2025-01-01 00:00:00", None), ("b.txt", "failed", 7, 6, None, None), ("c.txt", "completed", 9, 9, "2025-01-01 00:00:00", "2025-01-01 00:01:30"), ("d.txt", "pending", 0, 0, None, None)]
+    progress = spark.createDataFrame(files, "filename string, status string, lines_processed long, lines_valid long, started_at string, finished_at string")
+    lines = [r.line for r in monitor.snapshot_text(totals, runs, progress, "2025-01-01 00:00:50", 15_000).collect()]
+    assert lines[0] == f"  {'leak':<25}  {'1,234,567':>15} líneas válidas  media longitud: 8.50"
+    assert [x.split()[0] for x in lines[1:4]] == ["#5", "#4", "#3"] and "10:00:00 → running" in lines[1]
+    assert lines[4] == f"  {'a.txt':<45} {'4,000':>12}  {'100':>8}  {'1m40s':>8}"
+    assert "checkpoint: 7 líneas" in lines[5] and lines[6] == "Ficheros: 1 completados  1 en curso  1 fallidos  1 pendientes  (total 4)"
+    assert lines[7].endswith("1m30s")
