@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.features import full_year, is_ascii_digits
+
 META = ("format string", "year int", "month int", "day int", "length int", "direction string", "row int", "keys_in_row int", "kind string", "base string", "period int", "count int", "cost_base long")
 MATCH = "array<struct<type:string,start:int,end:int,token:string,guesses:long," + ",".join(m.replace(" ", ":") for m in META) + ">>"
 #: Guesses for a full date and a year, and keyboard rows.
@@ -39,7 +41,7 @@ def regex_spans(s: Column, pattern: str) -> Column:
 def _windows(s: Column, size: int) -> Column:
     """Every window of ASCII digits, with its start."""
     starts = F.when(F.length(s) >= size, F.sequence(F.lit(0), F.length(s) - size)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(s, i + 1, size).alias("w"))), lambda x: x["w"].rlike(f"^[0-9]{{{size}}}$"))
+    return F.filter(F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(s, i + 1, size).alias("w"))), lambda x: is_ascii_digits(x["w"]))
 
 
 def _valid(y: Column, m: Column, d: Column) -> Column:
@@ -73,7 +75,7 @@ def date_8(s: Column) -> Column:
 def date_6(s: Column) -> Column:
     def one(x: Column) -> Column:
         num = lambda at: F.substring(x["w"], at, 2).cast("int")
-        y = F.when(num(5) < 50, 2000 + num(5)).otherwise(1900 + num(5))
+        y = full_year(num(5))
         return F.when(_valid(y, num(3), num(1)), _match("date", x["start"], x["start"] + 6, x["w"], F.lit(FULL_DATE), format=F.lit("DDMMYY"), year=y, month=num(3), day=num(1)))
 
     return F.array_compact(F.transform(_windows(s, 6), one))

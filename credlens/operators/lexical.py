@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import LEET, PLAIN
+from ..functions.features import deleet, is_leet, substitutions
 from ..sources.lexicon import PRIORITY, cultural_terms
 
 LEAST = 3
@@ -52,9 +52,8 @@ def spanish_matches(values: DataFrame, lexicon: DataFrame, only_es: bool = True)
 
 def leet_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     """values x (start, end, token, deleeted, dict_name, rank, substitutions, guesses): substrings with a substitution character whose plain form is a word, each with the first word list by priority."""
-    plain = F.translate(F.lower("value"), LEET, PLAIN)
-    grams = ngrams(values, longest_word(lexicon), form=plain).withColumn("token", _token())
-    grams = grams.where(F.col("token").rlike(r"[4@31!|05$78]")).withColumn("substitutions", F.length("token") - F.length(F.translate(F.lower("token"), LEET, "")))
+    grams = ngrams(values, longest_word(lexicon), form=deleet(F.col("value"))).withColumn("token", _token())
+    grams = grams.where(is_leet(F.col("token"))).withColumn("substitutions", substitutions(F.col("token")))
     first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("place"), "dict_name", "rank")).alias("hit"))
     hits = grams.join(first, "gram").select(*[c for c in grams.columns if c != "gram"], F.col("gram").alias("deleeted"), "hit.dict_name", "hit.rank")
     return hits.withColumn("guesses", (F.col("rank") * F.pow(F.lit(2.0), F.col("substitutions"))).cast("long"))
@@ -77,14 +76,13 @@ def lexical_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     known, longest = lookup_side(known, "gram")
     low = F.lower("value")
     n = F.length("value")
-    placed = values.where(n >= LEAST).select("value", low.alias("low"), F.translate(low, LEET, PLAIN).alias("plain"), F.explode(F.sequence(F.lit(0), n - LEAST)).alias("start"))
+    placed = values.where(n >= LEAST).select("value", low.alias("low"), deleet(F.col("value")).alias("plain"), F.explode(F.sequence(F.lit(0), n - LEAST)).alias("start"))
     ended = placed.withColumn("end", F.explode(F.sequence(F.col("start") + LEAST, F.least(F.col("start") + longest, F.length("value")))))
     part = lambda c: F.substring(c, F.col("start") + 1, F.col("end") - F.col("start"))
     grams = ended.select("value", "start", "end", part("low").alias("low"), part("plain").alias("plain"))
     both = F.when(F.col("low") == F.col("plain"), F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")))).otherwise(F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")), F.struct(F.lit(1).alias("form"), F.col("plain").alias("gram"))))
     hits = grams.select("value", "start", "end", F.col("low").alias("as_is"), F.inline(both)).join(known, ["form", "gram"]).select("value", "start", "end", "as_is", "gram", F.inline("xs"))
-    subs = F.length("as_is") - F.length(F.translate("as_is", LEET, ""))
-    guesses = F.when(F.col("place") == 2, (F.col("rank") * F.pow(F.lit(2.0), subs)).cast("long")).otherwise(F.greatest("rank", F.lit(1)).cast("long"))
+    guesses = F.when(F.col("place") == 2, (F.col("rank") * F.pow(F.lit(2.0), substitutions(F.col("as_is")))).cast("long")).otherwise(F.greatest("rank", F.lit(1)).cast("long"))
     return hits.select("value", "place", "type", "start", "end", "name", F.when(F.col("place") == 2, F.col("gram")).alias("word"), guesses.alias("guesses"))
 
 
@@ -99,5 +97,4 @@ def calibrated(matches: DataFrame, frequencies: DataFrame) -> DataFrame:
 
 def deleetified(values: DataFrame) -> DataFrame:
     """value, token: whole values with a substitution character whose plain form has 3 to 64 letters and nothing else."""
-    plain = F.translate(F.lower("value"), LEET, PLAIN)
-    return values.withColumn("token", plain).where(F.col("value").rlike(r"[4@31!|05$78]") & F.col("token").rlike(r"^\p{L}{3,64}$"))
+    return values.withColumn("token", deleet(F.col("value"))).where(is_leet(F.col("value")) & F.col("token").rlike(r"^\p{L}{3,64}$"))

@@ -25,7 +25,7 @@ def _lexicon(spark):
 def _lexical(v):
     """(place, start, end, name, word, guesses) of every substring, by plain lookups."""
     low, out = v.lower(), []
-    cultural = {w: i for i, w in enumerate({w: 0 for w in CULTURAL})}
+    cultural = {w: i for i, w in enumerate(CULTURAL)}  # a repeated one counts at its last place
     for s in range(len(v)):
         for e in range(s + 3, len(v) + 1):
             t = low[s:e]
