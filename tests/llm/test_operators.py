@@ -391,6 +391,15 @@ def test_hilbert_neighbours_are_adjacent():
     assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_texts_of_one_topic_stand_together(spark):
+    r = random.Random(15)
+    topics = [["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(40)] for _ in range(6)]
+    rows = [(i, " ".join(r.choices(topics[i % 6], k=150))) for i in range(600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH).where("start = 0").orderBy("sequence_id", "offset").collect()
+    together = sum(a.doc_id % 6 == b.doc_id % 6 for a, b in zip(got, got[1:])) / 599
+    assert len(got) == 600 and together > 0.6  # a random order has a sixth
+
+
 def test_chunked_encoding_equals_the_library(rows, docs, empty, library):
     got = encode_decode(_clash(docs, "ids", "n_tokens"), PATH, outputs=("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")).collect()
     assert len(got) == len(rows)
