@@ -40,6 +40,8 @@ LAST_ID = np.iinfo(np.int64).max
 BUCKET_TEXT = 4 << 20
 #: Bytes that are hashed at once, and windows that are cut at once.
 HASH_BYTES, CUT_WINDOWS = 1 << 20, 1 << 22
+#: How hard segments and texts are compressed for their shuffles.
+LEVEL = 6
 #: A segment that a slice holds so often is resolved there.
 FREQUENT = 8
 _POSITION = np.uint64(30)
@@ -168,7 +170,7 @@ def _cut(n_buckets: int, n_parts: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for part, raw, off in utf8_slices(_merged(batches)):
             names = part.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
             start, length, h = segments(raw, off)
@@ -359,7 +361,8 @@ def _per_bucket(give):
 def _bucketed(rows: DataFrame, n_bytes: int, n_parts: int | None = None) -> DataFrame:
     n_buckets = max(64, -(-n_bytes // BUCKET_TEXT))
     cut = map_arrow(rows.select("id", "text"), _cut(n_buckets, n_parts), BUCKETED)
-    return cut.repartition("bucket").sortWithinPartitions("bucket")
+    # Segments hold some three times the text.
+    return cut.repartition(parts_for(rows.sparkSession, 3 * n_bytes), "bucket").sortWithinPartitions("bucket")
 
 
 def _rows(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
@@ -467,7 +470,7 @@ def _packed_texts(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for part, raw, off in utf8_slices(_merged(batches, 8 << 20), most=8 << 20):
             ids = part.column(0)
             to = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False) % n_parts
