@@ -2,7 +2,7 @@
 
 Texts are cut behind every place where a rolling (gear) hash of the last 16 bytes has its top bits zero, so
 that equal passages give equal chunks whatever stands before them. A document becomes the list of its chunks'
-128-bit hashes, dealt to a part by its id and text; a chunk goes, with the parts that ask for it, to the
+96-bit hashes, dealt to a part by its id and text; a chunk goes, with the parts that ask for it, to the
 bucket of its hash. One that several parts ask for is encoded there, once for the whole job, and its ids go
 to each of these parts; one that a single part asks for goes on as it is, and is encoded there, once.
 A chunk that is frequent within one slice of texts is dealt to as many as SPREAD buckets, and encoded in each.
@@ -32,7 +32,9 @@ from .tokens import Generations, WordBPE, word_bpe
 
 CHUNK_BITS, MOST_BYTES = 11, 1 << 16
 #: Least bytes of a slice, and how hard chunks are compressed.
-CUT_BYTES, LEVEL = 1 << 22, 6
+CUT_BYTES, LEVEL = 1 << 23, 6
+#: Bytes of a chunk's hash that name it.
+NAME = 12
 CACHE_BYTES = 48 << 20
 #: A chunk that a slice holds so often is spread over so many buckets.
 FREQUENT, SPREAD = 8, 64
@@ -165,7 +167,7 @@ def _cut(path: str, n_buckets: int):
                 mine = []
                 for x, y in zip(bounds, bounds[1:], strict=False):
                     c = data[x:y]
-                    h = xxhash.xxh3_128_digest(c)
+                    h = xxhash.xxh3_128_digest(c)[:NAME]
                     mine.append(h)
                     if (seen := chunks.get(h)) is None:
                         chunks[h] = [c, {p}, 1]
@@ -250,7 +252,7 @@ def _assemble(path: str, outputs: tuple[str, ...]):
                     bpe.learn([x[1] for x in got if x[3] is None])
                     known.update((x[0], x[1:] if x[3] is not None else coder.entry(x[1])) for x in got)
                 else:
-                    texts.append([known[body[j : j + 16]] for j in range(0, len(body), 16)])
+                    texts.append([known[body[j : j + NAME]] for j in range(0, len(body), NAME)])
                     rows.append(i)
             if not rows:
                 continue
@@ -299,5 +301,5 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: s
 def reuse(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row: n_chunks in all texts and n_encoded, different ones."""
     chunked, _ = _chunked(df, tokenizer_path, text, key, F.lit(0))
-    lists = chunked.where("kind = 1 and length(body) > 0").select(F.explode(F.expr("transform(sequence(0, length(body) div 16 - 1), i -> substring(body, 16 * i + 1, 16))")).alias("h"))
+    lists = chunked.where("kind = 1 and length(body) > 0").select(F.explode(F.expr(f"transform(sequence(0, length(body) div {NAME} - 1), i -> substring(body, {NAME} * i + 1, {NAME}))")).alias("h"))
     return lists.groupBy("h").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count(F.lit(1)).alias("n_encoded"))
