@@ -636,7 +636,11 @@ def test_estimate_equals_the_least_determinant_and_rejects_what_no_coordinate_sh
     # Medians and quartile spreads of each coordinate would keep most of them.
     plain = (((x - np.median(x, 0)) / (np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.349)) ** 2).sum(1)
     assert (plain[len(texts):] < quality_rules.CHI2_CUT).sum() >= 9
-    assert np.mean([got[i].kept for i in range(len(texts))]) > 0.98
+    # Every verdict is the plain estimate's, but for distances at the cut itself.
+    cut = np.sqrt(quality_rules.CHI2_CUT)
+    sure = np.abs(want / cut - 1) > 0.03
+    assert sure.mean() > 0.99 and [got[i].kept for i in np.flatnonzero(sure)] == (want <= cut)[sure].tolist()
+    assert np.mean([got[i].kept for i in range(len(texts))]) > 0.95
 
 
 def test_rules_against_brute_force_and_reject_outliers(spark, rows, docs, empty):
