@@ -52,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     store = Stored(spark)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     whole = table(spark, sf_dir, "documents", "doc_id", "text").join(ids, "doc_id", "left_semi")
-    linked = [near_texts(texts, shingle=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for texts in (docs.select("doc_id", "text"), whole)]
+    # Stored one after the other, so that the two don't share the executors' memory.
+    linked = [store.write(near_texts(texts, shingle=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))) for texts in (docs.select("doc_id", "text"), whole)]
     gone = connected(linked[0].unionByName(linked[1]), store).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
