@@ -18,6 +18,7 @@ from .pii import find_personal_data, spans_text
 from .quality_rules import robust_outliers
 from .sharding import interleave
 from .suffix_dedup import remove_repeats
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,7 +85,11 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers)}
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers, op12_bit_sliced_whitening)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
