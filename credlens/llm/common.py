@@ -56,10 +56,14 @@ class Stored:
         self.spark, self.paths = spark, []
         atexit.register(self._at_exit)
 
+    def folder(self) -> str:
+        """A new path in the shared folder, deleted like a table."""
+        self.paths.append(path := f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
+        return path
+
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}"
+        path = self.folder()
         df.write.option("compression", "zstd").parquet(path)
-        self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

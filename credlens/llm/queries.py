@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .chunked_bpe import encode_decode
-from .common import table, text_or_empty
+from .common import Stored, table, text_or_empty
 from .embedding_dedup import near_vectors
 from .line_dedup import dedup_lines
 from .minhash import near_texts
@@ -18,6 +18,7 @@ from .pii import find_personal_data, spans_text
 from .quality_rules import robust_outliers
 from .sharding import interleave
 from .suffix_dedup import remove_repeats
+from .token_files import checksums, write_ids
 from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +90,14 @@ def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers, op12_bit_sliced_whitening)}
+def op13_addressable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return checksums(write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), Stored(spark).folder()))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers, op12_bit_sliced_whitening, op13_addressable_ids)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
