@@ -22,6 +22,7 @@ _CHUNKS = re.compile(rb"[ \t-\r]*+[A-Za-z]++(?=[.,])|[ \t-\r]*+[^ \t-\r]++|[ \t-
 #: White space outside ASCII, and what some libraries count as such, before ASCII white space.
 OTHER_SPACE = rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)"
 _ODD = re.compile(OTHER_SPACE + rb"[ \t-\r]")
+_ENDS = re.compile(OTHER_SPACE + rb"\Z")
 #: First bytes of these; most texts have none of them.
 _RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
@@ -30,7 +31,7 @@ _loaded: dict[tuple[str, bool], ByteBPE] = {}
 
 def joinable(chunk: bytes) -> bool:
     """Whether a chunk keeps its ids when it stands behind any other: it begins with white space and ends otherwise."""
-    return chunk[0] in _SPACE and chunk[-1] not in _SPACE and len(chunk) <= LONGEST
+    return chunk[0] in _SPACE and chunk[-1] > 32 and len(chunk) <= LONGEST and (chunk[-1] < 127 or not _ENDS.search(chunk))
 
 
 def load_library(path: str, specials: bool):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
+from .alignment import align_documents
 from .chunked_bpe import encode_decode
 from .common import Stored, table, text_or_empty
 from .embedding_dedup import near_vectors
@@ -86,6 +87,13 @@ def op7_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -97,7 +105,7 @@ def op13_addressable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), Stored(spark).folder()))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers, op12_bit_sliced_whitening, op13_addressable_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_crf, op2_interval_tree_repeats, op3_proportional_interleave, op4_perfect_hash_lines, op5_bootstrapped_pii, op6_hilbert_packing, op7_chunk_reuse_bpe, op8_hyperplane_dedup, op9_oph_dedup, op10_robust_outliers, op11_cross_tokenizer_alignment, op12_bit_sliced_whitening, op13_addressable_ids)}
 
 _STRIP = r"""regexp_replace(regexp_replace(l, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"""
 ORACLE_SQL: dict[str, str] = {
