@@ -12,8 +12,9 @@ and in these the full sets are intersected, again only across components and in
 of near copies that all link to its centre costs one check for each text; components of links are the result.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; texts with
-fewer words than a shingle have one shingle of all words; rows that share an id are taken for repeats of
-one document; null ids link with nothing; extra columns are ignored; an empty table gives an empty table.
+fewer words than a shingle have one shingle of all words; rows that share an id are one document, linked
+with all that any of its texts is linked with; null ids link with nothing; extra columns are ignored; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -207,9 +208,9 @@ def _check_stars(percent: int):
     def run(t: pa.Table) -> pa.RecordBatch | None:
         ids, small = t["id"].to_numpy(), t["small"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
-        (c,) = np.flatnonzero(~small).tolist()
-        u = [int(ids[i]) for i in np.flatnonzero(small).tolist() if _alike(sets[i], sets[c], percent)]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([int(ids[c])] * len(u), pa.int64())], names=["u", "v"]) if u else None
+        centre = np.flatnonzero(~small).tolist()  # one row for each of its texts
+        u = [int(ids[i]) for i in np.flatnonzero(small).tolist() if any(_alike(sets[i], sets[c], percent) for c in centre)]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([int(ids[centre[0]])] * len(u), pa.int64())], names=["u", "v"]) if u else None
 
     return run
 
@@ -250,16 +251,19 @@ def near_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     sketched = store.write(map_arrow(rows, _sketch(shingle), "id long, n long, g long, h long, bands binary, sketch binary"))
     usable = F.col("id").isNotNull() & (F.col("n") > 0)
     classes = store.write(sketched.where(usable).groupBy("g", "h").agg(F.min("id").alias("rep")))
-    reps = store.write(sketched.where(usable).join(classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]).select("id", "n", "bands", "sketch"))
+    # An id may stand for several classes, with a row for each.
+    reps = store.write(sketched.where(usable).join(classes, ["g", "h"]).where("id = rep").dropDuplicates(["id", "g", "h"]).select("id", "n", "bands", "sketch"))
+    several_texts = sketched.where(usable).groupBy("id").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("g0 < g1 or h0 < h1").select("id")
+    same = store.write(sketched.where(usable).select("id", "g", "h").join(several_texts, "id").join(classes, ["g", "h"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
     banded = map_arrow(reps.select("id", "bands"), _bands, "bucket long, id long", 2000)
     several, stars = bucket_stars(banded, store)
     ends = stars.join(reps.select(F.col("id").alias("u"), "n", "sketch"), "u").join(reps.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v")
-    likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000))
+    likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000).distinct())
     # Stored first, so that Spark knows whether its size allows a broadcast before it shuffles the texts.
     involved = store.write(several.select("id").distinct())
-    sets = store.write(map_arrow(rows.join(involved, "id").dropDuplicates(["id"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
-    links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200))
-    store.drop(likely, involved)
+    sets = store.write(map_arrow(rows.join(involved, "id").dropDuplicates(["id", "text"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
+    links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200).unionByName(same))
+    store.drop(likely, involved, same)
     first = store.write(connected(links, store).select(F.col("node").alias("id"), F.col("component").alias("root")))
     rooted = lambda ids: ids.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
     met = cross_blocks(rooted(several), "bucket", "id", "root", BUCKET).join(reps.select("id", "n", "sketch"), "id")

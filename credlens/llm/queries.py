@@ -73,7 +73,7 @@ def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id", of(0).alias("n_email"), of(1).alias("n_ip"), of(2).alias("n_card"), of(3).alias("n_phone"),
-        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("secrets").cast("long").alias("n_secret"), spans_text(F.col("secrets")).alias("secret_spans"),
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "added", "secrets"))).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("secrets").cast("long").alias("n_secret"), spans_text(F.col("secrets")).alias("secret_spans"),
         (F.size("base") + F.size("added") + F.size("secrets")).cast("long").alias("n_spans"),
     )
 

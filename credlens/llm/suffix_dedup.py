@@ -437,10 +437,13 @@ def _intervals(t: pa.Table) -> pa.Table:
 
 
 def repeat_occurrences(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Maximal repeats of at least WINDOW bytes in all texts, one row for each occurrence: a and b (hashes of the first window) and nr name the repeat; id and start (in bytes) are the place."""
+    """Maximal repeats of at least WINDOW bytes in all texts, one row for each occurrence: a and b (hashes of the first window) and nr name the repeat; id and start (in bytes) are the place. Rows with the same id and text count once; those that share only their id are texts of their own."""
     store = Stored(df.sparkSession)
     rows, n = _rows(df, text, key)
-    rows = rows.where("id is not null").dropDuplicates(["id"])
+    # Each text under a name of its own.
+    named = rows.where("id is not null").dropDuplicates(["id", "text"]).withColumn("uid", F.xxhash64("id", "text"))
+    names = store.write(named.select(F.col("id").alias("own"), F.col("uid").alias("id")))
+    rows = named.select(*[F.col("uid").alias("id") if c == "id" else F.col(c) for c in rows.columns])
 
     def give(_number, long, ids, at, _low):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), pa.array(long)], names=["id", "start", "long"]) if len(ids) else None
@@ -456,7 +459,8 @@ def repeat_occurrences(df: DataFrame, text: str = "text", key: str = "doc_id") -
     classes = tails.groupBy("a", "b", "t").agg(F.first("tail").alias("tail"), F.collect_set("left").alias("lefts"), F.count(F.lit(1)).alias("n"))
     repeats = store.write(classes.groupBy("a", "b").applyInArrow(_intervals, "a long, b long, nr long, length long, ts array<long>"))
     store.drop(found, starts)
-    return repeats.select("a", "b", "nr", "length", F.explode("ts").alias("t")).join(tails.select("a", "b", "t", "id", F.col("at").alias("start")), ["a", "b", "t"]).drop("t")
+    places = repeats.select("a", "b", "nr", "length", F.explode("ts").alias("t")).join(tails.select("a", "b", "t", "id", F.col("at").alias("start")), ["a", "b", "t"]).drop("t")
+    return places.join(names, "id").drop("id").withColumnRenamed("own", "id")
 
 
 def maximal_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

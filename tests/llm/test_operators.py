@@ -549,6 +549,16 @@ def test_near_texts_against_brute_force(spark, rows, docs, empty):
     assert near_texts(empty).count() == 0
 
 
+def test_an_id_with_several_texts_is_linked_through_each_on_any_partitions(spark):
+    r = random.Random(41)
+    a, b, c = ([f"{x}{r.randrange(10_000)}" for _ in range(120)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, near(c)), (5, " ".join(c)), (6, " ".join(b)), (7, "other words here and there")]
+    for n in (1, 3, 7):
+        got = near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 1), (7, 7)]
+
+
 def test_links_that_no_centre_holds_are_found(spark):
     # The smallest id is like everything a little and like nothing enough; the others form chains beside it.
     r = random.Random(31)
