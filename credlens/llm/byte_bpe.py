@@ -14,11 +14,14 @@ import re
 
 import numpy as np
 
+from .rolling import RangeHash
+
 #: Chunks that a worker process keeps, and bytes of the longest one that is kept.
 KEPT, LONGEST = 800_000, 128
+#: Bytes from which on a text is encoded by itself.
+LONG_TEXT = 1 << 23
 #: Unseen chunks in one text for the library.
 JOINED = 50
-_CHUNKS = re.compile(rb"[ \t-\r]*+[A-Za-z]++(?=[.,])|[ \t-\r]*+[^ \t-\r]++|[ \t-\r]++")
 #: White space outside ASCII, and what some libraries count as such, before ASCII white space.
 OTHER_SPACE = rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf)"
 _ODD = re.compile(OTHER_SPACE + rb"[ \t-\r]")
@@ -26,6 +29,7 @@ _ENDS = re.compile(OTHER_SPACE + rb"\Z")
 #: First bytes of these; most texts have none of them.
 _RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
+_BLANK, _LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,"))
 _loaded: dict[tuple[str, bool], ByteBPE] = {}
 
 
@@ -34,6 +38,43 @@ def joinable(chunk: bytes) -> bool:
     return chunk[0] in _SPACE and chunk[-1] > 32 and len(chunk) <= LONGEST and (chunk[-1] < 127 or not _ENDS.search(chunk))
 
 
+def distinct_chunks(raw: np.ndarray, off: np.ndarray, blank: np.ndarray, letter: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of texts end to end: starts and ends of the different ones, and of each chunk, in order, which it is and its text. A chunk begins where white space does and where a text does; with letter and stop, also at a stop behind letters that begin a chunk."""
+    white = blank[raw]
+    begin = white.copy()
+    begin[1:] &= ~white[:-1]
+    begin[off[:-1][off[:-1] < len(raw)]] = True
+    if letter is not None:
+        at = np.flatnonzero(letter[raw[:-1]] & stop[raw[1:]]) + 1
+        other = np.maximum.accumulate(np.where(letter[raw], -1, np.arange(len(raw))))[at - 1]
+        begin[at[(other < off[np.searchsorted(off, at, side="right") - 1]) | white[other]]] = True
+    start = np.flatnonzero(begin)
+    end = np.r_[start[1:], len(raw)] if len(start) else start
+    doc = np.searchsorted(off, start, side="right") - 1
+    a, b = RangeHash(raw, 0).ranges(start, end), RangeHash(raw, 1).ranges(start, end)
+    _, first, which = np.unique(a, return_index=True, return_inverse=True)
+    if (b[first][which] != b).any():  # two chunks share their first hash
+        _, first, which = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
+    return start[first], end[first], which, doc
+
+
+def alone_in(data: bytes, off: np.ndarray, rare: tuple[bytes, ...], odd: re.Pattern, strings: list[bytes]) -> np.ndarray:
+    """Which texts are encoded by themselves and whole: those with an odd place or one of the strings, and very long ones, so that the hashes' tables stay small."""
+    out = np.diff(off) > LONG_TEXT
+    if any(x in data for x in (*rare, *strings)):
+        for i in np.flatnonzero(~out).tolist():
+            t = data[off[i] : off[i + 1]]
+            out[i] = bool(odd.search(t)) or any(x in t for x in strings)
+    return out
+
+
+def runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of rows with the flag, one by one, and of longest runs without it."""
+    n = len(flags)
+    cuts = np.flatnonzero(np.r_[True, flags[1:] | flags[:-1], True]) if n else np.zeros(0, int)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def load_library(path: str, specials: bool):
     """The library's tokenizer; specials: whether strings of special tokens in a text become these tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,23 +134,41 @@ class ByteBPE:
             else:  # broken UTF-8 has other lengths
                 self.chunks.update((c, self.whole(c)) for c in part)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of self.dtype."""
-        rare = any(x in data for data in texts for x in _RARE) or any(a in t for t in texts for a in self.added)
-        odd = [rare and bool(_ODD.search(t) or any(a in t for a in self.added)) for t in texts]
-        split = [() if o else _CHUNKS.findall(t) for t, o in zip(texts, odd, strict=True)]
-        need = set().union(*split)
-        missing = need.difference(self.chunks)
+    def _together(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and how many each has; none of them odd."""
+        first, last, which, doc = distinct_chunks(raw, off, _BLANK, _LETTER, _STOP)
+        data = raw.tobytes()
+        need = [data[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+        found = list(map(self.chunks.get, need))
+        missing = [c for c, ids in zip(need, found, strict=True) if ids is None]
         if missing and len(self.chunks) + len(missing) > KEPT:
-            self.chunks = {c: self.chunks[c] for c in need.difference(missing)}
-        self._learn(list(missing))
-        # Few distinct chunks at hand are looked up faster than many.
-        get = {c: self.chunks[c] for c in need}.__getitem__
-        out = [self.whole(t) if o else b"".join(map(get, s)) for t, o, s in zip(texts, odd, split, strict=True)]
-        for c in missing:
-            if len(c) > LONGEST:
-                del self.chunks[c]
-        return out
+            self.chunks = {c: ids for c, ids in zip(need, found, strict=True) if ids is not None}
+        if missing:
+            self._learn(missing)
+            found = [self.chunks[c] if ids is None else ids for c, ids in zip(need, found, strict=True)]
+            for c in missing:
+                if len(c) > LONGEST:
+                    del self.chunks[c]
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        size = np.array(list(map(len, found)), np.int64) // self.dtype.itemsize
+        n = size[which]
+        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return ids[at], np.bincount(doc, weights=n, minlength=len(off) - 1).astype(np.int64)
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (UTF-8 end to end, with n + 1 offsets) end to end, and how many each has."""
+        data = raw.tobytes()
+        alone = alone_in(data, off, _RARE, _ODD, self.added)
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for s, e in runs(alone):
+            if alone[s]:
+                ids.append(np.frombuffer(self.whole(data[off[s] : off[e]]), self.dtype))
+                counts.append(np.array([len(ids[-1])]))
+            else:
+                some, n = self._together(raw[off[s] : off[e]], off[s : e + 1] - off[s])
+                ids.append(some)
+                counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def byte_bpe(path: str, specials: bool = True) -> ByteBPE:

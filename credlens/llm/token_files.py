@@ -38,10 +38,8 @@ MANIFEST = "pid int, seq int, file string, n_docs long, n_tokens long, n_bytes l
 
 def widths(ids: np.ndarray) -> list[int]:
     """Chunk widths with the least total of chunk bits, continuation bits and their directory."""
-    lengths = np.maximum(1, np.frexp(ids.astype(np.float64))[1])
-    most = int(lengths.max(initial=1))
-    above = [int((lengths > c).sum()) for c in range(most)]
-    above[0] = len(ids)
+    most = max(1, int(ids.max(initial=1)).bit_length())
+    above = [len(ids), *[int(np.count_nonzero(ids >= 1 << c)) for c in range(1, most)]]
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (most + 1)
     for c in range(most - 1, -1, -1):
         best[c] = min((above[c] * (end - c + (1 + WORD / BLOCK if end < most else 0)) + best[end][0], [end - c, *best[end][1]]) for end in range(c + 1, most + 1))
@@ -49,14 +47,31 @@ def widths(ids: np.ndarray) -> list[int]:
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    bits = ((values[:, None] >> np.arange(width, dtype=values.dtype)) & 1).astype(np.uint8)
-    data = np.packbits(bits.ravel(), bitorder="little").tobytes()
+    """Numbers of `width` bits end to end, eight of them in `width` bytes, and at least eight bytes more."""
+    if width % 8:
+        v = np.zeros(-(-len(values) // 8) * 8, np.uint64)
+        v[: len(values)] = values
+        v, out = v.reshape(-1, 8), np.zeros((len(v) // 8, width), np.uint8)
+        for byte in range(width):
+            for i in range(8 * byte // width, min(7, (8 * byte + 7) // width) + 1):
+                shift = i * width - 8 * byte
+                out[:, byte] |= ((v[:, i] << np.uint64(shift)) if shift >= 0 else (v[:, i] >> np.uint64(-shift))).astype(np.uint8)
+        data = out.tobytes()
+    else:
+        data = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : width // 8]).tobytes()
     return data + bytes(-len(data) % 8 + 8)
 
 
 def unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    rows = -(-n // 8)
+    data = data[: rows * width] if len(data) >= rows * width else np.pad(data, (0, rows * width - len(data)))
+    data, out = data.reshape(rows, width), np.zeros((rows, 8), np.uint32)
+    for i in range(8):
+        for byte in range(i * width // 8, (i * width + width - 1) // 8 + 1):
+            shift = 8 * byte - i * width
+            x = data[:, byte].astype(np.uint32)
+            out[:, i] |= (x << np.uint32(shift)) if shift >= 0 else (x >> np.uint32(-shift))
+    return out.ravel()[:n] & np.uint32((1 << width) - 1)
 
 
 def encode_file(keys: np.ndarray, n_null: int, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -174,7 +189,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, (system, folder) = byte_bpe(tokenizer_path), _place(path)
         kind = bpe.dtype if end_id < 1 << 8 * bpe.dtype.itemsize else np.dtype("<u4")
-        end, seq, pid, held, n = np.array([end_id], kind), 0, 0, [], 0
+        seq, pid, held, n = 0, 0, [], 0
 
         def write() -> pa.RecordBatch:
             nonlocal seq, held, n
@@ -189,11 +204,10 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["pid", "seq", "file", "n_docs", "n_tokens", "n_bytes"])
 
         for part, raw, off in utf8_slices(batches):
-            data = raw.tobytes()
-            found = [np.frombuffer(x, bpe.dtype).astype(kind, copy=False) for x in bpe.encode([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])]
-            counts = np.array([len(x) + 1 for x in found], np.int64)
-            pid = part.column(2)[0].as_py()
-            held.append((part.column(0), counts, np.concatenate([y for x in found for y in (x, end)])))
+            found, counts = bpe.encode(raw, off)
+            ids = np.insert(found.astype(kind, copy=False), np.cumsum(counts), end_id)
+            counts, pid = counts + 1, part.column(2)[0].as_py()
+            held.append((part.column(0), counts, ids))
             n += int(counts.sum())
             if n >= FILE_TOKENS:
                 yield write()
