@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import LONGEST, OTHER_SPACE, joinable, load_library, token_lengths
+from .byte_bpe import LONGEST, OTHER_SPACE, alone_in, distinct_chunks, joinable, load_library, runs, token_lengths
 from .common import Stored, map_arrow, parts_for, utf8_slices, without
 from .line_dedup import PerfectHash
 
@@ -41,14 +41,15 @@ SHARD_BITS = 7
 #: Vectors or key sets that a node of the tree puts together.
 FAN = 64
 #: Chunks and links that a worker keeps; links of a group that are spread out as they are.
-KEPT, KEPT_LINKS, WIDE = 400_000, 4_000_000, 10_000
+KEPT, KEPT_LINKS, WIDE = 600_000, 6_000_000, 10_000
 #: Pairs that a task holds before it puts them out.
 HELD = 2_000_000
-JOINED = 50
-_CHUNKS = re.compile(rb"[ \t\n\x0b\x0c]*+[^ \t\n\x0b\x0c]++|[ \t\n\x0b\x0c]++")
+JOINED = 100
 _ODD = re.compile(rb"(?:\r|" + OTHER_SPACE + rb")[ \t\n\x0b\x0c]|\xe2\x96\x81")
 _RARE = (b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe2\x96\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+_OVER = re.compile("[^ \t\n\x0b\x0c][ \t\n\x0b\x0c]")
 _BREAKS = " \t\n\x0b\x0c"
+_BLANK = np.isin(np.arange(256), list(_BREAKS.encode()))
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
@@ -73,9 +74,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_lengths = np.array(list(map(len, self.b_bytes)), np.int64)
-        #: Whether no piece goes on over a break, so that chunks can be encoded one by one.
-        self.parts = not any(c in p.replace("▁", " ").lstrip(" ") for p in pieces for c in _BREAKS) and not any(c in p for p in pieces for c in _BREAKS)
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        #: Whether no piece goes on from other characters to white space, so that chunks can be encoded one by one.
+        self.parts = not any(_OVER.search(p.replace("▁", " ")) for p in pieces)
+        #: Decimal ids of A with a comma or a bar behind them, then those of B with a comma or a semicolon.
+        names = [f"{i}{sign}".encode() for n, signs in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for sign in signs]
+        self.names, self.name_sizes = np.frombuffer(b"".join(names), np.uint8), np.array(list(map(len, names)), np.int64)
         self._clear()
 
     def _clear(self) -> None:
@@ -88,44 +91,53 @@ class Aligner:
         return np.array(self.a.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
 
     def _encode_b(self, text: bytes) -> np.ndarray:
-        """Ids of a text that begins with white space, which takes the place of the dummy space if it is one."""
-        if text[:1] == b" ":
+        """Ids of a text that begins with white space, as they are behind another character; without self.parts, with a space, which is the library's own."""
+        if not self.parts:
             return np.array(self.b.encode(text[1:].decode("utf-8", "replace")), np.int64)
-        ids = np.array(self.b.encode(text.decode("utf-8", "replace")), np.int64)
-        return ids[1:] if len(ids) and self.b_bytes[ids[0]] == b" " else np.zeros(0, np.int64)
-
-    def _dealt(self, chunks: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and B of each chunk. Chunks that may stand behind any other are encoded end to end."""
-        of_a, of_b = [None] * len(chunks), [None] * len(chunks)
-        near = [i for i, c in enumerate(chunks) if self.parts and joinable(c)]
+        ids = np.array(self.b.encode("a" + text.decode("utf-8", "replace")), np.int64)
+        return ids[1:] if self.b_bytes[ids[0]] == b" a" else ids[:0]
+
+    def _dealt(self, chunks: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]:
+        """The chunks in another order, their ids of A end to end and how many each has, and those of B. Chunks that may stand behind any other are encoded end to end."""
+        near, far = [], []
+        for c in chunks:
+            (near if self.parts and joinable(c) else far).append(c)
         bundles = [near[i : i + JOINED] for i in range(0, len(near), JOINED)]
-        texts = ["a" + b"".join([chunks[i] for i in x]).decode("utf-8", "replace") for x in bundles]
+        texts = ["a" + b"".join(x).decode("utf-8", "replace") for x in bundles]
         made_a, made_b = self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode(texts, num_threads=1)
+        order, ids, counts = [], ([], []), ([], [])
         for x, ea, eb in zip(bundles, made_a, made_b, strict=True):
-            upto = np.cumsum([len(chunks[i]) for i in x])
-            for ids, lengths, before, out in ((np.array(ea.ids, np.int64), self.a_lengths, 1, of_a), (np.array(eb, np.int64), self.b_lengths, 2, of_b)):
-                ends = np.cumsum(lengths[ids]) - before
+            upto, cut = np.cumsum(list(map(len, x))), []
+            for found, lengths, before in ((np.array(ea.ids, np.int64), self.a_lengths, 1), (np.array(eb, np.int64), self.b_lengths, 2)):
+                ends = np.cumsum(lengths[found]) - before
                 at = np.searchsorted(ends, upto)
-                if at[-1] < len(ends) and (ends[at] == upto).all() and ends[0] == 0:
-                    for i, s, e in zip(x, [1, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
-                        out[i] = ids[s:e]
-        for i, c in enumerate(chunks):
-            of_a[i] = self._encode_a(c) if of_a[i] is None else of_a[i]
-            of_b[i] = self._encode_b(c) if of_b[i] is None else of_b[i]
-        return of_a, of_b
+                if at[-1] == len(ends) - 1 and ends[0] == 0 and (ends[at] == upto).all():
+                    cut.append((found[1:], np.diff(np.r_[0, at])))
+            if len(cut) < 2:
+                far += x
+                continue
+            order += x
+            for k in (0, 1):
+                ids[k].append(cut[k][0])
+                counts[k].append(cut[k][1])
+        for c in far:
+            for k, found in enumerate((self._encode_a(c), self._encode_b(c))):
+                ids[k].append(found)
+                counts[k].append([len(found)])
+        return order + far, ids[0], np.concatenate(counts[0]), ids[1], np.concatenate(counts[1])
 
     def _learn(self, chunks: list[bytes]) -> None:
-        of_a, of_b = self._dealt(chunks)
-        a, b = np.concatenate(of_a), np.concatenate(of_b)
-        data = b"".join(chunks)
-        sizes = np.array(list(map(len, chunks)))
-        spans = lambda found, lengths: np.diff(np.r_[0, np.cumsum(lengths[np.concatenate(found)])][np.r_[0, np.cumsum(list(map(len, found)))]])
-        right = (spans(of_a, self.a_lengths) == sizes) & (spans(of_b, self.b_lengths) == sizes)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
-            right = np.array([b"".join(map(self.a_bytes.__getitem__, x.tolist())) == c and b"".join(map(self.b_bytes.__getitem__, y.tolist())) == c for c, x, y in zip(chunks, of_a, of_b, strict=True)])
-        of_a, of_b = [x if r else x[:0] for x, r in zip(of_a, right, strict=True)], [y if r else y[:0] for y, r in zip(of_b, right, strict=True)]
+        chunks, of_a, n_a, of_b, n_b = self._dealt(chunks)
         a, b = np.concatenate(of_a), np.concatenate(of_b)
-        n_a, n_b = np.array(list(map(len, of_a))), np.array(list(map(len, of_b)))
+        data, sizes = b"".join(chunks), np.array(list(map(len, chunks)))
+        spans = lambda ids, lengths, n: np.diff(np.r_[0, np.cumsum(lengths[ids])][np.r_[0, np.cumsum(n)]])
+        right = (spans(a, self.a_lengths, n_a) == sizes) & (spans(b, self.b_lengths, n_b) == sizes)
+        if not right.all() or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
+            cut_a, cut_b = np.r_[0, np.cumsum(n_a)].tolist(), np.r_[0, np.cumsum(n_b)].tolist()
+            is_it = lambda c, known, ids: b"".join(map(known.__getitem__, ids.tolist())) == c
+            right = np.array([is_it(c, self.a_bytes, a[cut_a[i] : cut_a[i + 1]]) and is_it(c, self.b_bytes, b[cut_b[i] : cut_b[i + 1]]) for i, c in enumerate(chunks)])
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b = n_a * right, n_b * right
         upto = np.cumsum(np.where(right, sizes, 0))
         ends_a, ends_b = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
         common = np.intersect1d(ends_a, ends_b)
@@ -156,45 +168,62 @@ class Aligner:
         keys, counts, chunk = keys[order], counts[order], chunk[order]
         new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (chunk[1:] != chunk[:-1])]) if len(keys) else np.zeros(0, np.int64)
         keys, chunk, counts = keys[new], chunk[new], np.add.reduceat(counts, new) if len(new) else counts
-        names_a, names_b = [self.names[i] for i in a.tolist()], [self.names[i] for i in b.tolist()]
-        shown = [",".join(names_a[p : p + n]) + "|" + ",".join(names_b[q : q + m]) for p, n, q, m in zip(first_a.tolist(), per_a.tolist(), first_b.tolist(), per_b.tolist(), strict=True)]
-        cut = np.r_[0, upto_group].tolist()
+        # Each group's ids of A, then those of B, each with the sign behind it.
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + first_b[group_a]] = 2 * a + (np.r_[group_a[1:], -1] != group_a)
+        code[np.arange(len(b)) + (first_a + per_a)[group_b]] = 2 * (len(self.a_bytes) + b) + (np.r_[group_b[1:], -1] != group_b)
+        size = self.name_sizes[code]
+        at = np.repeat((np.cumsum(self.name_sizes) - self.name_sizes)[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        shown = self.names[at].tobytes()
+        cut = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
         start = len(self.facts)
         self.index.update(zip(chunks, range(start, start + len(chunks)), strict=True))
         self.facts = np.concatenate([self.facts, np.stack([right, n_a, n_b, n_groups, n_links], axis=1).astype(np.int64)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(chunk, minlength=len(chunks)))])
         self.pairs, self.times = np.concatenate([self.pairs, keys]), np.concatenate([self.times, counts])
-        self.texts += [";".join(shown[s:e]) for s, e in zip(cut, cut[1:], strict=False)]
-
-    def align(self, texts: list[bytes]) -> Aligned:
-        spaced = [b" " + t if t else b"" for t in texts]
-        rare = not self.parts or any(x in t for t in texts for x in _RARE)
-        split = [([t] if t else []) if rare and (not self.parts or _ODD.search(t)) else _CHUNKS.findall(t) for t in spaced]
-        need = set().union(*split)
-        missing = need.difference(self.index)
+        self.texts += [shown[s : e - 1] for s, e in zip(cut, cut[1:], strict=False)]
+
+    def align(self, raw: np.ndarray, off: np.ndarray) -> Aligned:
+        """Texts, UTF-8 end to end with n + 1 offsets."""
+        # A space before each text that isn't empty.
+        solid = np.flatnonzero(np.diff(off) > 0)
+        data = np.insert(raw, off[solid], 32)
+        off = off + np.searchsorted(solid, np.arange(len(off)))
+        text = data.tobytes()
+        alone = alone_in(text, off, _RARE, _ODD, []) if self.parts else np.diff(off) > 0
+        need, pieces, docs = [], [], []
+        for s, e in runs(alone):
+            if alone[s]:
+                need.append(text[off[s] : off[e]])
+                pieces.append(np.array([len(need) - 1]))
+                docs.append(np.array([s]))
+            else:
+                first, last, which, doc = distinct_chunks(data[off[s] : off[e]], off[s : e + 1] - off[s], _BLANK)
+                pieces.append(len(need) + which)
+                docs.append(s + doc)
+                need += [text[x:y] for x, y in zip((first + off[s]).tolist(), (last + off[s]).tolist(), strict=True)]
+        missing = list(set(need).difference(self.index))
         if missing and (len(self.index) + len(missing) > KEPT or len(self.pairs) > KEPT_LINKS):
             self._clear()
-            missing = need
-        if missing:
-            self._learn(list(missing))
-        get = {c: self.index[c] for c in need}.__getitem__
-        chunks = np.array([i for s in split for i in map(get, s)], np.int64)
+            missing = list(set(need))
+        for i in range(0, len(missing), 20_000):
+            self._learn(missing[i : i + 20_000])
+        at = np.array([self.index[c] for c in need], np.int64)
         for c in missing:
             if len(c) > LONGEST:
                 del self.index[c]
-        return Aligned(self, chunks, np.array(list(map(len, split)), np.int64))
+        none = [np.zeros(0, np.int64)]
+        return Aligned(self, at[np.concatenate(pieces + none)], np.concatenate(docs + none), len(off) - 1)
 
 
 class Aligned:
     """Texts as runs of chunks."""
 
-    def __init__(self, of: Aligner, chunks: np.ndarray, sizes: np.ndarray) -> None:
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        wrong = np.unique(doc[of.facts[chunks, 0] == 0])
-        self.ok = np.ones(len(sizes), bool)
-        self.ok[wrong] = False
-        keep = self.ok[doc]
-        self.of, self.chunks, self.doc, self.n = of, chunks[keep], doc[keep], len(sizes)
+    def __init__(self, of: Aligner, chunks: np.ndarray, doc: np.ndarray, n: int) -> None:
+        ok = np.ones(n, bool)
+        ok[doc[of.facts[chunks, 0] == 0]] = False
+        keep = ok[doc]
+        self.of, self.chunks, self.doc, self.n = of, chunks[keep], doc[keep], n
         self.cut = np.searchsorted(self.doc, np.arange(self.n + 1))
 
     def totals(self) -> np.ndarray:
@@ -203,9 +232,9 @@ class Aligned:
         np.cumsum(self.of.facts[self.chunks, 1:], axis=0, out=upto[1:])
         return upto[self.cut[1:]] - upto[self.cut[:-1]]
 
-    def groups(self) -> list[str]:
+    def groups(self) -> list[bytes]:
         shown, chunks = self.of.texts, self.chunks.tolist()
-        return [";".join(map(shown.__getitem__, chunks[s:e])) for s, e in zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True)]
+        return [b";".join(map(shown.__getitem__, chunks[s:e])) for s, e in zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True)]
 
     def linked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs, and for each text and pair that it links: text, index of the pair, times."""
@@ -239,6 +268,12 @@ def _longs(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.int64)
 
 
+def _picked(data: bytes, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the texts end to end, and their offsets."""
+    texts = [data[off[i] : off[i + 1]] for i in rows.tolist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _pairs(path_a: str, path_b: str):
     """Packed distinct pairs of each slice by shard, with the number of documents that hold each."""
 
@@ -258,7 +293,7 @@ def _pairs(path_a: str, path_b: str):
             data, where = raw.tobytes(), part.column(0).to_numpy()
             for piece in np.unique(where).tolist():
                 mine = np.flatnonzero(where == piece)
-                keys, _, pair, _ = both.align([data[off[i] : off[i + 1]] for i in mine]).linked()
+                keys, _, pair, _ = both.align(*_picked(data, off, mine)).linked()
                 held.setdefault(piece, []).append((keys, np.bincount(pair, minlength=len(keys))))
                 n += len(keys)
             if n > HELD:
@@ -346,7 +381,7 @@ def _gather(path_a: str, path_b: str, best: np.ndarray, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, piece, known, counts = aligner(path_a, path_b), None, [], []
         for part, raw, off in utf8_slices(batches):
-            data, where = raw.tobytes(), part.column(part.schema.get_field_index("slice")).to_numpy()
+            where = part.column(part.schema.get_field_index("slice")).to_numpy()
             is_doc = part.column(part.schema.get_field_index("kind")).to_numpy() == 1
             cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(where)]
             for s, e in zip(cuts, cuts[1:], strict=False):
@@ -359,7 +394,7 @@ def _gather(path_a: str, path_b: str, best: np.ndarray, schema: T.StructType):
                 if len(known) > 1:
                     order = np.argsort(k := np.concatenate(known))
                     known, counts = [k[order]], [np.concatenate(counts)[order]]
-                made = both.align([data[off[i] : off[i + 1]] for i in range(s, e)])
+                made = both.align(raw[off[s] : off[e]], off[s : e + 1] - off[s])
                 keys, doc, pair, times = made.linked()
                 n = counts[0][np.searchsorted(known[0], keys)] if len(keys) else np.zeros(0, np.int64)
                 top = n == best[keys >> 32]
@@ -368,7 +403,7 @@ def _gather(path_a: str, path_b: str, best: np.ndarray, schema: T.StructType):
                     upto = np.r_[0, np.cumsum(x)]
                     at = np.searchsorted(doc, np.arange(made.n + 1))
                     sums.append(upto[at[1:]] - upto[at[:-1]])
-                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in made.groups()]
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in made.groups()]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("r")).slice(s, e - s), *map(pa.array, [*made.totals().T, *sums]), pa.array(digests, pa.string())], names=schema.names)
 
     return run
@@ -384,7 +419,7 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, text: str = "text")
     n_bytes = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_slices = parts_for(spark, n_bytes)
     rows = whole.withColumn("slice", F.pmod(F.xxhash64(F.to_json("r"), "text"), F.lit(n_slices)).cast("long"))
-    packed = store.write(map_arrow(rows.select("slice", "text").repartition(n_slices, "slice"), _pairs(path_a, path_b), PACKED))
+    packed = store.write(map_arrow(rows.select("slice", "text").repartitionById(n_slices, F.col("slice").cast("int")), _pairs(path_a, path_b), PACKED))
     bundles = -(-n_slices // FAN)
     node = F.floor(F.col("slice") / FAN)
     keys = tree(packed.select("shard", F.col("slice").alias("node"), F.col("keys").alias("data")), max(2, n_slices), _union)
@@ -403,5 +438,5 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, text: str = "text")
         found.select("slice", F.lit(0).alias("kind"), none.cast(rows.schema["r"].dataType).alias("r"), none.cast("string").alias("text"), "keys", "counts")
     )
     schema = T.StructType([T.StructField("r", rows.schema["r"].dataType), *[T.StructField(c, T.LongType()) for c in OUT[:-1]], T.StructField(OUT[-1], T.StringType())])
-    done = map_arrow(met.repartition(n_slices, "slice").sortWithinPartitions("slice", "kind"), _gather(path_a, path_b, highest, schema), schema)
+    done = map_arrow(met.repartitionById(n_slices, F.col("slice").cast("int")).sortWithinPartitions("slice", "kind"), _gather(path_a, path_b, highest, schema), schema)
     return done.select(*[F.col(f"r.`{c}`") for c in others], *OUT)

@@ -27,6 +27,11 @@ def _texts(n, seed=1):
     return [*odd, None, "", " ", " ".join(rng.choice(words) for _ in range(400)), "x" * 3000, "日本語" * 700, "same words\nsame words, same"] + ["same words\nsame words, same"] * 2
 
 
+def _joined(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def _library():
     lib = Tokenizer.from_file(A)
     lib.encode_special_tokens = True
@@ -87,7 +92,7 @@ def test_wide_groups_and_a_cache_that_is_full(monkeypatch):
     texts = [t for t in _texts(300, 2) if t]
     for i in range(0, len(texts), 20):
         part = texts[i : i + 20]
-        made = both.align([t.encode() for t in part])
+        made = both.align(*_joined(part))
         keys, doc, pair, times = made.linked()
         want = _plain_alignment(part)
         assert made.totals().tolist() == [list(w[:4]) for w in want]
@@ -102,9 +107,7 @@ def test_byte_level_chunks_are_those_of_the_library(monkeypatch):
         bpe = byte_bpe.ByteBPE(A, specials)
         for _ in range(150):
             texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12))) for _ in range(20)]
-            raw = [t.encode() for t in texts]
-            off = np.cumsum([0, *map(len, raw)])
-            ids, counts = bpe.encode(np.frombuffer(b"".join(raw), np.uint8), off)
+            ids, counts = bpe.encode(*_joined(texts))
             for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 assert got.tolist() == bpe.library.encode(t, add_special_tokens=False).ids, t
     with pytest.raises(ValueError):
