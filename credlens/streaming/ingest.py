@@ -97,6 +97,7 @@ def ingest(spark: SparkSession, path: str, store_path: str, checkpoint: str, mod
     if dataset is not None:
         dataset_id = store.dataset(dataset)
     run, began, done = uuid.uuid4().hex, time.time(), {"lines": 0, "files": 0}
+    reason: list[str] = []
     stamp = lambda t: F.lit(t).cast("double").cast("timestamp")
     begun, finished = _batch_log(checkpoint)
     log.forget_after(begun)
@@ -125,6 +126,9 @@ def ingest(spark: SparkSession, path: str, store_path: str, checkpoint: str, mod
                 done["lines"] += n_valid
             values.unpersist()
             files.unpersist()
+        except Exception as wrong:
+            reason.append(f"{type(wrong).__name__}: {wrong}"[:500])
+            raise
         finally:
             seen.unpersist()
 
@@ -162,7 +166,7 @@ def ingest(spark: SparkSession, path: str, store_path: str, checkpoint: str, mod
             status = message = "interrupted"
             raise
         except Exception as wrong:
-            message = str(wrong)[:500]
+            message = reason[-1] if reason else str(wrong)[:500]
             raise
         finally:
             query.stop()
