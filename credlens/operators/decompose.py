@@ -111,10 +111,10 @@ def score_label(s: Column) -> Column:
 
 
 def lexical_spans(values: DataFrame, lexicon: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
-    """value, before and after: matches of word lists in detector order, those that stand before the others and those behind. Substrings are cut and joined once for all kinds. With frequencies (token, freq), guesses of what is known are the tokens' total over its frequency."""
+    """value, before and after: matches of word lists in detector order, those that stand before the others and those behind. Substrings are cut and joined once for all kinds. With frequencies (token, freq), guesses of dictionary and spanish matches of what is known are the tokens' total over its frequency; leet guesses stay."""
     every = lexical_matches(values.select("value"), lexicon)
     if frequencies is not None:
-        token = F.substring("value", F.col("start") + 1, F.col("end") - F.col("start"))
+        token = F.when(F.col("place") < 2, F.substring("value", F.col("start") + 1, F.col("end") - F.col("start")))
         every = calibrated(every.withColumn("token", token), frequencies)
     span = F.struct(F.col("place").alias("o"), "start", "end", "name", "type", "guesses", "word")
     plain = lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["guesses"].alias("guesses"), x["name"].alias("name"), x["word"].alias("word"))

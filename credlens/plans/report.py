@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as f
 from ..functions.attack import SCENARIOS, attack_times
-from ..operators.breach import lookup
+from ..operators.breach import BreachSession, lookup
 from ..operators.decompose import scored
 
 #: Risk levels with their advice by score, and for values found in breaches.
@@ -37,12 +37,14 @@ def risk(score: Column, found: Column) -> tuple[Column, Column]:
     return F.when(found, RISKS[0][0]).otherwise(at(0)), F.when(found, BREACHED).otherwise(at(1))
 
 
-def evaluate(values: DataFrame, lexicon: DataFrame, breach: DataFrame | None = None) -> DataFrame:
-    """values (value) with length, composition, entropies, guesses, segments, score, attack times, breach status and risk."""
+def evaluate(values: DataFrame, lexicon: DataFrame, breach: DataFrame | BreachSession | None = None) -> DataFrame:
+    """values (value) with length, composition, entropies, guesses, segments, score, attack times, breach status and risk. breach: a table of digests, or a session that fetches their ranges."""
     distinct = values.select("value").distinct()
     base = scored(distinct, lexicon)
     if breach is None:
         base = base.withColumn("breach_count", F.lit(0).cast("long")).withColumn("status", F.lit("skipped"))
+    elif isinstance(breach, BreachSession):
+        base = base.join(breach.lookup(distinct), "value")
     else:
         base = lookup(base, breach).drop("prefix", "suffix")
     v, mask = F.col("value"), f.charset_mask(F.col("value"))
