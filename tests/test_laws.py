@@ -112,7 +112,7 @@ def test_a_replayed_batch_and_a_failed_commit_change_nothing(spark, tmp_path):
 def test_compaction_keeps_sums_and_newest_records(spark, tmp_path, monkeypatch):
     from credlens.sources import store as module
 
-    monkeypatch.setattr(module, "COMPACT", 3)
+    monkeypatch.setattr(module, "FAN", 3)
     store = HistogramStore(spark, str(tmp_path / "store"))
     store.reset(seed=True)
     for i in range(5):
