@@ -1,4 +1,4 @@
-"""Lookups of substrings in ranked word lists, as joins; optional calibration by observed frequencies."""
+"""Lookups of substrings in ranked word lists, by a trie or by joins; optional calibration by observed frequencies."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.features import deleet, is_leet, substitutions
 from ..sources.lexicon import PRIORITY, cultural_terms
+from .automaton import word_places
 
 LEAST = 3
-#: Words up to which a lexicon is broadcast: at 64 characters and less some 100 MB. Larger ones are joined by shuffles.
-BROADCAST_WORDS = 500_000
+#: Words, and characters of the longest, up to which a lexicon is sent to the executors: some 100 MB. Larger ones are joined by shuffles.
+BROADCAST_WORDS, LONGEST = 500_000, 64
 
 
 def ngrams(values: DataFrame, longest: int, value: str = "value", form: Column | None = None) -> DataFrame:
@@ -21,14 +22,15 @@ def ngrams(values: DataFrame, longest: int, value: str = "value", form: Column |
     return starts.withColumn("end", F.explode(F.sequence(F.col("start") + LEAST, F.least(F.col("start") + longest, n)))).withColumn("gram", F.substring(low, F.col("start") + 1, F.col("end") - F.col("start")))
 
 
-def longest_word(lexicon: DataFrame) -> int:
-    return lexicon.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
-
-
-def lookup_side(words: DataFrame, word: str = "word") -> tuple[DataFrame, int]:
-    """words marked for broadcasting if their checked number and length allow it, and the longest one's length."""
-    longest, n = words.agg(F.coalesce(F.max(F.length(word)), F.lit(0)), F.count(F.lit(1))).first()
-    return (F.broadcast(words) if n <= BROADCAST_WORDS and longest <= 64 else words), longest
+def found(values: DataFrame, words: DataFrame, form: Column | None = None) -> DataFrame:
+    """values with start, end and gram of each substring of at least LEAST characters that is among words (gram, ...), joined with them. Words whose checked number and length allow it are looked up by a trie sent to the executors; more are met by a shuffle of all substrings no longer than the longest."""
+    listed = words.select("gram").distinct()
+    longest, n = listed.agg(F.coalesce(F.max(F.length("gram")), F.lit(0)), F.count(F.lit(1))).first()
+    if n > BROADCAST_WORDS or longest > LONGEST:
+        return ngrams(values, longest, form=form).join(words, "gram")
+    made = values.withColumn("__form", F.lower("value") if form is None else form)
+    places = word_places(made, [r.gram for r in listed.collect()], {"form": "__form"}, LEAST)
+    return places.drop("form").join(F.broadcast(words), "gram")
 
 
 def _token() -> Column:
@@ -37,8 +39,7 @@ def _token() -> Column:
 
 def dictionary_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     """values x (start, end, token, dict_name, rank, guesses): one row for each word list that holds a substring. The lexicon is broadcast if its checked size allows it."""
-    words, longest = lookup_side(lexicon.select(F.col("word").alias("gram"), "dict_name", "rank"), "gram")
-    hits = ngrams(values, longest).join(words, "gram")
+    hits = found(values, lexicon.select(F.col("word").alias("gram"), "dict_name", "rank"))
     return hits.withColumn("token", _token()).withColumn("guesses", F.greatest("rank", F.lit(1)).cast("long")).drop("gram")
 
 
@@ -46,16 +47,16 @@ def spanish_matches(values: DataFrame, lexicon: DataFrame, only_es: bool = True)
     """values x (start, end, token, source, rank, guesses) of regional terms and of word lists, by default those whose name ends with _es."""
     lists = lexicon.where(F.col("dict_name").endswith("_es")) if only_es else lexicon
     terms = cultural_terms(values.sparkSession).select(F.lit("cultural").alias("source"), "word", "rank").unionByName(lists.select(F.col("dict_name").alias("source"), "word", "rank"))
-    hits = ngrams(values, longest_word(terms)).join(terms.select(F.col("word").alias("gram"), "source", "rank"), "gram")
+    hits = found(values, terms.select(F.col("word").alias("gram"), "source", "rank"))
     return hits.withColumn("token", _token()).withColumn("guesses", F.greatest("rank", F.lit(1)).cast("long")).drop("gram")
 
 
 def leet_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     """values x (start, end, token, deleeted, dict_name, rank, substitutions, guesses): substrings with a substitution character whose plain form is a word, each with the first word list by priority."""
-    grams = ngrams(values, longest_word(lexicon), form=deleet(F.col("value"))).withColumn("token", _token())
-    grams = grams.where(is_leet(F.col("token"))).withColumn("substitutions", substitutions(F.col("token")))
     first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("place"), "dict_name", "rank")).alias("hit"))
-    hits = grams.join(first, "gram").select(*[c for c in grams.columns if c != "gram"], F.col("gram").alias("deleeted"), "hit.dict_name", "hit.rank")
+    met = found(values, first, deleet(F.col("value"))).withColumn("token", _token())
+    met = met.where(is_leet(F.col("token"))).withColumn("substitutions", substitutions(F.col("token")))
+    hits = met.select(*values.columns, "start", "end", "token", "substitutions", F.col("gram").alias("deleeted"), "hit.dict_name", "hit.rank")
     return hits.withColumn("guesses", (F.col("rank") * F.pow(F.lit(2.0), F.col("substitutions"))).cast("long"))
 
 
@@ -73,19 +74,31 @@ def lexical_matches(values: DataFrame, lexicon: DataFrame) -> DataFrame:
     first = lexicon.groupBy(F.col("word").alias("gram")).agg(F.min(F.struct(_place().alias("at"), "dict_name", "rank")).alias("hit")).select("gram", "hit.dict_name", "hit.rank")
     plain = first.select(F.lit(1).alias("form"), "gram", entry(2, "leet", F.col("dict_name")).alias("x"))
     known = lists.unionByName(regional).unionByName(plain).groupBy("form", "gram").agg(F.collect_list("x").alias("xs"))
-    known, longest = lookup_side(known, "gram")
-    low = F.lower("value")
-    n = F.length("value")
-    placed = values.where(n >= LEAST).select("value", low.alias("low"), deleet(F.col("value")).alias("plain"), F.explode(F.sequence(F.lit(0), n - LEAST)).alias("start"))
-    ended = placed.withColumn("end", F.explode(F.sequence(F.col("start") + LEAST, F.least(F.col("start") + longest, F.length("value")))))
-    part = lambda c: F.substring(c, F.col("start") + 1, F.col("end") - F.col("start"))
-    grams = ended.select("value", "start", "end", part("low").alias("low"), part("plain").alias("plain"))
-    both = F.when(F.col("low") == F.col("plain"), F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")))).otherwise(F.array(F.struct(F.lit(0).alias("form"), F.col("low").alias("gram")), F.struct(F.lit(1).alias("form"), F.col("plain").alias("gram"))))
-    hits = grams.select("value", "start", "end", F.col("low").alias("as_is"), F.inline(both)).join(known, ["form", "gram"]).select("value", "start", "end", "as_is", "gram", F.inline("xs"))
+    grams, cut = _both_forms(values.select("value"), known)
+    hits = grams.join(known if cut else F.broadcast(known), ["form", "gram"]).select("value", "start", "end", "as_is", "gram", F.inline("xs"))
     guesses = F.when(F.col("place") == 2, (F.col("rank") * F.pow(F.lit(2.0), substitutions(F.col("as_is")))).cast("long")).otherwise(F.greatest("rank", F.lit(1)).cast("long"))
     return hits.select("value", "place", "type", "start", "end", "name", F.when(F.col("place") == 2, F.col("gram")).alias("word"), guesses.alias("guesses"))
 
 
+def _both_forms(values: DataFrame, known: DataFrame) -> tuple[DataFrame, bool]:
+    """value, start, end, as_is (lower-cased), form and gram of substrings that may be among known (form, gram), and whether they were all cut: as they are (form 0), and by their plain form (1) where it differs."""
+    listed = known.select("gram").distinct()
+    longest, n = listed.agg(F.coalesce(F.max(F.length("gram")), F.lit(0)), F.count(F.lit(1))).first()
+    part = lambda c: F.substring(c, F.col("start") + 1, F.col("end") - F.col("start"))
+    made = values.withColumn("low", F.lower("value")).withColumn("plain", deleet(F.col("value")))
+    if n <= BROADCAST_WORDS and longest <= LONGEST:
+        places = word_places(made.withColumn("a", F.col("low")).withColumn("b", F.col("plain")), [r.gram for r in listed.collect()], {"0": "a", "1": "b"}, LEAST)
+        kept = places.withColumn("form", F.col("form").cast("int")).withColumn("as_is", part("low")).where("form = 0 or gram <> as_is")
+        return kept.select("value", "start", "end", "as_is", "form", "gram"), False
+    size = F.length("value")
+    placed = made.where(size >= LEAST).withColumn("start", F.explode(F.sequence(F.lit(0), size - LEAST)))
+    ended = placed.withColumn("end", F.explode(F.sequence(F.col("start") + LEAST, F.least(F.col("start") + longest, F.length("value")))))
+    cut = ended.select("value", "start", "end", part("low").alias("as_is"), part("plain").alias("p"))
+    one = lambda form, c: F.struct(F.lit(form).alias("form"), F.col(c).alias("gram"))
+    both = F.when(F.col("as_is") == F.col("p"), F.array(one(0, "as_is"))).otherwise(F.array(one(0, "as_is"), one(1, "p")))
+    return cut.select("value", "start", "end", "as_is", F.inline(both)), True
+
+
 def calibrated(matches: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Matches whose guesses are the tokens' total over the frequency of their token, if it has one: (token, freq)."""
     total = frequencies.agg(F.coalesce(F.sum("freq"), F.lit(1)).alias("total_freq"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as f
 from ..operators.decompose import scored
 from ..operators.detectors import detect_all, pattern_repr
-from ..operators.lexical import deleetified, lookup_side, ngrams
+from ..operators.lexical import deleetified, found
 from ..sources.lexicon import cultural_terms
 from ..sources.store import REPR_LEN, TOKEN_LEN
 
@@ -51,13 +51,9 @@ def lexical_hits(weighted: DataFrame, lexicon: DataFrame) -> DataFrame:
     lists = lexicon.select(F.col("word").alias("gram"), F.lit("dictionary").alias("pattern_type"), F.concat(F.lit("dict="), "dict_name", F.lit(";rank="), rank).alias("pattern_repr"))
     again = lexicon.where(F.col("dict_name").endswith("_es")).select(F.col("word").alias("gram"), F.lit("spanish").alias("pattern_type"), F.concat(F.lit("src="), "dict_name", F.lit(";rank="), rank).alias("pattern_repr"))
     every = terms.unionByName(lists).unionByName(again)
-    words, longest = lookup_side(every, "gram")
-    # Only substrings that are words are summed, unless the words are too many to be sent everywhere.
-    grams = ngrams(weighted, longest).select("weight", "gram")
-    summed = lambda df: df.groupBy("gram").agg(F.sum("weight").alias("weight"))
-    if words is every:
-        return summed(grams).join(every, "gram")
-    return summed(grams.join(F.broadcast(every.select("gram").distinct()), "gram", "left_semi")).join(words, "gram")
+    # The weights of a word's places are summed before it meets its lists.
+    listed = every.select("gram").distinct()
+    return found(weighted, listed).groupBy("gram").agg(F.sum("weight").alias("weight")).join(every, "gram")
 
 
 def lexical_patterns(weighted: DataFrame, lexicon: DataFrame) -> DataFrame:
