@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,10 +91,20 @@ def estimate(value: str, alphabet: int, matches: list[tuple[str, int, int, int]]
     return total, [("bruteforce" if i < 0 else matches[i][0], s, e, g) for i, s, e, g in parts]
 
 
+@lru_cache(maxsize=4096)
+def _unmatched(n: int, alphabet: int) -> tuple:
+    """The cover of a string without matches: one brute-forced piece."""
+    total, parts = cover(n, alphabet, [])
+    return str(total), bits_of(total), [i for i, *_ in parts], [s for _, s, _, _ in parts], [e for _, _, e, _ in parts], [str(g) for *_, g in parts]
+
+
 @F.pandas_udf(COVER)
 def _estimate(length: pd.Series, alphabet: pd.Series, start: pd.Series, end: pd.Series, guesses: pd.Series) -> pd.DataFrame:
     rows = []
     for n, size, *spans in zip(length, alphabet, start, end, guesses, strict=True):
+        if not len(spans[0]):
+            rows.append(_unmatched(int(n), int(size)))
+            continue
         total, parts = cover(int(n), int(size), list(zip(*[x.tolist() for x in spans], strict=True)))
         rows.append((str(total), bits_of(total), [i for i, *_ in parts], [s for _, s, _, _ in parts], [e for _, _, e, _ in parts], [str(g) for *_, g in parts]))
     return pd.DataFrame(rows, columns=["guesses", "guess_bits", "which", "starts", "ends", "costs"])

@@ -253,7 +253,21 @@ def lexical_pattern_stats(spark: SparkSession, sf: str) -> DataFrame:
     return profile.lexical_patterns(b.strings(spark, sf), b.lexicon(spark, sf))
 
 
-@query()
+def _within(sql: str) -> str:
+    """A query's SQL inside one that has the strings and word lists already."""
+    for known in (_SYN, _LEX, _CULT):
+        sql = sql.replace(f"{known}, ", "").replace(f"WITH {known} ", "")
+    return f"({sql})"
+
+
+_OWN = {name: _within(ORACLE_SQL[name]) for name in ("date_iso", "date_years", "date_matches_8", "date_matches_6", "keyboard_runs", "repetition_single", "repetition_period", "sequence_runs")}
+_PATTERNS = f"""SELECT 'date' AS pattern_type, 'format=YYYY-MM-DD' AS pattern_repr FROM {_OWN["date_iso"]}
+UNION ALL SELECT 'date', 'format=YYYY' FROM {_OWN["date_years"]} UNION ALL SELECT 'date', 'format=' || format FROM {_OWN["date_matches_8"]} UNION ALL SELECT 'date', 'format=DDMMYY' FROM {_OWN["date_matches_6"]}
+UNION ALL SELECT 'keyboard', 'len=' || length(token) || ';dir=' || direction FROM {_OWN["keyboard_runs"]} UNION ALL SELECT 'sequence', 'len=' || length(token) || ';dir=' || direction || ';kind=' || kind FROM {_OWN["sequence_runs"]}
+UNION ALL SELECT 'repetition', 'kind=single;count=' || length(token) FROM {_OWN["repetition_single"]} UNION ALL SELECT 'repetition', 'kind=period;count=' || (length(token) // period) FROM {_OWN["repetition_period"]}"""
+
+
+@query(f"WITH {_SYN}, {_LEX}, {_CULT}, {_HITS}, own AS ({_PATTERNS}) SELECT pattern_type, left(pattern_repr, 255) AS pattern_repr, count(*) AS count FROM (SELECT pattern_type, pattern_repr FROM hits UNION ALL SELECT * FROM own) GROUP BY ALL")
 def pattern_stats(spark: SparkSession, sf: str) -> DataFrame:
     return profile.pattern_stats(b.strings(spark, sf), b.lexicon(spark, sf))
 
@@ -315,13 +329,44 @@ def global_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # Scores, attack times, breaches, reports.
 
+# The model in SQL: matches in the order of the detectors, then a least-cost cover from the left on logarithms, of which nine digits decide.
+# A brute-forced character comes before equal matches; brute-forced neighbours are one part.
+_DICT = f'(WITH {_grams("syn")} SELECT value, s AS start, e AS "end", greatest(rank, 1) AS guesses FROM gr JOIN lex ON word = gram)'
+_YEARS = """(SELECT value, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 4 * (k - 1) AS BIGINT) AS start FROM (SELECT value, p, unnest(range(1, len(p))) AS k FROM (SELECT value, string_split_regex(value, '(?:19|20)[0-9][0-9]') AS p FROM syn) WHERE len(p) > 1))"""
+_IN_ORDER = " UNION ALL ".join(
+    f'SELECT value, {i} AS o, {second} AS o2, start, "end", guesses FROM {sql}'
+    for i, (second, sql) in enumerate([
+        ("start", _DICT), ("start", _within(ORACLE_SQL["spanish_matches"])), ("0", _OWN["date_iso"]), ("0", f'(SELECT value, start, start + 4 AS "end", 200 AS guesses FROM {_YEARS})'), ("0", _OWN["date_matches_8"]), ("0", _OWN["date_matches_6"]),
+        ("0", _OWN["keyboard_runs"]), ("0", _OWN["repetition_single"]), ("period", _OWN["repetition_period"]), ("0", _OWN["sequence_runs"]), ("start", _within(ORACLE_SQL["leet_matches"])),
+    ])
+)
+_MODEL = f"""WITH RECURSIVE {_SYN}, {_LEX}, {_CULT}, every AS ({_IN_ORDER}),
+ms AS (SELECT value, list({{'s': CAST(start AS INT), 'e': CAST("end" AS INT), 'g': log2(CAST(greatest(guesses, 1) AS DOUBLE))}} ORDER BY o, o2, start) AS ms FROM every GROUP BY value),
+base AS (SELECT value, length(value) AS n, log2(CAST(greatest({_SIZE}, 1) AS DOUBLE)) AS z, coalesce(ms, []) AS ms FROM (SELECT value, {_MASK} AS m FROM syn) LEFT JOIN ms USING (value)),
+dp(value, k, n, z, ms, cost, parts, brute) USING KEY (value) AS (
+  SELECT value, CAST(0 AS BIGINT), n, z, ms, [CAST(0 AS DOUBLE)], [CAST(0 AS BIGINT)], [false] FROM base
+  UNION SELECT value, k + 1, n, z, ms, list_append(cost, costs[i]), list_append(parts, CASE WHEN i > 1 THEN parts[c[i - 1].s + 1] + 1 WHEN brute[k + 1] THEN parts[k + 1] ELSE parts[k + 1] + 1 END), list_append(brute, i = 1)
+  FROM (SELECT *, list_position(list_transform(costs, lambda x: round(x, 9)), round(list_min(costs), 9)) AS i
+  FROM (SELECT *, list_prepend(cost[k + 1] + z, list_transform(c, lambda x: cost[x.s + 1] + x.g)) AS costs
+  FROM (SELECT *, list_filter(ms, lambda x: x.e = k + 1) AS c FROM dp WHERE k < n)))),
+bits AS (SELECT value, parts[n + 1] AS n_segments, least(cost[n + 1] + coalesce(list_sum(list_transform(range(2, parts[n + 1] + 1), lambda x: log2(x))), 0), n * z) AS x FROM dp WHERE k = n),
+sc AS (SELECT value, n_segments, round(x, 6) AS guess_bits, CASE WHEN round(x, 9) < 10 THEN 0 WHEN round(x, 9) < 20 THEN 1 WHEN round(x, 9) < 35 THEN 2 WHEN round(x, 9) < 60 THEN 3 ELSE 4 END AS score FROM bits)"""
+_NAMES = "CASE score " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS)) + " END"
+
+
 @query()
 def strength_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(b.strings(spark, sf).select("value"), b.lexicon(spark, sf))
     return s.select("value", "guesses", F.round("guess_bits", 6).alias("guess_bits"), "score", "score_label", F.size("segments").alias("n_segments"))
 
 
-@query()
+@query(f"{_MODEL} SELECT value, guess_bits, score, {_NAMES} AS score_label, n_segments FROM sc")
+def strength_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores without the exact integers, which SQL can't hold."""
+    return strength_scores(spark, sf).drop("guesses")
+
+
+@query(f"{_MODEL} SELECT score, count(*) AS count FROM sc GROUP BY score")
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return profile.score_histogram(b.strings(spark, sf), b.lexicon(spark, sf))
 
