@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import LONGEST, OTHER_SPACE, alone_in, distinct_chunks, joinable, load_library, runs, token_lengths
-from .common import Stored, map_arrow, parts_for, utf8_slices, without
+from .common import SLICE_BYTES, Stored, map_arrow, parts_for, utf8_slices, without
 from .line_dedup import PerfectHash
 
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -41,9 +41,11 @@ SHARD_BITS = 7
 #: Vectors or key sets that a node of the tree puts together.
 FAN = 64
 #: Chunks and links that a worker keeps; links of a group that are spread out as they are.
-KEPT, KEPT_LINKS, WIDE = 600_000, 6_000_000, 10_000
+KEPT, KEPT_LINKS, WIDE = 450_000, 4_500_000, 10_000
+#: Bytes aligned at once: with a space before each text still few enough for small tables of the hashes.
+SLICE = SLICE_BYTES - (1 << 14)
 #: Pairs that a task holds before it puts them out.
-HELD = 2_000_000
+HELD = 1_000_000
 JOINED = 100
 _ODD = re.compile(rb"(?:\r|" + OTHER_SPACE + rb")[ \t\n\x0b\x0c]|\xe2\x96\x81")
 _RARE = (b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe2\x96\x81", b"\xe3\x80\x80", b"\xef\xbb\xbf")
@@ -289,7 +291,7 @@ def _pairs(path_a: str, path_b: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, held, n = aligner(path_a, path_b), {}, 0
-        for part, raw, off in utf8_slices(batches):
+        for part, raw, off in utf8_slices(batches, most=SLICE):
             data, where = raw.tobytes(), part.column(0).to_numpy()
             for piece in np.unique(where).tolist():
                 mine = np.flatnonzero(where == piece)
@@ -380,7 +382,7 @@ def _gather(path_a: str, path_b: str, best: np.ndarray, schema: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, piece, known, counts = aligner(path_a, path_b), None, [], []
-        for part, raw, off in utf8_slices(batches):
+        for part, raw, off in utf8_slices(batches, most=SLICE):
             where = part.column(part.schema.get_field_index("slice")).to_numpy()
             is_doc = part.column(part.schema.get_field_index("kind")).to_numpy() == 1
             cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(where)]
