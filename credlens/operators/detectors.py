@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import full_year, is_ascii_digits
@@ -199,6 +199,37 @@ def detect_all(s: Column) -> Column:
     return F.concat(*[F.when(GATES[name](s), f(s).cast(MATCH)).otherwise(none) if name in GATES else f(s) for name, f in DETECTORS.items()])
 
 
+#: What matches of further detectors count as in pattern statistics.
+SHOWN: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(name: str, detector: Callable[[Column], Column], gate: Callable[[Column], Column] | None = None, shown: Callable[[Column], Column] | None = None) -> None:
+    """Adds a detector: from then on profiles, the scoring model and views of matches use it. It gives an array of matches (see found_by) of type `name`; gate tells cheaply where it may find something; shown is its pattern in statistics, which must hold no text of the input (by default the length)."""
+    if name in DETECTORS:
+        raise ValueError(f"there is a detector {name!r} already")
+    DETECTORS[name] = detector
+    if gate is not None:
+        GATES[name] = gate
+    SHOWN[name] = shown or (lambda m: F.concat(F.lit("len="), (m["end"] - m["start"]).cast("string")))
+
+
+def unregister(name: str) -> None:
+    for held in (DETECTORS, GATES, SHOWN):
+        held.pop(name, None)
+
+
+def found_by(name: str, pattern: str, guesses: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A detector of the non-overlapping matches of a regular expression; guesses of the matched text."""
+    return lambda s: F.transform(regex_spans(s, pattern), lambda x: _match(name, x["start"], x["start"] + F.length(x["token"]), x["token"], guesses(x["token"])))
+
+
+def matches_view(values: DataFrame, name: str) -> DataFrame:
+    """values with a row for each match of any detector, also as a view for SQL."""
+    made = values.select("*", F.inline(detect_all(F.col("value"))))
+    made.createOrReplaceTempView(name)
+    return made
+
+
 def pattern_repr(m: Column) -> Column:
     """What a match counts as in pattern statistics; holds no text of the input."""
     n = F.concat(F.lit("len="), m["length"].cast("string"), F.lit(";dir="), m["direction"])
@@ -207,4 +238,5 @@ def pattern_repr(m: Column) -> Column:
         .when(m["type"] == "keyboard", n)
         .when(m["type"] == "sequence", F.concat(n, F.lit(";kind="), m["kind"]))
         .when(m["type"] == "repetition", F.concat(F.lit("kind="), m["kind"], F.lit(";count="), m["count"].cast("string")))
+        .otherwise(F.coalesce(*[F.when(m["type"] == name, f(m)) for name, f in SHOWN.items()], F.lit(None).cast("string")))
     )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.attack import format_duration
+from ..sources.store import HistogramStore
 
 
 def recent_runs(runs: DataFrame, datasets: DataFrame, n: int = 5) -> DataFrame:
@@ -84,3 +89,28 @@ def snapshot_text(totals: DataFrame, runs: DataFrame, progress: DataFrame, now,
     for s in shown[1:]:
         every = every.unionByName(s)
     return every.orderBy("section", "place")
+
+
+def snapshot(store: HistogramStore, now=None, expected_lines: int | None = None) -> str:
+    """The monitor's screen of a store as it is now."""
+    spark = store.spark
+    held = lambda name, schema: spark.createDataFrame([], schema) if (rows := store.read(name)) is None else rows
+    datasets = held("datasets", "id long, name string, dataset_type string")
+    totals = mean_lengths(datasets, held("dataset_totals", "dataset_id long, mode string, total_lines long, sum_length long"))
+    runs = recent_runs(held("ingestion_runs", "id string, dataset_id long, status string, started_at timestamp, finished_at timestamp, lines_valid long"), datasets)
+    progress = held("file_progress", "filename string, status string, lines_processed long, lines_valid long, started_at timestamp, finished_at timestamp")
+    return "\n".join(r.line for r in snapshot_text(totals, runs, progress, now or datetime.now(UTC), expected_lines).collect())
+
+
+def watch(store: HistogramStore, show: Callable[[str], object] = print, seconds: float = 5.0, stop: threading.Event | None = None, expected_lines: int | None = None) -> None:
+    """Shows the screen again and again until it is asked to stop or interrupted; what goes wrong in one round is shown and the next one tried."""
+    stop = stop or threading.Event()
+    try:
+        while not stop.is_set():
+            try:
+                show(snapshot(store, expected_lines=expected_lines))
+            except Exception as wrong:  # noqa: BLE001
+                show(f"{type(wrong).__name__}: {wrong}")
+            stop.wait(seconds)
+    except KeyboardInterrupt:
+        pass

@@ -11,6 +11,7 @@ from ..functions.features import is_word
 from .corpus import tokens, weighted
 
 _local: list[str] = []
+_lexicons: list[DataFrame] = []
 
 #: Strings that give every detector something to find. Plain enough SQL for other engines too; {part} and so on name the tables.
 SYNTH = """
@@ -79,7 +80,15 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where(is_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(F.lit("nombres_es").alias("dict_name"), "word", "n")
     order = Window.partitionBy("dict_name").orderBy(F.desc("n"), "word")
     # Read by several joins of a plan; far smaller than the documents.
-    return said.unionByName(named).select("dict_name", "word", (F.row_number().over(order) - 1).alias("rank")).persist()
+    made = said.unionByName(named).select("dict_name", "word", (F.row_number().over(order) - 1).alias("rank")).persist()
+    _lexicons.append(made)
+    return made
+
+
+def release() -> None:
+    """Frees the word lists that queries have kept; plans that still use one compute it again."""
+    while _lexicons:
+        _lexicons.pop().unpersist()
 
 
 def breach(spark: SparkSession, sf_dir: str) -> DataFrame:
