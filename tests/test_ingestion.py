@@ -170,5 +170,5 @@ def test_a_dry_run_writes_nothing(spark, where, tmp_path):
     rows = ingest(spark, *at, dry_run=True).collect()
     assert [os.path.basename(r.filename) for r in rows] == ["f0.txt", "f1.txt"] and {r.done for r in rows} == {0}
     assert sorted(os.listdir(tmp_path)) == ["in"]
-    ingest(spark, *at, limit=10)
+    ingest(spark, *at, limit=11)
     assert [r.done == r.length for r in ingest(spark, *at, dry_run=True).collect()] == [True, False]
