@@ -191,3 +191,26 @@ def test_cross_products_are_exact_for_any_range():
         y = (x - low).astype(object)
         width = np.array([int(v).bit_length() for v in (x.max(axis=0) - low)])
         assert (np.triu(y.T @ y) == np.triu(cross_products(x, low, width))).all()
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choices(words, k=400_000)) + "\n" + "ab" * 100_000
+    df = spark.createDataFrame([(1, long), (2, long[:1000]), (3, None)], "doc_id long, text string")
+    lib = Tokenizer.from_file(A)
+    whole = np.array([*lib.encode(long, add_special_tokens=False).ids, 2], "<u4")
+    got = {r.doc_id: r for r in checksums(write_ids(df, A, str(tmp_path / "ids"))).collect()}
+    assert (got[1].n_tokens, got[1].ids_crc32, got[2].start, got[3].n_tokens) == (len(whole), zlib.crc32(whole.tobytes()), len(whole), 1)
+    one = align_documents(df, A, B).where("doc_id = 1").first()
+    assert one.n_a == len(_library().encode(" " + long, add_special_tokens=False).ids) and one.n_b == len(sentencepiece.SentencePieceProcessor(model_file=B).encode(long)) and one.n_links >= one.n_groups > 400_000
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((60, 512)).round(3)
+    got = whiten(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), components=3).toPandas()
+    deviation, w, explained = _plain_whitening(vectors, 3)
+    assert got[got.component == 1].sort_values("vec_id").deviation.tolist() == deviation.tolist()
+    wide = got.pivot(index="vec_id", columns="component", values="whitened").sort_index().to_numpy()
+    assert np.abs(wide * np.sign((wide * w).sum(axis=0)) - w).max() < 1e-8 and np.allclose(got.groupby("component").explained.first(), explained, rtol=1e-9)
