@@ -320,23 +320,20 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"shard": t["shard"][:1], "node": t["node"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def tree(rows: DataFrame, nodes: int, combine) -> DataFrame:
-    """shard and data: the data of each shard's nodes (shard, node, data) put together, FAN at a time."""
+def tree(rows: DataFrame, nodes: int, combine, last=None, schema: str = NODE) -> DataFrame:
+    """The data of each shard's nodes (shard, node, data) put together, FAN at a time: shard and data, or what `last` makes of the uppermost nodes in place of combine."""
     while nodes > 1:
         nodes = -(-nodes // FAN)
-        rows = rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("shard", "node").applyInArrow(combine, NODE)
-    return rows.select("shard", "data")
+        top = last is not None and nodes == 1
+        rows = rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("shard", "node").applyInArrow(last if top else combine, schema if top else NODE)
+    return rows if last is not None else rows.select("shard", "data")
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's minimal perfect hash and its keys in the order of their indexes."""
-    for b in batches:
-        made = []
-        for data in b.column(1).to_pylist():
-            keys = _longs(data)
-            mph = PerfectHash.build(keys.view(np.uint64))
-            made.append((mph.to_bytes(), keys[np.argsort(mph(keys.view(np.uint64)))].tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in made], pa.binary()), pa.array([k for _, k in made], pa.binary())], names=["shard", "mph", "keys"])
+def _index(t: pa.Table) -> pa.Table:
+    """A shard's minimal perfect hash and its keys in the order of their indexes. Made where the keys meet: a step of its own behind it would hold two Python workers for each task, and those that the aligners don't live in would load them again in the second pass."""
+    keys = _longs(_union(t)["data"][0].as_py())
+    mph = PerfectHash.build(keys.view(np.uint64))
+    return pa.table({"shard": t["shard"][:1], "mph": pa.array([mph.to_bytes()], pa.binary()), "keys": pa.array([keys[np.argsort(mph(keys.view(np.uint64)))].tobytes()], pa.binary())})
 
 
 def _places(mph: bytes, known: bytes, keys: np.ndarray) -> np.ndarray:
@@ -424,8 +421,7 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, text: str = "text")
     packed = store.write(map_arrow(rows.select("slice", "text").repartitionById(n_slices, F.col("slice").cast("int")), _pairs(path_a, path_b), PACKED))
     bundles = -(-n_slices // FAN)
     node = F.floor(F.col("slice") / FAN)
-    keys = tree(packed.select("shard", F.col("slice").alias("node"), F.col("keys").alias("data")), max(2, n_slices), _union)
-    index = store.write(keys.mapInArrow(_build, "shard int, mph binary, keys binary"))
+    index = store.write(tree(packed.select("shard", F.col("slice").alias("node"), F.col("keys").alias("data")), max(2, n_slices), _union, _index, "shard int, mph binary, keys binary"))
     spread = lambda t: t.withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bundles - 1).cast("long"))))
     bundled = packed.withColumn("node", node)
     dense = bundled.groupBy("shard", "node").cogroup(spread(index).groupBy("shard", "node")).applyInArrow(_dense, NODE)

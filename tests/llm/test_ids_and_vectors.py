@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -85,6 +86,33 @@ def test_alignment_is_that_of_plain_counting(spark, monkeypatch):
     assert align_documents(rows.limit(0), A, B).count() == 0
 
 
+def _stacked(plan):
+    """Python nodes that work in one task with another one."""
+    found, above = 0, []
+    for line in plan.splitlines():
+        if not (name := re.search("[A-Za-z]+", line)):
+            continue
+        while above and above[-1][0] >= name.start():
+            above.pop()
+        if "InArrow" in name[0]:
+            for _, n in reversed(above):
+                if n.endswith("Exchange"):
+                    break
+                found += "InArrow" in n
+        above.append((name.start(), name[0]))
+    return found
+
+
+def test_alignment_holds_one_worker_for_a_task(spark, monkeypatch):
+    plans, write = [], alignment.Stored.write
+    monkeypatch.setattr(alignment.Stored, "write", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df))[1])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_texts(20))], "doc_id long, text string")
+    done = align_documents(rows, A, B)
+    plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert sum("InArrow" in p for p in plans) >= 4
+    assert [_stacked(p) for p in plans] == [0] * len(plans)
+
+
 def test_wide_groups_and_a_cache_that_is_full(monkeypatch):
     monkeypatch.setattr(alignment, "WIDE", 3)
     monkeypatch.setattr(alignment, "KEPT", 40)
