@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,17 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: np.ndarray, lengths: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Hilbert key of each document; ids end to end."""
+@cache
+def _projection(seed: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Slot and sign of each id, and the matrix."""
     rng = np.random.default_rng(seed)
     table = rng.integers(0, HASHED, 1 << 16), rng.choice([-1.0, 1.0], 1 << 16)
-    project = rng.standard_normal((HASHED, DIMS))
+    return table, rng.standard_normal((HASHED, DIMS))
+
+
+def curve_keys(ids: np.ndarray, lengths: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Hilbert key of each document; ids end to end."""
+    table, project = _projection(seed)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     slot = ids.astype(np.int64) & 0xFFFF
     v = np.bincount(doc * HASHED + table[0][slot], weights=table[1][slot], minlength=len(lengths) * HASHED).reshape(-1, HASHED)
@@ -81,8 +88,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, text: str, key: str, end_id: i
             raw, off = bpe.plain(raw, off)
             data = raw.tobytes()
             texts = [data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            bpe.learn(texts)
-            out = [bpe.encode(x) + end for x in texts]
+            out = [x + end for x in bpe.encode_all(texts)]
             n = np.array([len(x) for x in out]) // bpe.dtype.itemsize
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(bpe.ids(b"".join(out)), n)), pa.array(n), pa.array(out, type=pa.binary())], names=["key", "curve", "n", "ids"])
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import accumulate, chain, pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -20,7 +22,8 @@ _LATIN_1 = 0xC3
 _LETTER[97:123] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
-_STOP[[44, 46]] = True
+_STOPS = "!#$%&*,.:;?"
+_STOP[list(_STOPS.encode())] = True
 _loaded: dict[str, WordBPE] = {}
 
 
@@ -57,12 +60,16 @@ class WordBPE:
         self.numbers = [str(i) for i in range(len(self.tokens))]
         same = lambda a, b: self.library.encode(a, add_special_tokens=False).ids == self.library.encode(b, add_special_tokens=False).ids
         letters = "abcdefghijklmnopqrstuvwxyz"
-        #: Whether the tokenizer folds A-Z, and whether it always parts a letter from a full stop or comma behind it.
+        #: Whether the tokenizer folds A-Z, and whether it always parts a letter from one of _STOPS behind it.
         self.folds = all(same(c.upper() + c, c + c) for c in letters)
-        self.parts = all(same(f"{c}{p}x", f"{c} {p}x") and same(f"{c}{p}", f"{c} {p}") for c in letters for p in ".,")
+        self.parts = all(same(f"{c}{p}x", f"{c} {p}x") and same(f"{c}{p}", f"{c} {p}") and same(f"{c}{p}{p}'s", f"{c} {p}{p}'s") for c in letters for p in _STOPS)
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         if reason := self._unfit():
             raise ValueError(f"{path} can't be encoded word by word: {reason}")
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
+        #: Characters of each token; whether these are the bytes of a text.
+        self.sizes = np.array([len(t.removesuffix(suffix)) for t in self.tokens], np.int64)
+        self.measured = all(self.sizes[self.library.encode(c, add_special_tokens=False).ids].sum() == len(c.encode()) for c in [*map(chr, range(33, 65)), *map(chr, range(91, 127)), "\u00e9", "\u65e5", "\U0001f44d"])
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -88,7 +95,7 @@ class WordBPE:
         return None
 
     def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and a stop; and their offsets.
+        """Texts with the same ids but fewer different words: A-Z lower-cased, a space between a letter and one of _STOPS; and their offsets.
 
         A capital before a character that may be a combining mark stays: the normalizer composes before it folds, and some
         small letters have composed forms that their capitals lack.
@@ -120,8 +127,17 @@ class WordBPE:
                 self.words[w] = v
             else:
                 new.append(w)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
+        # Lengths tell where words end that the normalizer leaves as they are; others by the library's offsets, which cost more.
+        plain, other = [], []
+        for w in new:
+            (plain if w.isascii() or self._settled(w) else other).append(w)
+        for i in range(0, len(plain), 2000):
+            if (found := self._by_lengths(part := plain[i : i + 2000])) is None:
+                other += part
+            else:
+                self.words.update(zip(part, found, strict=True))
+        for i in range(0, len(other), 2000):
+            part = other[i : i + 2000]
             texts = [w.decode("utf-8", "replace") for w in part]
             found = self.library.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.dtype)
@@ -131,11 +147,43 @@ class WordBPE:
             data = ids.tobytes()
             self.words.update(zip(part, [data[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
 
+    @staticmethod
+    def _settled(word: bytes) -> bool:
+        """Whether a word seems to be in its normal form already; what the library makes of it decides."""
+        text = word.decode("utf-8", "replace")
+        return "\ufffd" not in text and text == text.lower() and is_normalized("NFC", text)
+
+    def _by_lengths(self, words: list[bytes]) -> list[bytes] | None:
+        """The ids of each of some words, dealt out by the tokens' lengths; None if the library normalizes a word to something else."""
+        text = b" ".join(words).decode()
+        if not self.measured or (self.library.normalizer is not None and self.library.normalizer.normalize_str(text) != text):
+            return None
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        size = self.sizes[ids]
+        ends, upto = np.cumsum(size), np.cumsum(list(map(len, words)))
+        at = np.searchsorted(ends, upto)
+        if not len(ends) or at[-1] != len(ends) - 1 or not size.all() or (ends[at] != upto).any():
+            return None
+        cut, data = [0, *((at + 1) * self.dtype.itemsize).tolist()], ids.tobytes()
+        return [data[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+
     def learn(self, texts: list[bytes]) -> None:
         """Puts the words of texts into the cache."""
         if new := set(b"\n".join(texts).split()).difference(self.words):
             self._learn(new)
 
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; their words are cut and looked up together."""
+        cut = [t.split() for t in texts]
+        words = list(chain.from_iterable(cut))
+        found = list(map(self.words.get, words))
+        if missing := [i for i, ids in enumerate(found) if ids is None]:
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                found[i] = self.words[words[i]]
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
+
     def encode_words(self, words: list[bytes]) -> bytes:
         """The ids of words end to end, as bytes of self.dtype."""
         try:

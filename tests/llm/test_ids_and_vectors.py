@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from credlens.llm import alignment, byte_bpe, token_files
 from credlens.llm.alignment import align_documents
 from credlens.llm.token_files import checksums, read_documents, tokens_at, write_ids
+from credlens.llm.tokens import WordBPE
 from credlens.llm.whitening import cross_products, whiten
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -242,3 +243,20 @@ def test_wide_vectors(spark):
     assert got[got.component == 1].sort_values("vec_id").deviation.tolist() == deviation.tolist()
     wide = got.pivot(index="vec_id", columns="component", values="whitened").sort_index().to_numpy()
     assert np.abs(wide * np.sign((wide * w).sum(axis=0)) - w).max() < 1e-8 and np.allclose(got.groupby("component").explained.first(), explained, rtol=1e-9)
+
+
+def test_words_are_dealt_out_by_lengths_where_nothing_is_normalized():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe, library = WordBPE(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([*PARTS, "É", "e\u0301", "\u0130", "ß", "Ω", "</w>"]) for _ in range(rng.randint(0, 30))) for _ in range(800)] + ["", " ", "x" * 3000]
+    of_library = []
+    monkey = bpe.library.encode
+    bpe.library = type("Counted", (), {"__getattr__": lambda self, name: getattr(library, name), "encode": lambda self, t, **how: (of_library.append(t), monkey(t, **how))[1]})()
+    got = bpe.encode_all([t.encode() for t in texts])
+    assert [bpe.ids(x).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe._by_lengths(["é".encode(), b"it's", "日本".encode()]) is not None
+    assert bpe._by_lengths([b"a", "É".encode()]) is None and bpe._by_lengths(["e\u0301".encode()]) is None
+    of_library.clear()
+    bpe.encode_all([b"some words that no one knows: qzxv qzxw", "déjà vu".encode()])
+    assert not of_library  # the slower way, by offsets
