@@ -282,7 +282,7 @@ def _chunked(df: DataFrame, tokenizer_path: str, text: str, key: str, r) -> tupl
     n = parts_for(df.sparkSession, n_bytes)
     slim = inner.select("r", "text", F.pmod(F.xxhash64("k", "text"), F.lit(n)).cast("int").alias("part"))
     fields = [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("r", slim.schema["r"].dataType)]
-    return map_arrow(slim, _cut(tokenizer_path, n), T.StructType(fields), 2000), n
+    return map_arrow(slim, _cut(tokenizer_path, n), T.StructType(fields), 2000, keeps="words"), n
 
 
 def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep_text: bool = True) -> DataFrame:
@@ -291,10 +291,10 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", key: s
     rest = [c for c in kept.columns if keep_text or c.lower() != text.lower()]
     chunked, n = _chunked(df, tokenizer_path, text, key, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("_")]))
     met = chunked.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    encoded = map_arrow(met, _encode(tokenizer_path), met.schema, 200).select("part", "kind", "body", "r")
+    encoded = map_arrow(met, _encode(tokenizer_path), met.schema, 200, keeps="words").select("part", "kind", "body", "r")
     placed = encoded.repartition(n, "part").sortWithinPartitions("part", "kind")
     kinds = [T.StructField(o, T._parse_datatype_string(OUTPUTS[o])) for o in outputs]
-    done = map_arrow(placed, _assemble(tokenizer_path, outputs), T.StructType([placed.schema["r"], *kinds]), 200)
+    done = map_arrow(placed, _assemble(tokenizer_path, outputs), T.StructType([placed.schema["r"], *kinds]), 200, keeps="words")
     return done.select(*[F.col(f"r.`{c}`") for c in rest], *outputs)
 
 

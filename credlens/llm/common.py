@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 21
 #: Bytes in a range- or hash-dealt part: SMALL_PART up to MANY_PARTS parts, then up to LARGE_PART.
 SMALL_PART, LARGE_PART, MANY_PARTS = 16 << 20, 128 << 20, 16_384
+#: Rows in a file of a table that a loop writes again and again.
+FILE_ROWS = 1 << 20
 _local: list[str] = []
+#: What kernels keep in a worker process, by the kernel's name.
+_kept: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -61,8 +65,11 @@ class Stored:
         self.paths.append(path := f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
         return path
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, n_rows: int | None = None) -> DataFrame:
+        """n_rows: about how many rows there are, so that a small table doesn't get a file for each shuffle partition."""
         path = self.folder()
+        if n_rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-n_rows // FILE_ROWS)))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -88,10 +95,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
-def map_arrow(df: DataFrame, f, schema, rows: int = 500) -> DataFrame:
-    """mapInArrow; f gets batches of at most `rows` rows, cut from Spark's, whose bytes spark.sql.execution.arrow.maxBytesPerBatch bounds."""
+def kept_by(name: str) -> dict:
+    """What the kernel of this name keeps in this process; a worker that goes on to another kernel lets it go."""
+    return _kept.setdefault(name, {})
+
+
+def let_go(keeps: str) -> None:
+    for name, loaded in _kept.items():
+        if name != keeps:
+            loaded.clear()
+
+
+def map_arrow(df: DataFrame, f, schema, rows: int = 500, keeps: str = "") -> DataFrame:
+    """mapInArrow; f gets batches of at most `rows` rows, cut from Spark's, whose bytes spark.sql.execution.arrow.maxBytesPerBatch bounds. keeps: the kernel whose kept things f uses; workers serve one stage after another, and those of others are let go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         return f(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
     return df.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ def connected(edges: DataFrame, store: Stored) -> DataFrame:
         large = _with_lowest(both, low, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_lowest(large, least, hubs).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
-        old, e = e, store.write(small)
+        old, e = e, store.write(small, before[0])
         after = state(e)
         store.drop(old)
         if after == before:

@@ -92,7 +92,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, text: str, key: str, end_id: i
             n = np.array([len(x) for x in out]) // bpe.dtype.itemsize
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_keys(bpe.ids(b"".join(out)), n)), pa.array(n), pa.array(out, type=pa.binary())], names=["key", "curve", "n", "ids"])
 
-    return map_arrow(rows, run, f"key {kind}, curve long, n long, ids binary")
+    return map_arrow(rows, run, f"key {kind}, curve long, n long, ids binary", keeps="words")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 4096, text: str = "text
     kind = plain.schema["key"].dataType.simpleString()
     n_bytes = plain.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     ordered = plain.repartitionByRange(parts_for(df.sparkSession, n_bytes), "curve", "key").sortWithinPartitions("curve", "key").select("key", "n", "ids", F.spark_partition_id().alias("pid"))
-    laid = store.write(map_arrow(ordered, _running, f"key {kind}, n long, ids binary, pid int, before long"))
+    laid = store.write(map_arrow(ordered, _running, f"key {kind}, n long, ids binary, pid int, before long", keeps="words"))
     store.drop(plain)
     # One row for each partition of the sort, whatever the number of documents.
     parts = laid.groupBy("pid").agg(F.sum("n").alias("total"))
@@ -134,4 +134,4 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 4096, text: str = "text
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(cols, kinds, strict=True)], names=["key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return map_arrow(placed, run, f"key {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("key", key)
+    return map_arrow(placed, run, f"key {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long", keeps="words").withColumnRenamed("key", key)

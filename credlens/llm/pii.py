@@ -187,12 +187,13 @@ def pattern_scores(edges: DataFrame, rounds: int, least_score: float, least_seed
     # The other patterns can't vouch for anything.
     backed = edges.groupBy("k", "p").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= least_seeds).drop("seeds")
     graph = store.write(edges.select("*", _salt("v")).join(_repeated(backed), ["k", "p", "salt"]))
+    n_edges = graph.count()
     good, n_good = graph.where("seed").select("k", "v").distinct(), -1
     for _ in range(rounds):
         rated = graph.drop("salt").join(good.withColumn("good", F.lit(1.0)), ["k", "v"], "left")
-        pattern = store.write(rated.groupBy("k", "p").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"), F.count(F.lit(1)).cast("double").alias("n")).select("k", "p", _lower(F.col("g"), F.col("n")).alias("conf")))
+        pattern = store.write(rated.groupBy("k", "p").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"), F.count(F.lit(1)).cast("double").alias("n")).select("k", "p", _lower(F.col("g"), F.col("n")).alias("conf")), n_edges)
         found = graph.join(_repeated(pattern), ["k", "p", "salt"]).groupBy("k", "v").agg(F.avg("conf").alias("conf")).where(F.col("conf") >= least_score).select("k", "v")
-        good = store.write(graph.where("seed").select("k", "v").union(found).distinct())
+        good = store.write(graph.where("seed").select("k", "v").union(found).distinct(), n_edges)
         if (now := good.count()) == n_good:
             break
         n_good = now

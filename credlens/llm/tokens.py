@@ -15,6 +15,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .common import kept_by
+
 WORD_LIMIT = 500_000
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 #: Lead bytes above this begin characters behind Latin-1, which has no combining marks.
@@ -24,7 +26,7 @@ _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _STOPS = "!#$%&*,.:;?"
 _STOP[list(_STOPS.encode())] = True
-_loaded: dict[str, WordBPE] = {}
+_loaded: dict[str, WordBPE] = kept_by("words")
 
 
 class Generations:

@@ -66,3 +66,28 @@ def test_odd_rows_pass_every_stage(spark):
         assert out.columns == odd.columns and all((r.score, r.component_id, r.uid) == ("mine",) * 3 for r in rows), name
         assert name == "quality" or sum(r.doc_id is None for r in rows) == 2, name
         assert name in ("quality", "near_duplicates") or len(rows) == 10, name
+
+
+def test_a_small_table_gets_few_files(spark):
+    from credlens.llm.common import Stored
+
+    store, before = Stored(spark), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(500).repartition(60, "id")
+        few = store.write(rows, 500)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert few.count() == 500 and len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 60
+
+
+def test_a_worker_lets_go_what_another_kernel_kept():
+    from credlens.llm.common import kept_by, let_go
+    from credlens.llm.queries import tokenizer
+    from credlens.llm.tokens import word_bpe
+
+    bpe = word_bpe(tokenizer())
+    let_go("words")
+    assert word_bpe(tokenizer()) is bpe
+    let_go("")
+    assert not kept_by("words") and word_bpe(tokenizer()) is not bpe
