@@ -4,12 +4,13 @@ Tokenizer A is a byte-level BPE file, B a sentencepiece model with a dummy space
 of both end cut a text into groups; each token of A is linked to each of B in its group. A pair's count is the number of
 documents that hold it linked.
 
-Documents are dealt to slices by a hash. A first pass aligns them and packs each slice's distinct pairs, with the
-documents that hold each, for 2 ** SHARD_BITS shards. The pairs of a shard are put together along a tree and get
-a minimal perfect hash with the keys it indexes, to verify lookups. Each bundle of slices adds its counts up in a dense vector
-indexed by that hash, and the vectors are summed along the same tree. Slices then look up their pairs, and a second pass
-aligns the documents again and gathers their counts. What is collected is the highest count of each id of A, at most
-one number for each entry of the vocabulary.
+Documents are dealt to slices by a hash. One pass aligns them, numbers each slice's distinct pairs by places and packs them, with
+the documents that hold each, for 2 ** SHARD_BITS shards; of a document it keeps what doesn't depend on counts and
+the places that it links, with how often. The pairs of a shard are put together along a tree and get a minimal perfect
+hash with the keys it indexes, to verify lookups. Each bundle of slices adds its counts up in a dense vector indexed by that hash,
+and the vectors are summed along the same tree. Slices then look up their pairs, and the documents gather their
+counts by places; no text is read or aligned again. What is collected is the highest count of each id of A, at most one
+number for each entry of the vocabulary.
 
 Words repeat, so chunks of text (white space and what follows up to the next) are aligned once in a worker and kept: both
 tokenizers end tokens at the chunks' borders, except where other white space or carriage returns stand before them; such
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import LONGEST, OTHER_SPACE, alone_in, distinct_chunks, joinable, load_library, runs, token_lengths
-from .common import SLICE_BYTES, Stored, map_arrow, parts_for, utf8_slices, without
+from .common import SLICE_BYTES, Stored, kept_by, map_arrow, parts_for, utf8_slices, without
 from .line_dedup import PerfectHash
 
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -52,7 +53,7 @@ _RARE = (b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"
 _OVER = re.compile("[^ \t\n\x0b\x0c][ \t\n\x0b\x0c]")
 _BREAKS = " \t\n\x0b\x0c"
 _BLANK = np.isin(np.arange(256), list(_BREAKS.encode()))
-_loaded: dict[tuple[str, str], Aligner] = {}
+_loaded: dict[tuple[str, str], Aligner] = kept_by("aligner")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -276,37 +277,77 @@ def _picked(data: bytes, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def _pairs(path_a: str, path_b: str):
-    """Packed distinct pairs of each slice by shard, with the number of documents that hold each."""
+_ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
 
-    def packed(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for piece, parts in held.items():
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
-            shard = shard_of(keys)
-            order = np.argsort(shard, kind="stable")
-            new = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else []
-            rows = [order[s:e] for s, e in zip(new, [*new[1:], len(order)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([piece] * len(rows), pa.int64()), pa.array([int(shard[r[0]]) for r in rows], pa.int32()), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([counts[r].tobytes() for r in rows], pa.binary())], names=["slice", "shard", "keys", "counts"])
+
+class Places:
+    """Distinct pairs of a slice in ascending order, each with its place, given as they come in, and how many documents hold it."""
+
+    def __init__(self, first: int = 0) -> None:
+        self.keys, self.place, self.counts, self.upto = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), first
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of ascending different keys."""
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        where = at[new]
+        self.keys, self.counts = np.insert(self.keys, where, keys[new]), np.insert(self.counts, where, 0)
+        self.place = np.insert(self.place, where, self.upto + np.arange(len(where)))
+        self.upto += len(where)
+        at += np.cumsum(new) - new
+        self.counts[at] += counts
+        return self.place[at]
+
+
+def _binaries(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Runs of values as bytes."""
+    if int(cut[-1]) * values.itemsize >= 1 << 31:
+        raise ValueError("a text links more pairs than a row can hold")
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _pairs(path_a: str, path_b: str, schema: T.StructType):
+    """Documents with what doesn't depend on counts and the places of their pairs (no shard), and packed distinct pairs of each slice by shard, with their places and the number of documents that hold each."""
+
+    def batch(n: int, row: dict, types: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([row[f.name] if f.name in row else pa.nulls(n, _ARROW.get(f.dataType, types.field("r").type)) for f in schema], names=schema.names)
+
+    def packed(piece: int, held: Places, types: pa.Schema) -> pa.RecordBatch:
+        shard = shard_of(held.keys)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+        row = {c: _binaries(x[order], cut) for c, x in (("keys", held.keys), ("counts", held.counts), ("places", held.place.astype("<u4")))}
+        return batch(len(cut) - 1, row | {"slice": pa.array([piece] * (len(cut) - 1), pa.int64()), "shard": pa.array(shard[order][cut[:-1]], pa.int32())}, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, held, n = aligner(path_a, path_b), {}, 0
+        both, held, types = aligner(path_a, path_b), {}, None
         for part, raw, off in utf8_slices(batches, most=SLICE):
-            data, where = raw.tobytes(), part.column(0).to_numpy()
+            data, types = raw.tobytes(), part.schema
+            where, r = part.column(types.get_field_index("slice")).to_numpy(), part.column(types.get_field_index("r"))
             for piece in np.unique(where).tolist():
                 mine = np.flatnonzero(where == piece)
-                keys, _, pair, _ = both.align(*_picked(data, off, mine)).linked()
-                held.setdefault(piece, []).append((keys, np.bincount(pair, minlength=len(keys))))
-                n += len(keys)
-            if n > HELD:
-                yield from packed(held)
-                held, n = {}, 0
-        yield from packed(held)
+                made = both.align(*_picked(data, off, mine))
+                keys, doc, pair, times = made.linked()
+                places = held.setdefault(piece, Places()).add(keys, np.bincount(pair, minlength=len(keys)))
+                cut = np.searchsorted(doc, np.arange(made.n + 1))
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in made.groups()]
+                row = {"slice": pa.array([piece] * len(mine), pa.int64()), "r": r.take(pa.array(mine)), OUT[-1]: pa.array(digests, pa.string())}
+                row |= dict(zip(OUT, map(pa.array, made.totals().T), strict=False))
+                yield batch(len(mine), row | {"places": _binaries(places[pair].astype("<u4"), cut), "counts": _binaries(times, cut)}, types)
+            if sum(len(x.keys) for x in held.values()) > HELD:
+                for piece, x in held.items():
+                    if len(x.keys):
+                        yield packed(piece, x, types)
+                held = {piece: Places(x.upto) for piece, x in held.items()}
+        for piece, x in held.items():
+            if len(x.keys):
+                yield packed(piece, x, types)
 
     return run
 
 
-PACKED = "slice long, shard int, keys binary, counts binary"
 NODE = "shard int, node long, data binary"
 
 
@@ -355,13 +396,20 @@ def _dense(packed: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table({"shard": packed["shard"][:1], "node": packed["node"][:1], "data": pa.array([out.tobytes()], pa.binary())})
 
 
-def _looked_up(packed: pa.Table, index: pa.Table) -> pa.Table:
-    """Rows of pairs with their counts in the whole table."""
-    if not packed.num_rows:
-        return pa.table({"slice": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-    mph, known, total = index["mph"][0].as_py(), index["keys"][0].as_py(), _longs(index["total"][0].as_py())
-    found = [total[_places(mph, known, _longs(k))].tobytes() for k in packed["keys"].to_pylist()]
-    return pa.table({"slice": packed["slice"], "keys": packed["keys"], "counts": pa.array(found, pa.binary())})
+def _looked_up(best: np.ndarray):
+    """Places of pairs with their counts in the whole table, doubled, and 1 more for an id's highest."""
+
+    def run(packed: pa.Table, index: pa.Table) -> pa.Table:
+        if not packed.num_rows:
+            return pa.table({"slice": pa.array([], pa.int64()), "places": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+        mph, known, total = index["mph"][0].as_py(), index["keys"][0].as_py(), _longs(index["total"][0].as_py())
+        found = []
+        for k in map(_longs, packed["keys"].to_pylist()):
+            n = total[_places(mph, known, k)]
+            found.append((2 * n + (n == best[k >> 32])).tobytes())
+        return pa.table({"slice": packed["slice"], "places": packed["places"], "counts": pa.array(found, pa.binary())})
+
+    return run
 
 
 def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,36 +422,28 @@ def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(most)], names=["a", "most"])
 
 
-def _gather(path_a: str, path_b: str, best: np.ndarray, schema: T.StructType):
+def _gather(schema: T.StructType):
     """Rows of a slice come together, its counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, piece, known, counts = aligner(path_a, path_b), None, [], []
-        for part, raw, off in utf8_slices(batches, most=SLICE):
-            where = part.column(part.schema.get_field_index("slice")).to_numpy()
-            is_doc = part.column(part.schema.get_field_index("kind")).to_numpy() == 1
+        piece, counts = None, np.zeros(0, np.int64)
+        for part, raw, off in utf8_slices(batches, "places"):
+            col = lambda c, s, e: part.column(part.schema.get_field_index(c)).slice(s, e - s)  # noqa: B023, E731
+            where, is_doc = (col(c, 0, part.num_rows).to_numpy() for c in ("slice", "kind"))
             cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(where)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if where[s] != piece:
-                    piece, known, counts = where[s], [], []
+                    piece, counts = where[s], np.zeros(0, np.int64)
+                at, n = raw[off[s] : off[e]].view("<u4"), _longs(b"".join(col("counts", s, e).to_pylist()))
                 if not is_doc[s]:
-                    known += [_longs(x) for x in part.column(part.schema.get_field_index("keys")).slice(s, e - s).to_pylist()]
-                    counts += [_longs(x) for x in part.column(part.schema.get_field_index("counts")).slice(s, e - s).to_pylist()]
+                    counts = np.r_[counts, np.zeros(max(0, int(at.max(initial=0)) + 1 - len(counts)), np.int64)]
+                    counts[at] = n
                     continue
-                if len(known) > 1:
-                    order = np.argsort(k := np.concatenate(known))
-                    known, counts = [k[order]], [np.concatenate(counts)[order]]
-                made = both.align(raw[off[s] : off[e]], off[s : e + 1] - off[s])
-                keys, doc, pair, times = made.linked()
-                n = counts[0][np.searchsorted(known[0], keys)] if len(keys) else np.zeros(0, np.int64)
-                top = n == best[keys >> 32]
-                sums = []
-                for x in (times * top[pair], times * n[pair]):
-                    upto = np.r_[0, np.cumsum(x)]
-                    at = np.searchsorted(doc, np.arange(made.n + 1))
-                    sums.append(upto[at[1:]] - upto[at[:-1]])
-                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in made.groups()]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("r")).slice(s, e - s), *map(pa.array, [*made.totals().T, *sums]), pa.array(digests, pa.string())], names=schema.names)
+                cut, sums = (off[s : e + 1] - off[s]) // 4, []
+                for x in (n * (counts[at] & 1), n * (counts[at] >> 1)):
+                    upto = np.r_[0, np.cumsum(x)][cut]
+                    sums.append(pa.array(np.diff(upto)))
+                yield pa.RecordBatch.from_arrays([col("r", s, e), *[col(c, s, e) for c in OUT[:4]], *sums, col(OUT[-1], s, e)], names=schema.names)
 
     return run
 
@@ -418,23 +458,25 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, text: str = "text")
     n_bytes = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_slices = parts_for(spark, n_bytes)
     rows = whole.withColumn("slice", F.pmod(F.xxhash64(F.to_json("r"), "text"), F.lit(n_slices)).cast("long"))
-    packed = store.write(map_arrow(rows.select("slice", "text").repartitionById(n_slices, F.col("slice").cast("int")), _pairs(path_a, path_b), PACKED))
+    fixed = [T.StructField("r", rows.schema["r"].dataType), *[T.StructField(c, T.LongType()) for c in OUT[:4]], T.StructField(OUT[-1], T.StringType())]
+    of_pairs = [T.StructField("slice", T.LongType()), T.StructField("shard", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("keys", "places", "counts")]]
+    schema = T.StructType([*of_pairs, *fixed])
+    aligned = store.write(map_arrow(rows.select("slice", "r", "text").repartitionById(n_slices, F.col("slice").cast("int")), _pairs(path_a, path_b, schema), schema, keeps="aligner"))
+    packed = aligned.where("shard is not null")
     bundles = -(-n_slices // FAN)
     node = F.floor(F.col("slice") / FAN)
     index = store.write(tree(packed.select("shard", F.col("slice").alias("node"), F.col("keys").alias("data")), max(2, n_slices), _union, _index, "shard int, mph binary, keys binary"))
     spread = lambda t: t.withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bundles - 1).cast("long"))))
     bundled = packed.withColumn("node", node)
-    dense = bundled.groupBy("shard", "node").cogroup(spread(index).groupBy("shard", "node")).applyInArrow(_dense, NODE)
+    dense = bundled.select("shard", "node", "keys", "counts").groupBy("shard", "node").cogroup(spread(index).groupBy("shard", "node")).applyInArrow(_dense, NODE)
     totals = tree(dense, bundles, _sum)
     counted = store.write(index.join(totals.withColumnRenamed("data", "total"), "shard"))
     best = counted.select("keys", "total").mapInArrow(_highest, "a long, most long").groupBy("a").agg(F.max("most").alias("most")).toPandas()  # at most a row for each id of A
     highest = np.zeros(int(best["a"].max()) + 1 if len(best) else 1, np.int64)
     highest[best["a"].to_numpy(np.int64)] = best["most"]
-    found = bundled.groupBy("shard", "node").cogroup(spread(counted).groupBy("shard", "node")).applyInArrow(_looked_up, "slice long, keys binary, counts binary")
-    none = F.lit(None)
-    met = rows.select("slice", F.lit(1).alias("kind"), "r", "text", none.cast("binary").alias("keys"), none.cast("binary").alias("counts")).unionByName(
-        found.select("slice", F.lit(0).alias("kind"), none.cast(rows.schema["r"].dataType).alias("r"), none.cast("string").alias("text"), "keys", "counts")
-    )
-    schema = T.StructType([T.StructField("r", rows.schema["r"].dataType), *[T.StructField(c, T.LongType()) for c in OUT[:-1]], T.StructField(OUT[-1], T.StringType())])
-    done = map_arrow(met.repartitionById(n_slices, F.col("slice").cast("int")).sortWithinPartitions("slice", "kind"), _gather(path_a, path_b, highest, schema), schema)
+    found = bundled.select("shard", "node", "slice", "keys", "places").groupBy("shard", "node").cogroup(spread(counted).groupBy("shard", "node")).applyInArrow(_looked_up(highest), "slice long, places binary, counts binary")
+    docs = aligned.where("shard is null").select("slice", F.lit(1).alias("kind"), "places", "counts", *[f.name for f in fixed])
+    met = docs.unionByName(found.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    schema = T.StructType([*fixed[:-1], *[T.StructField(c, T.LongType()) for c in OUT[4:-1]], fixed[-1]])
+    done = map_arrow(met.repartitionById(n_slices, F.col("slice").cast("int")).sortWithinPartitions("slice", "kind"), _gather(schema), schema)
     return done.select(*[F.col(f"r.`{c}`") for c in others], *OUT)

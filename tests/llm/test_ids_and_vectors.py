@@ -8,8 +8,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from credlens.llm import alignment, byte_bpe, token_files
@@ -114,6 +116,40 @@ def test_alignment_holds_one_worker_for_a_task(spark, monkeypatch):
     assert [_stacked(p) for p in plans] == [0] * len(plans)
 
 
+def test_alignment_reads_no_text_again(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(_texts(20))], "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    done = align_documents(spark.read.parquet(str(tmp_path / "documents")), A, B)
+    assert done.inputFiles() and not [f for f in done.inputFiles() if "documents" in f]
+
+
+def test_places_hold_when_pairs_are_put_out_early(monkeypatch):
+    monkeypatch.setattr(alignment, "HELD", 50)
+    monkeypatch.setattr(alignment, "SLICE", 200)
+    texts = _texts(200, 3)
+    rows = pa.table({"slice": pa.array([i % 2 for i in range(len(texts))], pa.int64()), "r": [{"i": i} for i in range(len(texts))], "text": texts})
+    names = [("slice", T.LongType()), ("shard", T.IntegerType()), *[(c, T.BinaryType()) for c in ("keys", "places", "counts")], ("r", T.StructType([T.StructField("i", T.LongType())])), *[(c, T.LongType()) for c in alignment.OUT[:4]], (alignment.OUT[-1], T.StringType())]
+    made = pa.Table.from_batches(list(alignment._pairs(A, B, T.StructType([T.StructField(*x) for x in names]))(rows.to_batches(max_chunksize=30)))).to_pylist()
+    longs = lambda r, c: np.frombuffer(r[c], "<u4" if c == "places" else "<i8").tolist()
+    pairs, held = {}, Counter()
+    for r in made:
+        if r["shard"] is not None:
+            for k, at, n in zip(longs(r, "keys"), longs(r, "places"), longs(r, "counts"), strict=True):
+                assert (r["slice"], at) not in pairs  # a place is given once in a slice
+                pairs[r["slice"], at] = k
+                held[k] += n
+    assert len(pairs) > len(set(pairs.values())) > 100  # pairs were put out more than once
+    best = Counter()
+    for k, n in held.items():
+        best[k >> 32] = max(best[k >> 32], n)
+    got = {}
+    for r in made:
+        if r["shard"] is None:
+            links = [(pairs[r["slice"], at], n) for at, n in zip(longs(r, "places"), longs(r, "counts"), strict=True)]
+            sums = sum(n for k, n in links if held[k] == best[k >> 32]), sum(n * held[k] for k, n in links)
+            got[r["r"]["i"]] = (*[r[c] for c in alignment.OUT[:4]], *sums, r[alignment.OUT[-1]])
+    assert [got[i] for i in range(len(texts))] == _plain_alignment(texts)
+
+
 def test_wide_groups_and_a_cache_that_is_full(monkeypatch):
     monkeypatch.setattr(alignment, "WIDE", 3)
     monkeypatch.setattr(alignment, "KEPT", 40)
