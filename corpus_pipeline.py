@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credlens.llm import crf
-from credlens.llm.common import Stored, table
+from credlens.llm.common import Stored, parts_for, table, text_or_empty
 from credlens.llm.components import connected
 from credlens.llm.line_dedup import dedup_lines
 from credlens.llm.minhash import near_texts
@@ -27,6 +27,15 @@ from credlens.llm.queries import tokenizer
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0))).first()[0]
+
+
+def _parted(docs: DataFrame, n_bytes: int) -> DataFrame:
+    """docs in parts that follow the bytes of the texts, so that a small table doesn't get a file for each shuffle partition."""
+    return docs.coalesce(parts_for(docs.sparkSession, n_bytes))
+
+
 def _carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work on doc_id and text, beside which the other columns are carried under names that clash with nothing; n_chars of the text that comes out."""
     names = {c: f"carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
@@ -44,23 +53,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand in a document with a smaller id; a document that loses all its lines stays as an empty one. Rows that share an id keep what they share."""
-    return _carried(docs, dedup_lines)
+    n_bytes = _bytes(docs)
+    return _parted(_carried(docs, lambda d: dedup_lines(d, n_bytes=n_bytes)), n_bytes)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group. Documents are linked if their texts are near copies as they come here, or if they were so whole: the line stage takes from a copy the lines that it shares, and what is left of it resembles nothing. Rows without an id stay; of rows that share an id and a text one stays."""
-    store = Stored(spark)
+    store, n_docs, n_bytes = Stored(spark), docs.count(), _bytes(docs)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     whole = table(spark, sf_dir, "documents", "doc_id", "text").join(ids, "doc_id", "left_semi")
     # Stored one after the other, so that the two don't share the executors' memory.
-    linked = [store.write(near_texts(texts, shingle=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))) for texts in (docs.select("doc_id", "text"), whole)]
-    gone = connected(linked[0].unionByName(linked[1]), store).where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    linked = [store.write(near_texts(texts, shingle=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), n_docs) for texts in (docs.select("doc_id", "text"), _parted(whole, n_bytes))]
+    gone = connected(linked[0].unionByName(linked[1]), store, 2 * n_docs).where("node <> component").select(F.col("node").alias("doc_id"))
+    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return _parted(stay.unionByName(docs.where("doc_id is null")).select(*docs.columns), n_bytes)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and secrets masked by their kind in brackets."""
-    return _carried(docs, mask_personal_data)
+    n_bytes = _bytes(docs)
+    return _parted(_carried(docs, lambda d: mask_personal_data(d, n_bytes=n_bytes)), n_bytes)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

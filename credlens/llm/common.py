@@ -65,11 +65,13 @@ class Stored:
         self.paths.append(path := f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
         return path
 
-    def write(self, df: DataFrame, n_rows: int | None = None) -> DataFrame:
-        """n_rows: about how many rows there are, so that a small table doesn't get a file for each shuffle partition."""
+    def write(self, df: DataFrame, n_rows: int | None = None, n_bytes: int = 0) -> DataFrame:
+        """n_rows, n_bytes: about how many rows and bytes there are or at most can be, so that a small table doesn't get a file for each shuffle partition; whole rounds of tasks."""
         path = self.folder()
         if n_rows is not None:
-            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-n_rows // FILE_ROWS)))
+            cores = self.spark.sparkContext.defaultParallelism
+            n = max(parts_for(self.spark, n_bytes), -(-n_rows // FILE_ROWS))
+            df = df.coalesce(-(-n // cores) * cores)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

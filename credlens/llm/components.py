@@ -24,10 +24,10 @@ def _with_lowest(rows: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
     return salted.join(many, ["u", "salt"]).drop("salt")
 
 
-def connected(edges: DataFrame, store: Stored) -> DataFrame:
-    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes, which takes about the logarithm of the number of nodes; a star's minimum is pre-aggregated, and a hub's edges are spread, so that it costs no task more than its share."""
+def connected(edges: DataFrame, store: Stored, n_edges: int | None = None) -> DataFrame:
+    """(node, component) for every node of edges (u, v): the smallest node reachable. Large-star and small-star steps until nothing changes, which takes about the logarithm of the number of nodes; a star's minimum is pre-aggregated, and a hub's edges are spread, so that it costs no task more than its share. n_edges: about how many there are or at most can be."""
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    e = store.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    e = store.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), n_edges)
     before = state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -47,10 +47,10 @@ def connected(edges: DataFrame, store: Stored) -> DataFrame:
     return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def bucket_stars(banded: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
+def bucket_stars(banded: DataFrame, store: Stored, n_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of rows (bucket, id, ...): those in buckets of two rows at least, and the distinct star edges (u, v) from each row to its bucket's smallest id; at most one edge for each row."""
     sizes = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    several = store.write(banded.join(sizes, "bucket"))
+    several = store.write(banded.join(sizes, "bucket"), n_rows)
     return several.drop("centre"), several.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
 
 

@@ -222,15 +222,15 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.binary())], names=["uid", "key", "lines"])
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10) -> DataFrame:
-    """df with its text replaced by the lines that stay, and n_lines and n_dropped."""
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10, n_bytes: int | None = None) -> DataFrame:
+    """df with its text replaced by the lines that stay, and n_lines and n_dropped. n_bytes: about how many the texts have, if known; the keys get files by it."""
     spark = df.sparkSession
     store = Stored(spark)
     kept = without(df, *OUT)
     raw_id = F.col(f"`{key}`").cast("long")
     slim = kept.select(raw_id.alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     found = map_arrow(slim, _counts(least), "a long, b long, low long, high long, n long").groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    keys = store.write(found.where("low < high").drop("high"))
+    keys = store.write(found.where("low < high").drop("high"), None if n_bytes is None else n_bytes // (2 * least))
     n_keys, n_all, = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(6, int(max(1, n_keys) // KEYS_PER_SHARD).bit_length())
     # Keys with at least 1 / HOT of the occurrences: there can't be more than HOT of them.

@@ -250,29 +250,33 @@ def near_texts(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketched = store.write(map_arrow(rows, _sketch(shingle), "id long, n long, g long, h long, bands binary, sketch binary"))
     usable = F.col("id").isNotNull() & (F.col("n") > 0)
-    classes = store.write(sketched.where(usable).groupBy("g", "h").agg(F.min("id").alias("rep")))
+    # Tables get files by these: texts, their rows in buckets, and bytes of their sets.
+    n_texts, n_bytes = sketched.where(usable).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)) * 8).first()
+    n_banded = n_texts * BANDS
+    classes = store.write(sketched.where(usable).groupBy("g", "h").agg(F.min("id").alias("rep")), n_texts)
     # An id may stand for several classes, with a row for each.
-    reps = store.write(sketched.where(usable).join(classes, ["g", "h"]).where("id = rep").dropDuplicates(["id", "g", "h"]).select("id", "n", "bands", "sketch"))
+    reps = store.write(sketched.where(usable).join(classes, ["g", "h"]).where("id = rep").dropDuplicates(["id", "g", "h"]).select("id", "n", "bands", "sketch"), n_texts, n_texts * (8 * BANDS + BINS))
     several_texts = sketched.where(usable).groupBy("id").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("g0 < g1 or h0 < h1").select("id")
-    same = store.write(sketched.where(usable).select("id", "g", "h").join(several_texts, "id").join(classes, ["g", "h"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
+    same = store.write(sketched.where(usable).select("id", "g", "h").join(several_texts, "id").join(classes, ["g", "h"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), n_texts)
     banded = map_arrow(reps.select("id", "bands"), _bands, "bucket long, id long", 2000)
-    several, stars = bucket_stars(banded, store)
+    several, stars = bucket_stars(banded, store, n_banded)
     ends = stars.join(reps.select(F.col("id").alias("u"), "n", "sketch"), "u").join(reps.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("other")), "v")
-    likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000).distinct())
+    likely = store.write(map_arrow(ends.select("u", "v", "n", "m", "sketch", "other"), _star_filter(percent / 100), "u long, v long", 2000).distinct(), n_banded)
     # Stored first, so that Spark knows whether its size allows a broadcast before it shuffles the texts.
-    involved = store.write(several.select("id").distinct())
-    sets = store.write(map_arrow(rows.join(involved, "id").dropDuplicates(["id", "text"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"))
-    links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200).unionByName(same))
+    involved = store.write(several.select("id").distinct(), n_texts)
+    sets = store.write(map_arrow(rows.join(involved, "id").dropDuplicates(["id", "text"]).select("id", "text"), _sets(shingle), "id long, set binary, sketch binary"), n_texts, n_bytes)
+    # Links are made distinct, so that the few files are not the tasks that compare.
+    links = store.write(map_blocks(star_blocks(likely, sets.drop("sketch"), MEMBERS), "component", _check_stars(percent), "u long, v long", 200).unionByName(same).distinct(), n_banded)
     store.drop(likely, involved, same)
-    first = store.write(connected(links, store).select(F.col("node").alias("id"), F.col("component").alias("root")))
+    first = store.write(connected(links, store, n_banded).select(F.col("node").alias("id"), F.col("component").alias("root")), n_texts)
     rooted = lambda ids: ids.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
     met = cross_blocks(rooted(several), "bucket", "id", "root", BUCKET).join(reps.select("id", "n", "sketch"), "id")
     agreeing = map_blocks(met, "bucket", _bucket_agreement(percent / 100), "u long, v long", 2000)
-    around = store.write(rooted(connected(agreeing, store).select(F.col("node").alias("id"), "component")))
+    around = store.write(rooted(connected(agreeing, store, n_banded).select(F.col("node").alias("id"), "component")), n_texts)
     store.drop(several)
-    across = store.write(map_blocks(cross_blocks(around, "component", "id", "root", BLOCK).join(sets, "id"), "component", _check_across(percent), "u long, v long", 200))
+    across = store.write(map_blocks(cross_blocks(around, "component", "id", "root", BLOCK).join(sets, "id"), "component", _check_across(percent), "u long, v long", 200).distinct(), n_texts)
     store.drop(sets, around)
-    root = store.write(connected(links.unionByName(across), store).select(F.col("node").alias("rep"), "component"))
+    root = store.write(connected(links.unionByName(across), store, n_banded).select(F.col("node").alias("rep"), "component"), n_texts)
     store.drop(links, across, first, reps)
     named = classes.join(root, "rep", "left").select("g", "h", F.coalesce("component", "rep").alias("component"))
     # Rows without a set are spread by their id; they join with nothing.

@@ -182,11 +182,11 @@ def _lower(good: Column, n: Column, z: float = 1.0) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def pattern_scores(edges: DataFrame, rounds: int, least_score: float, least_seeds: int, store: Stored) -> DataFrame:
-    """(k, p, conf) of patterns with enough different seeds, from distinct edges (k, p, v, seed)."""
+def pattern_scores(edges: DataFrame, rounds: int, least_score: float, least_seeds: int, store: Stored, most: int | None = None) -> DataFrame:
+    """(k, p, conf) of patterns with enough different seeds, from distinct edges (k, p, v, seed). most: about how many edges there can be."""
     # The other patterns can't vouch for anything.
     backed = edges.groupBy("k", "p").agg(F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("seeds") >= least_seeds).drop("seeds")
-    graph = store.write(edges.select("*", _salt("v")).join(_repeated(backed), ["k", "p", "salt"]))
+    graph = store.write(edges.select("*", _salt("v")).join(_repeated(backed), ["k", "p", "salt"]), most)
     n_edges = graph.count()
     good, n_good = graph.where("seed").select("k", "v").distinct(), -1
     for _ in range(rounds):
@@ -219,13 +219,13 @@ def _uid(*names: str) -> Column:
 SPAN = "array<struct<k:int,s:int,e:int>>"
 
 
-def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 5, least_score: float = 0.65, least_seeds: int = 5) -> DataFrame:
-    """key, uid (of key and text), base, added and secret spans: arrays of (k, s, e), sorted; one row for each row of df."""
+def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = 5, least_score: float = 0.65, least_seeds: int = 5, n_bytes: int | None = None) -> DataFrame:
+    """key, uid (of key and text), base, added and secret spans: arrays of (k, s, e), sorted; one row for each row of df. n_bytes: about how many the texts have, if known; the graph gets files by it."""
     store = Stored(df.sparkSession)
     scanned = _seen(df, text, key, store)
     occurrences = _occurrences(scanned)
     edges = occurrences.groupBy("k", "p", "v").agg(F.max("seed").alias("seed"))
-    scores = pattern_scores(edges, rounds, least_score, least_seeds, store)
+    scores = pattern_scores(edges, rounds, least_score, least_seeds, store, None if n_bytes is None else n_bytes // 8)
     loose = occurrences.where(~F.col("seed")).select("uid", "k", "s", "e", "p", _salt("v"))
     # A place that may be of several kinds gets the surest; of equally sure ones the first.
     places = loose.join(_repeated(scores), ["k", "p", "salt"]).groupBy("uid", "k", "s", "e").agg(F.avg("conf").alias("conf")).where(F.col("conf") >= least_score)

@@ -81,6 +81,36 @@ def test_a_small_table_gets_few_files(spark):
     assert few.count() == 500 and len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 60
 
 
+def test_stages_write_few_files_however_many_partitions(spark, tmp_path, monkeypatch):
+    from credlens.llm.common import Stored
+
+    docs, plain, files = spark.read.parquet(f"{SF}/documents.parquet"), Stored.write, []
+
+    def write(self, df, *size):
+        files.append(len((out := plain(self, df, *size)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(Stored, "write", write)
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before, most = [spark.conf.get(n) for n in names], spark.sparkContext.defaultParallelism
+    want = {}
+    for many in (False, True):
+        if many:
+            for n, v in zip(names, ("false", "16"), strict=True):
+                spark.conf.set(n, v)
+        try:
+            for stage in (corpus_pipeline.lines, corpus_pipeline.near_duplicates):
+                files.clear()
+                stage(spark, docs, SF).write.parquet(out := str(tmp_path / f"{stage.__name__}-{many}"))
+                got = spark.read.parquet(out)
+                rows = sorted(map(tuple, got.collect()), key=str)
+                assert rows == want.setdefault(stage, rows) and rows
+                assert not many or max([*files, len(got.inputFiles())]) <= most < 16, (stage.__name__, files)
+        finally:
+            for n, v in zip(names, before, strict=True):
+                spark.conf.set(n, v)
+
+
 def test_a_worker_lets_go_what_another_kernel_kept():
     from credlens.llm.common import kept_by, let_go
     from credlens.llm.queries import tokenizer
