@@ -1,9 +1,9 @@
 """Chunk-cached encoding with a byte-level BPE tokenizer file; exact, because its pieces never cross the chunks' borders.
 
-A chunk is a run of ASCII white space with what follows it up to the next one; letters before a full stop or comma
-are one of their own. The pre-tokenizer puts a piece's border at all of these, as long as no other white space stands
-before the run: texts where it does, and those that hold an added token, go to the library whole. Unseen
-chunks are put end to end and encoded in one call; the ids are dealt out by the tokens' byte lengths.
+A chunk is a run of ASCII white space with what follows it up to the next one; another begins at a sign such as a full
+stop behind an ASCII letter. The pre-tokenizer puts a piece's border at all of these, as long as no other white space stands
+before the run: texts where it does, and those that hold an added token, go to the library whole. The different chunks of
+a slice are looked up once. Unseen ones are put end to end and encoded in one call; the ids are dealt out by the tokens' byte lengths.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from .rolling import RangeHash
 
-#: Chunks that a worker process keeps, and bytes of the longest one that is kept.
+#: Chunks that a worker process keeps (half of them young), and bytes of the longest one that is kept.
 KEPT, LONGEST = 800_000, 128
 #: Bytes from which on a text is encoded by itself.
 LONG_TEXT = 1 << 23
@@ -29,7 +30,8 @@ _ENDS = re.compile(OTHER_SPACE + rb"\Z")
 #: First bytes of these; most texts have none of them.
 _RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
-_BLANK, _LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,"))
+_WHITE, _LETTER, _SIGN, _LEAD = range(1, 5)
+_KINDS = bytes(_WHITE if c in _SPACE else _LETTER if c < 128 and chr(c).isalpha() else _SIGN if c in b"!#$%&*,.:;?" else _LEAD if any(x[0] == c for x in _RARE) else 0 for c in range(256))
 _loaded: dict[tuple[str, bool], ByteBPE] = {}
 
 
@@ -38,16 +40,12 @@ def joinable(chunk: bytes) -> bool:
     return chunk[0] in _SPACE and chunk[-1] > 32 and len(chunk) <= LONGEST and (chunk[-1] < 127 or not _ENDS.search(chunk))
 
 
-def distinct_chunks(raw: np.ndarray, off: np.ndarray, blank: np.ndarray, letter: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of texts end to end: starts and ends of the different ones, and of each chunk, in order, which it is and its text. A chunk begins where white space does and where a text does; with letter and stop, also at a stop behind letters that begin a chunk."""
+def distinct_chunks(raw: np.ndarray, off: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of texts end to end: starts and ends of the different ones, and of each chunk, in order, which it is and its text. A chunk begins where white space does and where a text does."""
     white = blank[raw]
     begin = white.copy()
     begin[1:] &= ~white[:-1]
     begin[off[:-1][off[:-1] < len(raw)]] = True
-    if letter is not None:
-        at = np.flatnonzero(letter[raw[:-1]] & stop[raw[1:]]) + 1
-        other = np.maximum.accumulate(np.where(letter[raw], -1, np.arange(len(raw))))[at - 1]
-        begin[at[(other < off[np.searchsorted(off, at, side="right") - 1]) | white[other]]] = True
     start = np.flatnonzero(begin)
     end = np.r_[start[1:], len(raw)] if len(start) else start
     doc = np.searchsorted(off, start, side="right") - 1
@@ -108,6 +106,8 @@ class ByteBPE:
         self.dtype = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if specials else []
         self.chunks: dict[bytes, bytes] = {}
+        #: What was in chunks when it was full; entries are moved back on use.
+        self.old: dict[bytes, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -127,45 +127,63 @@ class ByteBPE:
             ids = np.array(made.ids, self.dtype)
             ends, upto = np.cumsum(self.lengths[ids]), np.cumsum([len(c) for c in part])
             at = np.searchsorted(ends, upto)
-            if len(ends) and at[-1] < len(ends) and (ends[at] == upto).all():
+            if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == upto).all():
                 cut = [0, *((at + 1) * self.dtype.itemsize).tolist()]
                 data = ids.tobytes()
                 self.chunks.update(zip(part, [data[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
             else:  # broken UTF-8 has other lengths
                 self.chunks.update((c, self.whole(c)) for c in part)
 
-    def _together(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts end to end, and how many each has; none of them odd."""
-        first, last, which, doc = distinct_chunks(raw, off, _BLANK, _LETTER, _STOP)
-        data = raw.tobytes()
-        need = [data[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-        found = list(map(self.chunks.get, need))
-        missing = [c for c, ids in zip(need, found, strict=True) if ids is None]
-        if missing and len(self.chunks) + len(missing) > KEPT:
-            self.chunks = {c: ids for c, ids in zip(need, found, strict=True) if ids is not None}
-        if missing:
-            self._learn(missing)
-            found = [self.chunks[c] if ids is None else ids for c, ids in zip(need, found, strict=True)]
-            for c in missing:
-                if len(c) > LONGEST:
-                    del self.chunks[c]
-        ids = np.frombuffer(b"".join(found), self.dtype)
-        size = np.array(list(map(len, found)), np.int64) // self.dtype.itemsize
-        n = size[which]
-        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return ids[at], np.bincount(doc, weights=n, minlength=len(off) - 1).astype(np.int64)
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of different chunks; those unseen are encoded."""
+        found = list(map(self.chunks.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        again, new = {}, []
+        for i in missing:
+            if (ids := self.old.get(chunks[i])) is None:
+                new.append(chunks[i])
+            else:
+                again[chunks[i]] = ids
+        if len(self.chunks) + len(missing) > KEPT // 2:
+            self.old, self.chunks = self.chunks, {}
+        self.chunks.update(again)
+        self._learn(new)
+        for i in missing:
+            found[i] = self.chunks[chunks[i]]
+        for c in new:
+            if len(c) > LONGEST:
+                del self.chunks[c]
+        return found
+
+    def _together(self, raw: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and how many each has; none of them odd. kind: that of each byte."""
+        if not len(raw):
+            return np.zeros(0, self.dtype), np.zeros(len(off) - 1, np.int64)
+        begin = np.zeros(len(raw), bool)
+        begin[1:] = ((kind[1:] == _WHITE) & (kind[:-1] != _WHITE)) | ((kind[1:] == _SIGN) & (kind[:-1] == _LETTER))
+        begin[off[:-1][off[:-1] < len(raw)]] = True
+        start = np.flatnonzero(begin)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(raw)]), pa.py_buffer(raw)]).dictionary_encode()
+        ids = pa.array(self._found(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1) // self.dtype.itemsize
+        return np.frombuffer(data, self.dtype, ends[-1]), np.diff(ends[np.searchsorted(start, off)])
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (UTF-8 end to end, with n + 1 offsets) end to end, and how many each has."""
         data = raw.tobytes()
-        alone = alone_in(data, off, _RARE, _ODD, self.added)
+        kinds = data.translate(_KINDS)
+        kind = np.frombuffer(kinds, np.uint8)
+        alone = alone_in(data, off, _RARE if _LEAD in kinds else (), _ODD, self.added)
         ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for s, e in runs(alone):
             if alone[s]:
                 ids.append(np.frombuffer(self.whole(data[off[s] : off[e]]), self.dtype))
                 counts.append(np.array([len(ids[-1])]))
             else:
-                some, n = self._together(raw[off[s] : off[e]], off[s : e + 1] - off[s])
+                some, n = self._together(raw[off[s] : off[e]], off[s : e + 1] - off[s], kind[off[s] : off[e]])
                 ids.append(some)
                 counts.append(n)
         return np.concatenate(ids), np.concatenate(counts)

@@ -119,13 +119,13 @@ class TokenFile:
         return np.frombuffer(self._section(1), "<i8")
 
     def ids(self) -> np.ndarray:
-        """All ids, level by level."""
-        out, at, shift, section = np.zeros(self.n_tokens, np.uint32), np.arange(self.n_tokens), 0, 2
-        for i, (w, n) in enumerate(self.levels):
-            out[at] |= unpack_bits(np.frombuffer(self._section(section), np.uint8), n, w) << np.uint32(shift)
+        """All ids, from the last level to the first."""
+        out = np.zeros(0, np.uint32)
+        for i, (w, n) in reversed(list(enumerate(self.levels))):
+            above, out = out, unpack_bits(np.frombuffer(self._section(2 + 3 * i), np.uint8), n, w)
             if i + 1 < len(self.levels):
-                at = at[np.unpackbits(np.frombuffer(self._section(section + 1), np.uint8), count=n, bitorder="little").astype(bool)]
-            shift, section = shift + w, section + 3
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(self._section(3 + 3 * i), np.uint8), count=n, bitorder="little").view(bool))
+                out[at] |= above << np.uint32(w)
         return out
 
     def _gather(self, where: np.ndarray, n: int) -> np.ndarray:
@@ -255,7 +255,7 @@ def read_documents(files: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def checksums(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32 (of ids as little-endian unsigned 32-bit integers) of every document."""
-    return _by_document(files, "long", lambda x: zlib.crc32(x.astype("<u4").tobytes()), pa.int64(), "ids_crc32", key)
+    return _by_document(files, "long", lambda x: zlib.crc32(x.astype("<u4", copy=False)), pa.int64(), "ids_crc32", key)
 
 
 def tokens_at(files: DataFrame, positions: DataFrame, position: str = "position") -> DataFrame:

@@ -179,6 +179,28 @@ def test_byte_level_chunks_are_those_of_the_library(monkeypatch):
         byte_bpe.ByteBPE(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_signs_are_cut_off_and_each_chunk_is_learnt_once(monkeypatch):
+    bpe, learnt, learn = byte_bpe.ByteBPE(A), [], byte_bpe.ByteBPE._learn
+    monkeypatch.setattr(byte_bpe.ByteBPE, "_learn", lambda self, new: (learnt.extend(new), learn(self, new))[1])
+    monkeypatch.setattr(byte_bpe, "KEPT", 100)
+    often, signs = ["the", "don't", "x.y", "\u00e9t\u00e9"], ["", "***", "###", "!!", ".&&&", "?!", ":"]
+    for i in range(60):  # rare words fill the cache again and again
+        texts = [" ".join(w + s for w in [*often, *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20))] for s in signs), "", "\u00e9t\u00e9!"]
+        ids, counts = bpe.encode(*_joined(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+    times = Counter(learnt)
+    assert times[b" the"] == times[b"***"] == times[b".&&&"] == 1
+    assert not any(c.isascii() and c.endswith(b"*") and c[:1] == b" " for c in times) and len(bpe.chunks) + len(bpe.old) < 200
+
+
+def test_broken_bytes_are_replaced_as_by_the_library():
+    bpe = byte_bpe.ByteBPE(A)
+    parts, rng = [b"a", b" ", b"'s", b"\x99", b"0", b"\xc3", b"\xff", b"\xe2\x80", b"$", b"\n"], random.Random(3)
+    texts = [b" \t ;the/\xe3\x80\x80%@$\x99's0\xc3", *[b"".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)]]
+    ids, counts = bpe.encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [bpe.library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_hold_every_id_at_its_place(spark, tmp_path, monkeypatch):
     lib = Tokenizer.from_file(A)
     texts = _texts(300)
