@@ -3,6 +3,9 @@
 The trie's edges stand in one hash table of (node, character), so that a step of all walks that are still on their way is a few
 array operations. A walk ends where no word goes on, after some four characters mostly, so that nothing is cut or joined
 for substrings that are no words. The trie is sent to the executors, for which the caller checks its size.
+
+A sieve is walked in the same way. It holds hashed bits of any number of words in bounded memory and is made on the executors, so that
+no word of a large list comes to the driver. It finds every word, and a few substrings that are none; the caller tells them apart.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Characters of a batch that are walked together.
 SLICE = 1 << 20
+#: Bits of a sieve as a power of two: at most (16 MB), and for each word as many as a half to one of these.
+MOST_BITS, BITS_EACH = 27, 32
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,34 +102,175 @@ class Trie:
         return tuple(np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none, none, none)
 
 
-def word_places(values: DataFrame, words: Sequence[str], forms: dict[str, str], least: int, value: str = "value") -> DataFrame:
-    """A row for each place of a word in a form of a string: values with start, end, form (the key in forms, whose values name columns of values) and gram, the word. Forms are read up to the length of the value; its columns aren't put out."""
+def _marked(length: int) -> bool:
+    """Lengths of which a sieve holds the beginnings of words."""
+    return length <= 6 or length & (length - 1) == 0
+
+
+class Sieve:
+    """Hashed bits of words and of their beginnings, one for each; walk() finds every place of a word, and some of other substrings."""
+
+    def __init__(self, bits: int, longest: int) -> None:
+        self.bits, self.longest, self.set = bits, longest, np.zeros(1 << (bits - 6), np.uint64)
+
+    def _hashed(self, before: np.ndarray, char: np.ndarray) -> np.ndarray:
+        return (before ^ char) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+
+    def _place(self, hashed: np.ndarray, whole: bool) -> np.ndarray:
+        mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 if whole else 0x94D049BB133111EB)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _has(self, place: np.ndarray) -> np.ndarray:
+        return (self.set[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def places(self, words: Sequence[str]) -> np.ndarray:
+        """Places of the bits of words, each once."""
+        size = np.array(list(map(len, words)), np.int64)
+        chars, first = code_points(words), np.cumsum(size) - size
+        on, out, hashed = np.arange(len(size)), [np.zeros(0, np.int64)], np.zeros(len(size), np.uint64)
+        for depth in range(int(size.max(initial=0))):
+            on = on[size[on] > depth]
+            hashed[on] = self._hashed(hashed[on], chars[first[on] + depth])
+            if _marked(depth + 1):
+                out.append(np.unique(self._place(hashed[on], False)))
+            out.append(self._place(hashed[on[size[on] == depth + 1]], True))
+        return np.unique(np.concatenate(out))
+
+    def walk(self, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, None]:
+        """As of a trie, without the words."""
+        who, hashed, out = np.arange(len(starts)), np.zeros(len(starts), np.uint64), []
+        for depth in range(self.longest):
+            on = starts[who] + depth < stops[who]
+            who, hashed = who[on], hashed[on]
+            if not len(who):
+                break
+            hashed = self._hashed(hashed, chars[starts[who] + depth])
+            if _marked(depth + 1):
+                on = self._has(self._place(hashed, False))
+                who, hashed = who[on], hashed[on]
+            if depth + 1 >= least:
+                hit = self._has(self._place(hashed, True))
+                out.append((who[hit], np.full(int(hit.sum()), depth + 1)))
+        none = np.zeros(0, np.int64)
+        return *(tuple(np.concatenate([none, *x]) for x in zip(*out, strict=True)) if out else (none, none)), None
+
+
+def sieve_of(words: DataFrame, n: int, longest: int) -> Sieve:
+    """A sieve of n words (gram) of at most `longest` characters. Executors set the bits; the driver gets them by the 64."""
+    made = Sieve(min(MOST_BITS, max(16, (BITS_EACH * n).bit_length() - 1)), longest)
+    bits = made.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = Sieve(bits, 0)
+        for batch in batches:
+            place = empty.places(batch.column(0).to_pylist())
+            first = np.flatnonzero(np.diff(place >> 6, prepend=-1))
+            if len(first):
+                held = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array((place >> 6)[first], pa.int32()), pa.array(held.view(np.int64))], names=["at", "held"])
+
+    parts = words.select("gram").where("gram is not null").mapInArrow(run, "at int, held long").groupBy("at").agg(F.bit_or("held").alias("held")).toArrow()
+    made.set[parts["at"].to_numpy()] = parts["held"].to_numpy().view(np.uint64)
+    return made
+
+
+def _walked(finder: Trie | Sieve, batch: pa.RecordBatch, forms: int, least: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Parts of a batch (r, n, forms) with what was found in each form: row, start, length, word and the form's texts."""
+    total = np.cumsum(pc.fill_null(batch.column(1), 0).to_numpy())
+    cuts = [0, *np.searchsorted(total, np.arange(SLICE, int(total[-1]) if len(total) else 0, SLICE)).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            continue
+        part = batch.slice(a, b - a)
+        n = pc.fill_null(part.column(1), 0).to_numpy().astype(np.int64)
+        found = []
+        for i in range(forms):
+            held = pc.fill_null(part.column(2 + i), "")
+            texts, size = held.to_pylist(), pc.utf8_length(held).to_numpy().astype(np.int64)
+            first, n_here = np.cumsum(size) - size, np.minimum(n, size)
+            per = np.maximum(0, n_here - least + 1)
+            row = np.repeat(np.arange(len(n)), per)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            who, length, word = finder.walk(code_points(texts), first[row] + inside, (first + n_here)[row], least)
+            found.append((row[who], inside[who], length, word, texts))
+        yield part, found
+
+
+def _grams(row: np.ndarray, start: np.ndarray, length: np.ndarray, texts: Sequence[str]) -> list[str]:
+    return [texts[r][s : s + n] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+
+
+def _rows(values: DataFrame, forms: dict[str, str], value: str) -> DataFrame:
+    """r, the columns of values that are no forms, n, the length, and the forms."""
     kept = [c for c in values.columns if c not in forms.values()]
-    trie = values.sparkSession.sparkContext.broadcast(Trie(words))
+    return values.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r"), F.length(value).alias("n"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(forms.values())])
+
+
+def word_places(values: DataFrame, words: Sequence[str] | Sieve, forms: dict[str, str], least: int, value: str = "value") -> DataFrame:
+    """A row for each place of a word, or of what a sieve lets through, in a form of a string: values with start, end, form (the key in forms, whose values name columns of values) and gram, the word. Forms are read up to the length of the value; its columns aren't put out."""
+    sent = values.sparkSession.sparkContext.broadcast(words if isinstance(words, Sieve) else Trie(words))
     names = list(forms)
-    rows = values.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r"), F.length(value).alias("n"), *[F.col(forms[f]).alias(f"f{i}") for i, f in enumerate(names)]).where(F.col("n") >= least)
+    rows = _rows(values, forms, value).where(F.col("n") >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie.value
-        known = pa.array(t.words, pa.string())
+        t = sent.value
+        known = pa.array(t.words, pa.string()) if isinstance(t, Trie) else None
         for batch in batches:
-            total = np.cumsum(batch.column(1).to_numpy())
-            cuts = [0, *np.searchsorted(total, np.arange(SLICE, int(total[-1]) if len(total) else 0, SLICE)).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                n = part.column(1).to_numpy().astype(np.int64)
-                for i, form in enumerate(names):
-                    size = pc.utf8_length(part.column(2 + i)).to_numpy().astype(np.int64)
-                    first, n_here = np.cumsum(size) - size, np.minimum(n, size)
-                    per = np.maximum(0, n_here - least + 1)
-                    row = np.repeat(np.arange(len(n)), per)
-                    inside = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-                    who, length, word = t.walk(code_points(part.column(2 + i).to_pylist()), first[row] + inside, (first + n_here)[row], least)
-                    if len(who):
-                        start = inside[who]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[who])), pa.array(start, pa.int32()), pa.array(start + length, pa.int32()), pa.array([form]).take(pa.array(np.zeros(len(who), np.int32))), known.take(pa.array(word))], names=["r", "start", "end", "form", "gram"])
+            for part, found in _walked(t, batch, len(names), least):
+                for form, (row, start, length, word, texts) in zip(names, found, strict=True):
+                    if len(row):
+                        gram = pa.array(_grams(row, start, length, texts), pa.string()) if known is None else known.take(pa.array(word))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(start + length, pa.int32()), pa.array([form]).take(pa.array(np.zeros(len(row), np.int32))), gram], names=["r", "start", "end", "form", "gram"])
 
     schema = T.StructType([rows.schema["r"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("gram", T.StringType())])
     return rows.mapInArrow(run, schema).select("r.*", "start", "end", "form", "gram")
+
+
+def sieved(values: DataFrame, sieve: Sieve, forms: dict[str, str], least: int, value: str = "value") -> DataFrame:
+    """gram: each substring of any form that a sieve lets through, once."""
+    sent = values.sparkSession.sparkContext.broadcast(sieve)
+    rows = _rows(values.select(value, *forms.values()), forms, value).where(F.col("n") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in _walked(sent.value, batch, len(forms), least):
+                grams = {g for row, start, length, _, texts in found for g in _grams(row, start, length, texts)}
+                if grams:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string())], names=["gram"])
+
+    return rows.mapInArrow(run, "gram string").distinct()
+
+
+#: What word_lists finds: the form, the place, the word, and what one list says of it.
+HIT = "struct<place:int,start:int,end:int,name:string,rank:int,gram:string>"
+
+
+def word_lists(values: DataFrame, entries: pa.Table, forms: Sequence[str], least: int, value: str = "value") -> DataFrame:
+    """values with hits: of all places of words in their forms (columns of values, not put out) an array of HIT, one for each entry (form, the number of a form, gram, place, name, rank). Entries are sent to the executors, for which the caller checks their number; rows stay where they are."""
+    trie = Trie(entries["gram"].unique().to_pylist())
+    word = pc.index_in(entries["gram"], pa.array(trie.words, pa.string())).to_numpy()
+    form = entries["form"].to_numpy()
+    order = np.lexsort((word, form))
+    n = max(1, len(trie.words))
+    upto = np.searchsorted(form[order].astype(np.int64) * n + word[order], np.arange(len(forms) * n + 1))
+    held = [entries[c].combine_chunks().take(pa.array(order)) for c in ("place", "name", "rank", "gram")]
+    sent = values.sparkSession.sparkContext.broadcast((trie, upto, held))
+    rows = _rows(values, {str(i): f for i, f in enumerate(forms)}, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, upto, held = sent.value
+        for batch in batches:
+            for part, found in _walked(t, batch, len(forms), least):
+                row, start, end = (np.concatenate(x) for x in zip(*[(r, s, s + k) for r, s, k, *_ in found], strict=True))
+                key = np.concatenate([w.astype(np.int64) + i * n for i, (*_, w, _) in enumerate(found)])
+                per = upto[key + 1] - upto[key]
+                hit = np.repeat(np.arange(len(key)), per)
+                entry = np.repeat(upto[key] - (np.cumsum(per) - per), per) + np.arange(len(hit))
+                by = np.argsort(row[hit], kind="stable")
+                hit, entry = hit[by], entry[by]
+                place, name, rank, gram = (x.take(pa.array(entry)) for x in held)
+                each = pa.StructArray.from_arrays([place, pa.array(start[hit], pa.int32()), pa.array(end[hit], pa.int32()), name, rank, gram], names=["place", "start", "end", "name", "rank", "gram"])
+                counts = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=part.num_rows))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), each)], names=["r", "hits"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["r"], T.StructField("hits", T.ArrayType(T._parse_datatype_string(HIT)))])).select("r.*", "hits")
