@@ -14,7 +14,7 @@ from credlens.sources.lexicon import CULTURAL
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries that look words up in a list made from the documents.
-LOOKUPS = ["evaluation_json", "evaluation_reports", "lexical_pattern_stats", "pattern_stats", "token_frequencies", "top_items_patterns"]
+LOOKUPS = ["evaluation_json", "evaluation_reports", "lexical_pattern_stats", "pattern_stats", "token_frequencies", "top_items_patterns", "top_items_tokens"]
 
 
 def test_a_sieve_lets_every_word_through_and_little_else(spark):
