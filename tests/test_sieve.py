@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from credlens.operators import automaton, lexical
 from credlens.operators.decompose import scored
 from credlens.queries import QUERIES
+from credlens.sources.bindings import strings
 from credlens.sources.lexicon import CULTURAL
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +64,36 @@ def test_queries_keep_their_lists_on_the_executors(spark, sent, monkeypatch, nam
     rows = QUERIES[name](spark, SMALL).count()
     words = QUERIES["lexicon_build"](spark, SMALL).select("word").distinct().count()
     assert rows and sent and max(sent) < 0.5 * words
+
+
+def test_scores_shuffle_neither_substrings_nor_matches(spark, monkeypatch):
+    values = spark.createDataFrame([("xaaaabz9", 1), ("4aaabc!", 2), ("Hola7", 3), (None, 4), ("", 5)], "value string, weight long")
+    lists = _lists(spark)
+    done = scored(values, lists)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(str, done.collect()))
+    assert len(rows) == 5 and any("aaaabz" in r for r in rows)
+    monkeypatch.setattr(lexical, "BROADCAST_WORDS", 2)
+    assert sorted(map(str, scored(values, lists).collect())) == rows
+
+
+def test_the_join_meets_few_substrings_that_are_no_words(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BROADCAST_WORDS", 0)
+    values = spark.range(2000).select(F.format_string("Customer#%09d", "id").alias("value"))
+    lists = _lists(spark).unionByName(spark.createDataFrame([("otros", "tom", 7)], "dict_name string, word string, rank int"))
+    found = lexical.dictionary_matches(values, lists)
+    assert found.count() == 2000
+    known = lexical.met(values.withColumn("f", F.lower("value")), lists.select(F.col("word").alias("gram")), {"f": "f"})
+    assert known.words is None
+    assert automaton.word_places(values.withColumn("f", F.lower("value")), known.sieve, {"f": "f"}, 3).count() < 3 * 2000
+
+
+#: Queries that score strings.
+SCORES = ["score_histogram"]
+
+
+@pytest.mark.parametrize("name", SCORES)
+def test_queries_of_scores_shuffle_values_only_to_make_them(spark, monkeypatch, name):
+    monkeypatch.setattr(lexical, "FEW", 100, raising=False)
+    by_value = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(value")
+    assert by_value(QUERIES[name](spark, SMALL)) == by_value(strings(spark, SMALL)) > 0
