@@ -89,7 +89,7 @@ def test_the_join_meets_few_substrings_that_are_no_words(spark, monkeypatch):
 
 
 #: Queries that score strings.
-SCORES = ["score_histogram", "strength_bits"]
+SCORES = ["score_histogram", "strength_bits", "strength_scores"]
 
 
 @pytest.mark.parametrize("name", SCORES)
